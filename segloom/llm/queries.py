@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from segloom.llm.common import table
+from segloom.llm.decontaminate import benchmark_hits
 from segloom.llm.exact_dedup import exact_groups
 from segloom.llm.hilbert_sharding import assign_shards
 
@@ -16,12 +18,29 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "curve")
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hit_spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("s")), lambda a, x: F.struct((a["n"] + x * a["s"]).alias("n"), (-a["s"]).alias("s")), lambda a: a["n"])
+    return out.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.size("hit_spans") > 0).alias("contaminated"),
+        "longest_words",
+        "longest_item",
+        "longest_at",
+    )
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_sharding": op8_hilbert_sharding,
+    "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
