@@ -11,6 +11,11 @@ from segloom.llm.common import table
 from segloom.llm.decontaminate import benchmark_hits
 from segloom.llm.exact_dedup import exact_groups
 from segloom.llm.hilbert_sharding import assign_shards
+from segloom.llm.near_dedup import near_duplicates
+
+
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +44,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
