@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.llm.common import as_text
+from segloom.llm.common import as_text, stored
 
 #: Bits of each quantised dimension: 3 dimensions of 4 bits make 4,096 cells.
 BITS = 4
@@ -22,6 +22,7 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
     one octant (cell of the current cube) is read per level, from the high bits down, while the entry corner and the
     direction of the curve within the cube are carried along."""
     n = len(coords)
+    names = [f"c{j}" for j in range(n)]  # carried in the state, so that each is computed once
     full = (1 << n) - 1
     rank = [0] * (1 << n)  # rank of a corner in Gray-code order
     for i in range(1 << n):
@@ -36,16 +37,17 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
 
     def step(state: Column, level: Column) -> Column:
         corner = F.lit(0)
-        for j, x in enumerate(coords):
-            corner = corner.bitwiseOR(F.shiftleft(right(x, level).bitwiseAND(F.lit(1)), j))
+        for j, x in enumerate(names):
+            corner = corner.bitwiseOR(F.shiftleft(right(state[x], level).bitwiseAND(F.lit(1)), j))
         w = lookup(rank, right_turn(corner.bitwiseXOR(state["e"]), state["d"] + 1))
         return F.struct(
             F.shiftleft(state["h"], n).bitwiseOR(w.cast("long")).alias("h"),
             state["e"].bitwiseXOR(left_turn(lookup(entry, w), state["d"] + 1)).alias("e"),
             ((state["d"] + lookup(turn, w) + 1) % n).alias("d"),
+            *[state[x].alias(x) for x in names],
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("e"), F.lit(0).alias("d"))
+    start = F.struct(F.lit(0).cast("long").alias("h"), F.lit(0).alias("e"), F.lit(0).alias("d"), *[c.cast("int").alias(x) for c, x in zip(coords, names, strict=True)])
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["h"])
 
 
@@ -54,6 +56,11 @@ def text_ordinal(col: Column, chars: int = 6) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(col.cast("string"), F.lit("")), "utf-8"), 1, chars)), 2 * chars, "0"), 16, 10).cast("double")
 
 
+def _code(value: Column, cuts: list[float]) -> Column:
+    """How many of the cuts lie below the value, which is computed once."""
+    return F.transform(F.array(value), lambda x: sum((F.when(x > cut, 1).otherwise(0) for cut in cuts), F.lit(0)))[0]
+
+
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", text_dims: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """``docs`` with size (UTF-8 bytes of the text and 16), text_crc32, curve, law ('rows'), shard, slot and grown_shard (null).
 
@@ -71,12 +78,12 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     values = [F.col("size").cast("double"), *[text_ordinal(F.col(c)) for c in text_dims]]
     marks = [i / (1 << BITS) for i in range(1, 1 << BITS)]
     cuts = measured.agg(*[F.percentile_approx(v, marks, 10_000).alias(f"q{i}") for i, v in enumerate(values)]).first()
-    codes = [sum((F.when(v > cut, 1).otherwise(0) for cut in sorted(set(cuts[i] or []))), F.lit(0)) for i, v in enumerate(values)]
+    codes = [_code(v, sorted(set(at or []))) for v, at in zip(values, cuts, strict=True)]
     placed = measured.withColumn("curve", hilbert_index(codes))
     cells = placed.groupBy("curve").agg(F.count("*").alias("n"))
     everything = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("cell_from", F.coalesce(F.sum("n").over(everything), F.lit(0)))
-    total = placed.count()
+    cells = stored(cells.withColumn("cell_from", F.coalesce(F.sum("n").over(everything), F.lit(0))), "cells")
+    total = cells.agg(F.sum("n")).first()[0] or 0
     part_rows = max(1, min(PART_ROWS, total // PARTS))
     cells = cells.select("curve", "cell_from", F.ceil(F.col("n") / part_rows).alias("cell_parts"))
     dealt = placed.join(F.broadcast(cells), "curve").withColumn("part", F.pmod(F.xxhash64(id_col, "text_crc32"), "cell_parts"))
