@@ -13,6 +13,8 @@ from segloom.llm.decontaminate import benchmark_hits
 from segloom.llm.exact_dedup import exact_groups
 from segloom.llm.hilbert_sharding import assign_shards
 from segloom.llm.near_dedup import near_duplicates
+from segloom.llm.quality import resample
+from segloom.llm.toxicity import score_toxicity
 from segloom.llm.warc import archive_folder, read_records, write_archives
 
 
@@ -20,6 +22,17 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    scores = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held))
+    return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return resample(table(spark, sf_dir, "documents"), good)
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -60,6 +73,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_toxicity": op2_toxicity,
+    "op3_quality": op3_quality,
     "op4_chat_formatting": op4_chat_formatting,
     "op7_warc": op7_warc,
     "op8_hilbert_sharding": op8_hilbert_sharding,

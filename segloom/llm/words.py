@@ -37,17 +37,27 @@ class Words:
     rows: slice
     data: np.ndarray
     bounds: np.ndarray
+    sums: np.ndarray
+    inverse: np.ndarray
+
+    def prefix(self, length: int) -> np.ndarray:
+        """The codes of the first ``length`` bytes of each word (a shorter word is its own prefix)."""
+        end = np.minimum(self.end, self.start + length)
+        with np.errstate(over="ignore"):
+            return mix((self.sums[end] - self.sums[self.start]) * self.inverse[self.start] + (end - self.start).astype(_U))
 
     def text_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
 class Lexer:
-    """Splits UTF-8 texts at the given ASCII delimiters, A to Z lower-cased first if asked."""
+    """Splits UTF-8 texts at the given ASCII delimiters, A to Z lower-cased first if asked; runs of the bytes ``apart`` are
+    words of their own."""
 
-    def __init__(self, delimiters: Iterable[int], lower: bool = True):
-        self.delimiter = np.zeros(256, bool)
-        self.delimiter[list(delimiters)] = True
+    def __init__(self, delimiters: Iterable[int], lower: bool = True, apart: Iterable[int] = ()):
+        self.kind = np.ones(256, np.uint8)
+        self.kind[list(apart)] = 2
+        self.kind[list(delimiters)] = 0
         byte = np.arange(256)
         if lower:
             byte[65:91] += 32
@@ -67,17 +77,17 @@ class Lexer:
         """Words of the texts ``data[bounds[d]:bounds[d + 1]]``; words of equal (lower-cased) bytes have equal codes."""
         n = len(data)
         self._powers(n + 1)
-        word = np.zeros(n + 2, bool)
-        word[1:-1] = ~self.delimiter[data]
-        cut = np.zeros(n + 1, bool)
+        kind = np.zeros(n + 2, np.uint8)
+        kind[1:-1] = self.kind[data]
+        cut = kind[1:] != kind[:-1]
         cut[bounds] = True
-        start = np.flatnonzero(word[1:] & (~word[:-1] | cut))
-        end = np.flatnonzero(word[:-1] & (~word[1:] | cut))
+        start = np.flatnonzero((kind[1:] > 0) & cut)
+        end = np.flatnonzero((kind[:-1] > 0) & cut)
         with np.errstate(over="ignore"):
             sums = np.zeros(n + 1, _U)
             np.cumsum(self.value[data] * self._power[:n], out=sums[1:])
             code = mix((sums[end] - sums[start]) * self._inverse[start] + (end - start).astype(_U))
-        return Words(np.searchsorted(start, bounds), start, end, code, rows, data, bounds)
+        return Words(np.searchsorted(start, bounds), start, end, code, rows, data, bounds, sums, self._inverse)
 
     def blocks(self, column: pa.Array, most: int = 2 << 20) -> Iterator[Words]:
         """The words of a string column, in runs of rows of about ``most`` bytes (a longer text is a run of its own)."""
@@ -114,6 +124,7 @@ def runs(code: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return mix(total), offsets
 
 
-#: Delimiters of words that end at white space only, and of words of letters, digits and anything beyond ASCII.
+#: White space; ASCII punctuation; all that is no letter or digit, up to ASCII's end.
 SPACES = [0x20, *range(0x09, 0x0E)]
+PUNCTUATION = [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]
 NOT_ALNUM = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
