@@ -13,7 +13,9 @@ from segloom.llm.decontaminate import benchmark_hits
 from segloom.llm.exact_dedup import exact_groups
 from segloom.llm.hilbert_sharding import assign_shards
 from segloom.llm.near_dedup import near_duplicates
+from segloom.llm.pieces import decode, encode
 from segloom.llm.quality import resample
+from segloom.llm.repeated_spans import drop_repeated_spans
 from segloom.llm.toxicity import score_toxicity
 from segloom.llm.warc import archive_folder, read_records, write_archives
 
@@ -39,6 +41,23 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(rows.unionByName(probe))).withColumnRenamed("conv", "conv_id")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decode(encode(table(spark, sf_dir, "documents")))
+    return out.select(
+        "doc_id",
+        F.size("ids").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "score",
+        "other_scores",
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        "others_decode",
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark)
     index = write_archives(table(spark, sf_dir, "pages"), folder)
@@ -76,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_quality": op3_quality,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_pieces": op6_pieces,
     "op7_warc": op7_warc,
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_decontaminate": op9_decontaminate,
