@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +54,38 @@ def as_text(col: str) -> F.Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Smallest reachable node of each node of ``edges`` (a, b of one orderable type): rows (node, component).
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars around the smallest node of what one partition's edges connect."""
+    up: dict[int, int] = {}
 
-    Alternates large-star and small-star steps (each node's neighbours are linked to the smallest of them) until the
-    edges are stars. Each round is one pre-aggregated minimum and one join, written to the shared folder; the driver
-    sees two numbers a round. Nodes without edges are absent.
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[y]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    pairs = [(x, r) for x in up if (r := root(x)) != x]
+    for at in range(0, len(pairs), 100_000):
+        part = pairs[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], names=["a", "b"])
+
+
+def connected_components(edges: DataFrame, each: int = 200_000) -> DataFrame:
+    """Smallest reachable node of each node of the stored table ``edges`` (a, b of longs): rows (node, component).
+
+    Partitions of about ``each`` edges are contracted to stars on their own. If there are several, large-star and small-star
+    steps follow (each node's neighbours are linked to the smallest of them) until all edges are stars: each round is a few
+    pre-aggregated minima and joins, written to the shared folder, and the driver sees two numbers. Nodes without edges are
+    absent.
     """
-    edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    parts = 1 + edges.count() // each
+    edges = stored(edges.where("a <> b").coalesce(parts).mapInArrow(_contract, "a long, b long"), "edges")
     total = None
-    while True:
+    while parts > 1:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("m < a").select("a", "m")).where("a <> b").distinct()

@@ -21,7 +21,9 @@ from segloom.llm.words import SPACES, Lexer, mix, runs
 #: Words of a shingle; similarity from which documents are linked, in hundredths; trees; minwise tokens of a document.
 SHINGLE, PERCENT, TREES, TOKENS = 5, 85, 12, 128
 #: Documents of a node that is compared exhaustively; levels of a tree before an exact way takes over.
-NODE, LEVELS = 256, 12
+NODE, LEVELS = 2048, 12
+#: Shingles of a group that one row holds; larger groups are compared in blocks.
+GROUP_SHINGLES = 4_000_000
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix(_MULTIPLY)
 
@@ -87,33 +89,44 @@ def _sketch(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.reshape(len(tokens), -1), axis=1)
 
 
-def _fresh(batches: Iterator[pa.RecordBatch], level: int, trees: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The children to which documents go: (node, id, n, sketch), and with level 0 one root a tree. A node chooses one
-    coordinate, and a second one so often that linked documents share a child on average."""
+def _children(node: np.ndarray, rows: np.ndarray, tokens: np.ndarray, second: float) -> tuple[np.ndarray, np.ndarray]:
+    """The children of nodes for documents: by the minwise token of the coordinate that the node chooses, and with
+    probability ``second`` (of the node) by that of another as well."""
+    out_rows, out_node = [], []
+    with np.errstate(over="ignore"):
+        draw = mix(node + np.uint64(0x632BE59BD9B4E019))
+        for turn in (0, 1):
+            take = np.ones(len(node), bool) if turn == 0 else (draw >> np.uint64(11)).astype(np.float64) / 2.0**53 < second
+            coordinate = (mix(draw[take] + np.uint64(turn)) % np.uint64(TOKENS)).astype(np.int64)
+            token = tokens[rows[take], coordinate].astype(np.uint64)
+            out_node.append(mix(node[take] * np.uint64(0x9E3779B97F4A7C15) + mix(token + (coordinate.astype(np.uint64) << np.uint64(40)) + np.uint64(1))))
+            out_rows.append(rows[take])
+    return np.concatenate(out_node), np.concatenate(out_rows)
+
+
+def _fresh(batches: Iterator[pa.RecordBatch], trees: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(node, id, n, sketch) of the nodes to which documents go: from the roots of all trees, or ``steps`` levels down from a
+    node that is still too large. A second coordinate is chosen so often that a linked pair shares a child on average."""
     for batch in batches:
+        if not batch.num_rows:
+            continue
         tokens = np.frombuffer(b"".join(batch.column("tokens").to_pylist()), np.uint32).reshape(-1, TOKENS)
         rows = np.arange(batch.num_rows)
-        if level == 0:
-            rows = np.repeat(rows, trees)
-            node = mix(np.tile(np.arange(1, trees + 1, dtype=np.uint64), batch.num_rows))
+        if "node" not in batch.schema.names:
+            at = np.repeat(rows, trees)
+            child, at = _children(mix(np.tile(np.arange(1, trees + 1, dtype=np.uint64), batch.num_rows)), at, tokens, 0.0)
         else:
-            node = np.asarray(batch.column("node")).view(np.uint64)
-        out_rows, out_node = [], []
-        with np.errstate(over="ignore"):
-            draw = mix(node + np.uint64(0x632BE59BD9B4E019))
-            second = level > 0
-            for turn in (0, 1):
-                coordinate = (mix(draw + np.uint64(turn)) % np.uint64(TOKENS)).astype(np.int64)
-                take = np.ones(len(node), bool) if turn == 0 else (draw >> np.uint64(11)).astype(np.float64) / 2.0**53 < (100 / percent - 1 if second else 0)
-                token = tokens[rows, coordinate].astype(np.uint64)
-                child = mix(node * np.uint64(0x9E3779B97F4A7C15) + mix(token + (coordinate.astype(np.uint64) << np.uint64(40)) + np.uint64(1)))
-                out_rows.append(rows[take])
-                out_node.append(child[take])
-        at, child = np.concatenate(out_rows), np.concatenate(out_node)
-        sketch = _sketch(tokens)
-        ids = batch.column("id").take(pa.array(at))
+            steps = np.asarray(batch.column("steps"))
+            done, node, at = [], np.asarray(batch.column("node")).view(np.uint64), rows
+            for k in range(1, int(steps.max()) + 1):
+                node, at = _children(node, at, tokens, 100 / percent - 1)
+                here = steps[at] == k
+                done.append((node[here], at[here]))
+                node, at = node[~here], at[~here]
+            child, at = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
+        where = pa.array(at)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(child.view(np.int64)), ids, batch.column("n").take(pa.array(at)), pa.array([x.tobytes() for x in sketch], pa.binary()).take(pa.array(at))],
+            [pa.array(child.view(np.int64)), batch.column("id").take(where), batch.column("n").take(where), pa.array([x.tobytes() for x in _sketch(tokens)], pa.binary()).take(where)],
             names=["node", "id", "n", "sketch"],
         )
 
@@ -170,13 +183,17 @@ def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             roots = np.array([forest.root(i) for i in range(len(ids))])
             used = np.unique(np.concatenate([left, right]))
             for r in np.unique(roots[used]):
-                out.append(ids[roots == r].tolist())
+                mine = np.flatnonzero(roots == r)
+                block = np.cumsum(sizes[mine]) // (GROUP_SHINGLES // 2)
+                parts = [mine[block == k] for k in np.unique(block)]
+                pairs = [mine] if len(parts) < 3 else [np.concatenate([x, y]) for k, x in enumerate(parts) for y in parts[k + 1 :]]
+                out += [ids[np.sort(x)].tolist() for x in pairs]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["members"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Confirmed links of each group (a spanning forest of them). Full sets become rows of bits over the shingles that two
-    members share; a pair already joined is not compared again."""
+    """What confirmed links hold together in each group, as a star around the smallest id. Full sets become rows of bits over
+    the shingles that two members share, and all pairs are intersected by counting bits."""
     for batch in batches:
         a_out, b_out = [], []
         for ids, sets in zip(batch.column("ids").to_pylist(), batch.column("sets"), strict=True):
@@ -210,9 +227,11 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             union = sizes[:, None] + sizes[None, :] - inter
             left, right = np.nonzero(np.triu(100 * inter.astype(np.int64) >= percent * union, 1))
             for i, j in zip(left.tolist(), right.tolist(), strict=True):
-                if forest.join(i, j):
-                    a_out.append(ids[i])
-                    b_out.append(ids[j])
+                forest.join(i, j)
+            roots = np.array([forest.root(i) for i in range(len(ids))])  # the smallest id of each joined part
+            linked = np.flatnonzero(roots != np.arange(len(ids)))
+            a_out += ids[linked].tolist()
+            b_out += ids[roots[linked]].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
 
@@ -245,42 +264,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = stored(text.mapInArrow(lambda it: _marks(it, shingle), "id long, n long, s0 long, s1 long, tokens binary"), "marks")
-    classes = marks.where("id IS NOT NULL AND n > 0").groupBy("n", "s0", "s1").agg(F.min("id").alias("rep"))
-    classes = stored(classes, "classes")
-    # one row of tokens for each class: that of its smallest id
-    heads = marks.join(classes, ["n", "s0", "s1"]).where("id = rep").dropDuplicates(["id", "n", "s0", "s1"]).select("id", "n", "tokens")
-    heads = stored(heads, "heads")
-    groups = None
-    open_ = heads
+    some = marks.where("id IS NOT NULL AND n > 0")
+    classes = stored(some.groupBy("n", "s0", "s1").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "classes")
+    copies = stored(some.select("id", "n", "s0", "s1").join(classes, ["n", "s0", "s1"]).select("id", "rep"), "copies")
+    others = copies.where("id <> rep").distinct()
+    repeated = copies.where("id = rep").count() > classes.count()  # rows of one id and text
+    heads = some.select("id", "n", "tokens").join(_small(others.select("id"), copies.count()), "id", "left_anti")
+    heads = heads.dropDuplicates(["id", "n", "tokens"]) if repeated else heads
+    groups, open_, rows = None, heads, marks.count() * trees
     for level in range(levels):
-        kids = open_.mapInArrow(lambda it, level=level: _fresh(it, level, trees, percent), "node long, id long, n long, sketch binary")
-        kids = stored(kids, "children") if level else kids
-        sizes = stored(kids.groupBy("node").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        large = sizes.where(F.col("size") > node)
-        small = kids.join(sizes.where(F.col("size") <= node).select("node"), "node")
-        small = small.groupBy("node").agg(F.collect_list("id").alias("members"), F.collect_list("n").alias("sizes"), F.collect_list("sketch").alias("sketches")).drop("node")
-        found = stored(small.mapInArrow(lambda it: _clusters(it, percent), "members array<long>"), "groups")
+        kids = open_.mapInArrow(lambda it: _fresh(it, trees, percent), "node long, id long, n long, sketch binary")
+        if level:
+            kids = stored(_packed(kids, rows), "children")
+            rows = kids.count()
+        large = stored(kids.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > node), "large_nodes")
+        many, total = large.agg(F.count("*"), F.sum("size")).first()
+        large = _small(large, many)
+        small = kids.join(large.select("node"), "node", "left_anti") if many else kids
+        small = small.groupBy("node").agg(F.collect_list("id").alias("members"), F.collect_list("n").alias("sizes"), F.collect_list("sketch").alias("sketches")).where(F.size("members") > 1).drop("node")
+        found = stored(_packed(small, rows).mapInArrow(lambda it: _clusters(it, percent), "members array<long>"), "groups")
         groups = found if groups is None else groups.union(found)
-        if large.isEmpty():
+        if not many:
             open_ = None
             break
-        open_ = stored(kids.join(large.select("node"), "node").select("node", "id").join(heads, "id"), "open")
+        # a level halves a node of dissimilar documents, and shrinks one of similar documents less
+        steps = F.greatest(F.floor(F.log2(F.col("size") / node)), F.lit(1)).cast("int")
+        rows, wide = total, kids.join(large, "node").select("node", "id", steps.alias("steps"))
+        open_ = stored(_packed(heads.join(_small(wide, rows), "id"), rows), "open")
     if open_ is not None:
         groups = groups.union(stored(_blocks(open_, node), "blocks"))
-    groups = groups.distinct().select(F.monotonically_increasing_id().alias("g"), "members")
-    groups = stored(groups, "distinct_groups")
-    members = groups.select("g", F.explode("members").alias("id"))
-    wanted = stored(members.select("id").distinct(), "wanted")
-    texts = text.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "id", "left_semi")
-    # several rows of one id: any would do, that of the class head is meant
-    sets = stored(texts.mapInArrow(lambda it: _sets(it, shingle), "id long, shingles binary"), "sets").dropDuplicates(["id"])
+    # equal groups of several trees are compared once; two groups with one hash would be compared together
+    members = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("id")).distinct()
+    members = stored(members, "members")
+    rows = members.count()
+    wanted = stored(_packed(members.select("id").distinct(), rows), "wanted")
+    texts = text.join(_small(wanted, wanted.count()), "id", "left_semi")
+    sets = texts.mapInArrow(lambda it: _sets(it, shingle), "id long, shingles binary")
+    sets = sets.dropDuplicates(["id"]) if repeated else sets
     full = members.join(sets, "id").groupBy("g").agg(F.collect_list("id").alias("ids"), F.collect_list("shingles").alias("sets"))
-    links = stored(full.select("ids", "sets").mapInArrow(lambda it: _links(it, percent), "a long, b long"), "links")
-    parts = stored(connected_components(links), "components") if not links.isEmpty() else spark.createDataFrame([], "node long, component long")
-    heads_of = classes.join(parts, F.col("rep") == F.col("node"), "left").select("n", "s0", "s1", F.coalesce("component", "rep").alias("component"))
-    out = marks.select("id", "n", "s0", "s1").join(heads_of, ["n", "s0", "s1"], "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    links = stored(_packed(full.select("ids", "sets"), 20 * rows).mapInArrow(lambda it: _links(it, percent), "a long, b long"), "links")
+    parts = stored(connected_components(links), "components") if not links.isEmpty() else spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
+    head = marks.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node"))
+    out = head.join(parts, "node", "left").withColumn("component_id", component)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """For a join: broadcast if its rows, already counted, are few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _packed(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """So many partitions at most that each has ``each`` of about ``rows`` rows: what little is left isn't spread thin."""
+    return df.coalesce(max(8, rows // each))
 
 
 def _blocks(rows: DataFrame, node: int) -> DataFrame:
