@@ -22,7 +22,7 @@ from segloom.llm.words import BYTE_WORDS, Lexer, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a text; bytes of text that are segmented together; bytes of a chunk from which it is segmented alone.
-NBEST, BLOCK_BYTES, LONG = 3, 4 << 20, 64
+NBEST, BLOCK_BYTES, LONG = 3, 2 << 20, 64
 #: Below the lowest score of a one-character piece (the lone space, which is never chosen freely, apart): a byte of a character without a piece.
 BYTE_PENALTY = 10.0
 
