@@ -157,10 +157,11 @@ def adjusted_information(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
 
 def evaluate(reference: DataFrame, estimate: DataFrame, keys: Sequence[str] = KEYS, trim: bool = True) -> DataFrame:
     """All segment metrics of each track that both sides have, one wide row a track."""
-    ref, est, ends = adjust_pair(reference, estimate, keys)
+    # each is read by several metrics; lost blocks are made again
+    ref, est, ends = (df.persist() for df in adjust_pair(reference.persist(), estimate.persist(), keys))
     hits = boundary_hits(ref, est, keys=keys, trim=trim)
     wide = hits.groupBy(*keys).agg(*[F.max(F.when(F.col("window") == s, F.col(m))).alias(f"{m}_{s:g}".replace(".", "_")) for s in (0.5, 3.0) for m in ("precision", "recall", "f")])
-    cells = contingency(ref, est, ends, keys)
+    cells = contingency(ref, est, ends, keys).persist()
     parts = [wide, boundary_deviation(ref, est, keys, trim), pair_scores(cells, keys), entropy_scores(cells, keys), adjusted_information(cells, keys)]
     return reduce(lambda a, b: a.join(b, list(keys), "left"), parts)
 

@@ -438,9 +438,9 @@ def _(spark, d):
     return D.merge_frames(W.turns(spark, d)).select("track_id", F.col("idx").cast("long").alias("idx"), "start_time", "end_time", "label")
 
 
-@query("d07_boundary_times", "SELECT track_id, CAST(idx AS BIGINT) AS idx, round((start_time + n) / 2, 4) AS time FROM (SELECT *, lead(start_time) OVER (PARTITION BY track_id ORDER BY idx) AS n FROM sections_a) WHERE n IS NOT NULL")
+@query("d07_boundary_times", "SELECT track_id, CAST(idx AS BIGINT) AS idx, (start_time + n) / 2 AS time FROM (SELECT *, lead(start_time) OVER (PARTITION BY track_id ORDER BY idx) AS n FROM sections_a) WHERE n IS NOT NULL")
 def _(spark, d):
-    return D.boundary_times(W.sections_a(spark, d), order="idx").select("track_id", F.col("idx").cast("long").alias("idx"), r("time", 4))
+    return D.boundary_times(W.sections_a(spark, d), order="idx").select("track_id", F.col("idx").cast("long").alias("idx"), "time")
 
 
 _PROBS = "probs AS (SELECT track_id, frame_idx, 1 / (1 + exp(-scores[1])) AS p FROM frames QUALIFY frame_idx < max(frame_idx) OVER (PARTITION BY track_id))"
@@ -548,10 +548,10 @@ def _(spark, d):
     return E.boundary_hits(ref, est, (0.5, 3.0, 600.0))
 
 
-@query("e03_boundaries", f"WITH {_BOTH}, t AS (SELECT track_id, round(start_time, 5) AS t FROM refs UNION SELECT track_id, round(end_time, 5) FROM refs) SELECT track_id, round(t, 3) AS time FROM t QUALIFY t > min(t) OVER (PARTITION BY track_id) AND t < max(t) OVER (PARTITION BY track_id)")
+@query("e03_boundaries", f"WITH {_BOTH}, t AS (SELECT track_id, round(start_time, 5) AS t FROM refs UNION SELECT track_id, round(end_time, 5) FROM refs) SELECT track_id, round(t, 1) AS time FROM t QUALIFY t > min(t) OVER (PARTITION BY track_id) AND t < max(t) OVER (PARTITION BY track_id)")
 def _(spark, d):
     ref, _, _ = E.adjust_pair(*_pair(spark, d))
-    return E.boundaries(ref).select("track_id", r("time", 3))
+    return E.boundaries(ref).select("track_id", r("time", 1))
 
 
 @query("e04_boundary_deviation", f"""WITH {_BOTH}, rt AS (SELECT track_id, t FROM (SELECT track_id, round(start_time, 5) AS t FROM refs UNION SELECT track_id, round(end_time, 5) FROM refs) QUALIFY t > min(t) OVER (PARTITION BY track_id) AND t < max(t) OVER (PARTITION BY track_id)),
