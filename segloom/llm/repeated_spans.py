@@ -14,8 +14,6 @@ from segloom.llm.words import SPACES, Lexer, Words, mix
 
 #: Sentences of a run at least, and words of a run at least; a sentence of LONG words is a run of its own.
 SENTENCES, LEAST_WORDS, LONG = 2, 25, 50
-#: Repeated runs that are sent to every task; if there are more, the documents are shuffled to them.
-BROADCAST_RUNS = 500_000
 
 
 def sentences(block: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +121,7 @@ def _lengths(lists: pa.Array) -> pa.Array:
     return pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, least_words: int = LEAST_WORDS, long: int = LONG, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, least_words: int = LEAST_WORDS, long: int = LONG) -> DataFrame:
     """One row per row of ``docs``: id, n_sentences, n_removed, text without the sentences that a non-first repeated run covers.
 
     From every sentence goes a run: the shortest of ``least`` consecutive sentences with ``least_words`` words, or the
@@ -144,6 +142,6 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     later = runs.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "h1")
     later = stored(later, "later_runs")
     lists = later.groupBy("id").agg(F.collect_set("h1").alias("runs"))
-    by_id = rows.join(F.broadcast(lists) if later.count() <= broadcast_runs else lists, rows["id"].eqNullSafe(lists["id"]), "left").select(rows["id"], "text", "runs")
+    by_id = rows.join(lists, rows["id"].eqNullSafe(lists["id"]), "left").select(rows["id"], "text", "runs")
     out = by_id.mapInArrow(lambda it: _clean(it, least, least_words, long), f"id {kind}, n_sentences long, n_removed long, text string")
     return out.withColumnRenamed("id", id_col)
