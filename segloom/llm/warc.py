@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from segloom.llm.common import scratch_path, stored
 
 #: Bytes of an archive before the next begins; of a run of records that one task reads; between records that are read together.
-ARCHIVE_BYTES, SPAN_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 16 << 20, 64 << 10, 4 << 20
+ARCHIVE_BYTES, SPAN_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 8 << 20, 64 << 10, 4 << 20
 _INDEX = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("url", pa.string()), ("digest", pa.string()), ("record_type", pa.string()), ("id", pa.int64())])
 INDEX_DDL = "file string, offset long, length long, url string, digest string, record_type string, id long"
 
@@ -155,9 +155,10 @@ def _fetch(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> It
 
 def read_records(selected: DataFrame, folder: str, payloads: bool = False, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """The records of the index rows ``selected`` (any subset): id, url, record_type, digest, payload_bytes, refers_to, and
-    with ``payloads`` the payload of responses. Rows are dealt by file and stretch of ``span_bytes``, sorted by offset, and
-    neighbours are fetched with one read each; payloads are checked against their digests."""
-    dealt = selected.withColumn("span", F.expr(f"offset div {span_bytes}")).repartition("file", "span").sortWithinPartitions("file", "offset")
+    with ``payloads`` the payload of responses. Rows are dealt by file and stretch of ``span_bytes`` to as many partitions as
+    the selected bytes ask for (a sum over the stored index), sorted by offset, and neighbours are fetched with one read each; payloads are checked against their digests."""
+    parts = 1 + 2 * (selected.agg(F.sum("length")).first()[0] or 0) // span_bytes
+    dealt = selected.withColumn("span", F.expr(f"offset div {span_bytes}")).repartition(parts, "file", "span").sortWithinPartitions("file", "offset")
     ddl = "id long, url string, record_type string, digest string, payload_bytes long, refers_to long" + (", payload binary" if payloads else "")
     return dealt.select("file", "offset", "length").mapInArrow(lambda it: _fetch(it, folder, payloads), ddl)
 
