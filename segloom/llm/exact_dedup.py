@@ -48,7 +48,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows = again.join(found, ["chars", "prefix"], "left").select("id", "chars", "prefix", F.when(F.col("seen"), F.unhex(F.sha2("text", 256))).alias("full"))
         rows = stored(rows, "hashed")
         alive = rows.where(F.col("full").isNotNull())
-    groups = alive.groupBy("chars", "prefix", "full").agg(F.min("id").alias("keep"), F.count("*").alias("n")).where("n > 1")
+    # stored, so that the join back is a broadcast or can split a hot group
+    groups = stored(alive.groupBy("chars", "prefix", "full").agg(F.min("id").alias("keep"), F.count("*").alias("n")).where("n > 1"), "groups")
     out = rows.join(groups, ["chars", "prefix", "full"], "left")
     keep = F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep"))
     return out.select(
