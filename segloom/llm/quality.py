@@ -116,21 +116,22 @@ def top_k_threshold(rows: DataFrame, col: str, k: int, bins: int = 1024) -> floa
 def resample(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 7, target_rows: int = TARGET_ROWS, left_out: float = LEFT_OUT, margin: float = MARGIN) -> DataFrame:
     """One row per row of ``docs``: id, n_grams, log_weight, gumbel_score (log weight and Gumbel noise), selected.
 
-    The target model counts the hashed unigrams and bigrams of the documents in ``target_ids`` (at most ``target_rows`` of
-    them, drawn by a hash of the id), the raw model those of all documents. ``selected`` are the k largest scores, a sample
-    without replacement in proportion to the weights. Without k it is calibrated: as many rows as have a weight of no less
-    than the ``left_out`` quantile of the target documents, or 0 if that is smaller, less ``margin``.
+    The target model counts the hashed unigrams and bigrams of three quarters of the documents in ``target_ids`` (of at most
+    ``target_rows`` of them, drawn by a hash of the id), the raw model those of all documents. ``selected`` are the k largest
+    scores, a sample without replacement in proportion to the weights. Without k it is calibrated on the other quarter: as
+    many rows as have a weight of no less than the ``left_out`` quantile there, or 0 if that is smaller, less ``margin``.
 
     Rows that tie with the k-th are all selected (repeated rows do). Null and empty texts weigh 0. Without target documents
     nothing can be told and all rows are selected. Ids of any type; other columns are not read. Empty tables give no rows.
     """
     wanted = target_ids.select(F.col(id_col)).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(target_rows)
     wanted = stored(wanted, "target_ids")
-    target = only_ids(docs, wanted, id_col, target_rows)
+    held = F.pmod(F.xxhash64(F.lit(seed + 1), id_col), F.lit(4)) == 0
+    target = only_ids(docs, wanted.where(~held), id_col, target_rows)
     ratio = log_ratio(gram_counts(target, text_col), gram_counts(docs, text_col))
     scored = stored(importance_weights(docs, ratio, id_col, text_col).withColumn("gumbel_score", F.col("log_weight") + gumbel(seed, "id")), "weights")
     if k is None:
-        ids = F.broadcast(wanted.withColumnRenamed(id_col, "id"))
+        ids = F.broadcast(wanted.where(held).withColumnRenamed(id_col, "id"))
         low = scored.join(ids, "id", "left_semi").agg(F.percentile_approx("log_weight", left_out, 100_000)).first()[0]
         k = scored.where(F.col("log_weight") >= min(low, 0.0) - margin).count() if low is not None else scored.count()
     least = top_k_threshold(scored, "gumbel_score", k)
