@@ -639,9 +639,9 @@ def overlap(spark, d):
     return C.overlap_seconds(*_pair(spark, d)).select("original_label", "revised_label", r("seconds", 4))
 
 
-@query("c01_overlap_by_track", f"WITH {_OVER} SELECT track_id, l AS original_label, rl AS revised_label, round(sum(s), 4) AS seconds FROM ov GROUP BY ALL")
+@query("c01_overlap_by_track", f"WITH {_OVER} SELECT track_id, l AS original_label, rl AS revised_label, round(sum(s), 6) AS seconds FROM ov GROUP BY ALL")
 def _(spark, d):
-    return C.overlap_seconds(*_pair(spark, d), per_track=True, width=86400.0).select("track_id", "original_label", "revised_label", r("seconds", 4))
+    return C.overlap_seconds(*_pair(spark, d), per_track=True, width=86400.0).select("track_id", "original_label", "revised_label", r("seconds"))
 
 
 @query("c02_top_changed", f"WITH {_OVER} SELECT l AS original_label, rl AS revised_label, round(sum(s), 4) AS seconds FROM ov WHERE l <> rl GROUP BY ALL ORDER BY sum(s) DESC LIMIT 40")
@@ -649,9 +649,9 @@ def flagship(spark, d):
     return C.top_changed(C.overlap_seconds(*_pair(spark, d))).select("original_label", "revised_label", r("seconds", 4))
 
 
-@query("c03_agreement", f"WITH {_OVER} SELECT track_id, round(sum(CASE WHEN l = rl THEN s ELSE 0 END), 4) AS label_agreement_seconds, round(sum(CASE WHEN l = rl THEN s ELSE 0 END) / sum(s), 6) AS label_agreement_fraction FROM ov GROUP BY track_id")
+@query("c03_agreement", f"WITH {_OVER} SELECT track_id, round(sum(CASE WHEN l = rl THEN s ELSE 0 END), 6) AS label_agreement_seconds, round(sum(CASE WHEN l = rl THEN s ELSE 0 END) / sum(s), 6) AS label_agreement_fraction FROM ov GROUP BY track_id")
 def _(spark, d):
-    return C.agreement(*_pair(spark, d)).select("track_id", r("label_agreement_seconds", 4), r("label_agreement_fraction"))
+    return C.agreement(*_pair(spark, d)).select("track_id", r("label_agreement_seconds"), r("label_agreement_fraction"))
 
 
 @query("c04_internal_boundaries", f"WITH {_INNER} SELECT track_id, round(t, 6) AS time FROM oi")
@@ -659,9 +659,9 @@ def _(spark, d):
     return _inner(spark, d)[0].select("track_id", r("time"))
 
 
-@query("c05_nearest_distances", f"WITH {_DIST} SELECT track_id, round(t, 6) AS time, round(d, 5) AS distance FROM od")
+@query("c05_nearest_distances", f"WITH {_DIST} SELECT track_id, round(t, 6) AS time, round(d, 6) AS distance FROM od")
 def _(spark, d):
-    return C.nearest_distances(*_inner(spark, d)).select("track_id", r("time"), r("distance", 5))
+    return C.nearest_distances(*_inner(spark, d)).select("track_id", r("time"), r("distance"))
 
 
 @query("c06_signed_shifts", f"WITH {_INNER}, n AS (SELECT oi.track_id, oi.t, arg_min(ri.t, {{'d': abs(ri.t - oi.t), 't': ri.t}}) AS n FROM oi JOIN ri USING (track_id) GROUP BY ALL) SELECT track_id, round(t, 6) AS time, round(n - t, 5) AS shift FROM n WHERE abs(n - t) <= 3600")
