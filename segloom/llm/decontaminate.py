@@ -13,7 +13,7 @@ from segloom.llm.common import as_text, stored
 from segloom.llm.words import NOT_ALNUM, Lexer, Words, runs
 
 #: Words of a window; bytes of text under one suffix array; bytes of benchmark text searched for in one pass over the documents.
-WINDOW, SHARD_BYTES, BENCH_BYTES = 10, 4 << 20, 64 << 20
+WINDOW, SHARD_BYTES, BENCH_BYTES = 10, 2 << 20, 64 << 20
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:

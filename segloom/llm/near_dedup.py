@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segloom.llm.common import BROADCAST_ROWS, connected_components, stored
-from segloom.llm.words import SPACES, Lexer, mix, runs
+from segloom.llm.words import SPACES, Lexer, mix, release, runs
 
 #: Words of a shingle; similarity from which documents are linked, in hundredths; trees; minwise tokens of a document.
 SHINGLE, PERCENT, TREES, TOKENS = 5, 85, 12, 128
@@ -168,12 +168,15 @@ class _Forest:
 def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Of each small node the groups of documents that sketches hold together, as sorted lists of ids."""
     for batch in batches:
-        members, sketches = batch.column("members"), batch.column("sketches")
+        every, size, raw = (batch.column(c).flatten() for c in ("members", "sizes", "sketches"))
+        every, size = every.to_numpy(), size.to_numpy()
+        begin = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset] if len(raw) else 0
+        packed = np.frombuffer(raw.buffers()[2], np.uint8)[begin : begin + len(raw) * TOKENS // 4].reshape(len(raw), -1) if len(raw) else np.zeros((0, TOKENS // 4), np.uint8)
+        cuts = np.concatenate([[0], np.cumsum(batch.column("members").value_lengths().to_numpy())])
         out = []
-        for ids, sizes, raw in zip(members.to_pylist(), batch.column("sizes").to_pylist(), sketches.to_pylist(), strict=True):
-            order = np.argsort(np.array(ids), kind="stable")
-            ids, sizes = np.array(ids)[order], np.array(sizes)[order]
-            sketch = np.frombuffer(b"".join(raw), np.uint8).reshape(len(ids), -1)[order]
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            order = np.argsort(every[a:b], kind="stable")
+            ids, sizes, sketch = every[a:b][order], size[a:b][order], packed[a:b][order]
             left, right = _near(np.ascontiguousarray(sketch), sizes, percent)
             if not len(left):
                 continue
@@ -189,6 +192,7 @@ def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
                 pairs = [mine] if len(parts) < 3 else [np.concatenate([x, y]) for k, x in enumerate(parts) for y in parts[k + 1 :]]
                 out += [ids[np.sort(x)].tolist() for x in pairs]
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], names=["members"])
+        release()
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -233,6 +237,7 @@ def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
             a_out += ids[linked].tolist()
             b_out += ids[roots[linked]].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+        release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:

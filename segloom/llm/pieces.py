@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.words import BYTE_WORDS, Lexer, mix
+from segloom.llm.words import BYTE_WORDS, Lexer, mix, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a text; bytes of text that are segmented together; bytes of a chunk from which it is segmented alone.
-NBEST, BLOCK_BYTES, LONG = 3, 2 << 20, 64
+NBEST, BLOCK_BYTES, LONG = 3, 1 << 20, 64
 #: Below the lowest score of a one-character piece (the lone space, which is never chosen freely, apart): a byte of a character without a piece.
 BYTE_PENALTY = 10.0
 
@@ -207,7 +207,7 @@ class _Block:
         parts, owners = [], []
         for size in np.unique(self.length[self.length < LONG]):
             at = np.flatnonzero(self.length == size)
-            for block in np.array_split(at, 1 + len(at) * int(size) // 1_000_000):
+            for block in np.array_split(at, 1 + len(at) * int(size) // 500_000):
                 ids, count, best, second = _viterbi(self.data, sums, lexer._inverse, self.start[block], int(size), known)
                 parts.append(ids)
                 owners.append(block)
@@ -246,7 +246,7 @@ def _alternatives(block: _Block, text: int, offsets: np.ndarray, n: int, known:
         raw = block.chunk(block.type_of[a + k])
         ranked = seen.get(raw)
         if ranked is None:
-            if len(seen) > 50_000:
+            if len(seen) > 5_000:
                 seen.clear()
             ranked = seen[raw] = nbest_chunk(raw, n, known)
         choices = [(ranked[0][0] - score, r) for r, (score, _) in enumerate(ranked)]
@@ -283,6 +283,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa
                 names=[*batch.schema.names, "ids", "score", "other_scores", "other_edits"],
             )
             at = to
+            release()
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, nbest: int = NBEST) -> DataFrame:
@@ -323,3 +324,18 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """Adds ``decoded``, the text of ``ids``, and ``others_decode``: whether all other segmentations have the same text."""
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(lambda it: _decode(it, model), f"{ddl}, decoded string, others_decode boolean")
+
+
+def _round_trip(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
+    for batch in _decode(_encode(batches, path, n), path):
+        same = pc.equal(batch.column("decoded"), pc.fill_null(batch.column("text").cast(pa.string()), ""))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "ids", "score", "other_scores", "others_decode")), same], names=["id", "ids", "score", "other_scores", "others_decode", "round_trip"])
+
+
+def encode_checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, nbest: int = NBEST) -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one worker: id, ids, score, other_scores, others_decode and round_trip, whether
+    the decoded text is the text (null: empty). Texts don't go back to the JVM."""
+    kind = dict(docs.dtypes)[id_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = rows.mapInArrow(lambda it: _round_trip(it, model, nbest), f"id {kind}, ids array<int>, score double, other_scores array<double>, others_decode boolean, round_trip boolean")
+    return out.withColumnRenamed("id", id_col)

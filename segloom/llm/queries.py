@@ -13,7 +13,7 @@ from segloom.llm.decontaminate import benchmark_hits
 from segloom.llm.exact_dedup import exact_groups
 from segloom.llm.hilbert_sharding import assign_shards
 from segloom.llm.near_dedup import near_duplicates
-from segloom.llm.pieces import decode, encode
+from segloom.llm.pieces import encode_checked
 from segloom.llm.quality import resample
 from segloom.llm.repeated_spans import drop_repeated_spans
 from segloom.llm.toxicity import score_toxicity
@@ -46,16 +46,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = decode(encode(table(spark, sf_dir, "documents")))
-    return out.select(
-        "doc_id",
-        F.size("ids").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
-        "score",
-        "other_scores",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-        "others_decode",
-    )
+    out = encode_checked(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "other_scores", "round_trip", "others_decode")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

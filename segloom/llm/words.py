@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -14,6 +15,19 @@ _ODD = 0x9E3779B97F4A7C15
 _BACK = pow(_ODD, -1, 1 << 64)
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker lives on for other tasks beside a full executor."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     with np.errstate(over="ignore"):
@@ -89,7 +103,7 @@ class Lexer:
             code = mix((sums[end] - sums[start]) * self._inverse[start] + (end - start).astype(_U))
         return Words(np.searchsorted(start, bounds), start, end, code, rows, data, bounds, sums, self._inverse)
 
-    def blocks(self, column: pa.Array, most: int = 2 << 20) -> Iterator[Words]:
+    def blocks(self, column: pa.Array, most: int = 1 << 20) -> Iterator[Words]:
         """The words of a string column, in runs of rows of about ``most`` bytes (a longer text is a run of its own)."""
         if isinstance(column, pa.ChunkedArray):
             column = column.combine_chunks()
@@ -106,6 +120,7 @@ class Lexer:
             to = min(to, n)
             yield self.scan(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], slice(at, to))
             at = to
+        release()
 
 
 def runs(code: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

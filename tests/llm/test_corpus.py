@@ -323,7 +323,7 @@ def every_path(chunk, known):
 
 
 def test_pieces(spark):
-    from segloom.llm.pieces import MODEL, decode, encode, nbest_chunk, vocabulary
+    from segloom.llm.pieces import MODEL, decode, encode, encode_checked, nbest_chunk, vocabulary
 
     known = vocabulary(MODEL)
     for chunk in (" hello", "  a", " éx", "\n", " x執▁"):
@@ -337,6 +337,8 @@ def test_pieces(spark):
             full = every_path((" " + t).encode(), known)
             assert got[i].score == pytest.approx(full[0][0])
             assert list(got[i].other_scores) == pytest.approx([x for x, _ in full[1:3]])
+    for r in encode_checked(docs_of(spark, texts)).collect():
+        assert r.round_trip and r.others_decode and r.ids == got[r.doc_id].ids
     assert encode(docs_of(spark, [])).count() == 0
 
 
