@@ -306,6 +306,32 @@ def test_repeated_spans(spark):
     assert drop_repeated_spans(docs_of(spark, [])).count() == 0
 
 
+def test_repeated_stretches(spark):
+    from segloom.llm.repeated_spans import drop_repeated_spans
+
+    rng = random.Random(11)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    stretch = new(70)
+    stretch[29] += "."  # 30 + 25 words and more, the first glued to the words before it
+    plain, short = new(50), new(49)
+    loop = (["one", "two"] * 80)
+    texts = [[*new(9), *stretch, *new(9)], [*new(4), *stretch, *new(30)], [*new(7), *plain], [*plain, *new(3)], [*short, *new(5)], [*new(5), *short], [*stretch[:40], *new(20), *stretch[20:70]], loop, [*plain[:25], *new(1), *plain[25:]]]
+    size = 50
+    seen, wanted = set(), []
+    for w in texts:
+        gone, own = set(), {}
+        for i in range(len(w) - size + 1):
+            x = tuple(w[i : i + size])
+            if x in seen or i >= own.setdefault(x, i) + size:
+                gone |= set(range(i, i + size))
+        seen |= set(own)
+        wanted.append([x for i, x in enumerate(w) if i not in gone])
+    got = {r.doc_id: r for r in drop_repeated_spans(docs_of(spark, [" ".join(w) for w in texts])).collect()}
+    assert [got[i].text.split() for i in range(len(texts))] == wanted
+    assert [len(w) - len(x) for w, x in zip(texts, wanted, strict=True)] == [0, 70, 0, 50, 0, 0, 50, 110, 0]
+    assert [got[i].n_removed > 0 for i in range(len(texts))] == [w != x for w, x in zip(texts, wanted, strict=True)]
+
+
 def every_path(chunk, known):
     out = []
 
