@@ -14,6 +14,8 @@ from segloom.llm.words import NOT_ALNUM, Lexer, Words, runs
 
 #: Words of a window; bytes of text under one suffix array; bytes of benchmark text searched for in one pass over the documents.
 WINDOW, SHARD_BYTES, BENCH_BYTES = 10, 2 << 20, 64 << 20
+#: Pairs of a hit and a benchmark position that are followed at a time.
+PAIRS = 1 << 20
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -82,12 +84,13 @@ def search(words: np.ndarray, order: np.ndarray, test: np.ndarray, queries: np.n
 
 
 class Tests:
-    """The windows of a block of benchmark items: each different window once, with the items that have it."""
+    """The windows of a block of benchmark items: each different window once, with the items and the positions that have it.
+    A 0 is before the first item and after each, so that no match crosses items."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.names = sorted({i for i, _ in items})
         name_at = {x: k for k, x in enumerate(self.names)}
-        parts, pairs, at = [], [], 0
+        parts, pairs, at = [np.zeros(1, np.uint64)], [], 1
         lexer = Lexer(NOT_ALNUM)
         starts, lengths = [], []
         for block in lexer.blocks(pa.array([t for _, t in items], pa.large_string())):
@@ -95,17 +98,22 @@ class Tests:
             count = np.diff(block.first)
             made = np.diff(offsets)
             text = np.repeat(np.arange(len(made)), made)
-            starts.append(at + block.first[text] + np.arange(len(text)) - offsets[text])
+            starts.append(at + block.first[text] + text + np.arange(len(text)) - offsets[text])
             lengths.append(np.minimum(count, window)[text])
             pairs.append((hashes, np.array([name_at[items[block.rows.start + k][0]] for k in range(len(made))], np.int64)[text]))
-            parts.append(np.maximum(block.code, np.uint64(1)))
-            at += len(block.code)
+            parts.append(np.zeros(len(block.code) + len(count), np.uint64))
+            parts[-1][np.arange(len(block.code)) + block.text_of()] = np.maximum(block.code, np.uint64(1))
+            at += len(parts[-1])
         joined = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         self.code = np.concatenate([joined(parts, np.uint64), np.zeros(window, np.uint64)])
         starts, lengths = joined(starts, np.int64), joined(lengths, np.int64)
         _, one, of = np.unique(joined([h for h, _ in pairs], np.uint64), return_index=True, return_inverse=True)
         self.query, self.length = starts[one], lengths[one]
-        both = np.unique(np.stack([of.reshape(-1), joined([i for _, i in pairs], np.int64)], 1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
+        of, items_of = of.reshape(-1), joined([i for _, i in pairs], np.int64)
+        order = np.argsort(of, kind="stable")
+        self.place, self.place_item = starts[order], items_of[order]
+        self.place_from = np.searchsorted(of[order], np.arange(len(one) + 1))
+        both = np.unique(np.stack([of, items_of], 1), axis=0) if len(of) else np.zeros((0, 2), np.int64)
         self.item = both[:, 1]
         self.item_from = np.searchsorted(both[:, 0], np.arange(len(one) + 1))
 
@@ -117,6 +125,35 @@ def _spread(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + lo[of], of
 
 
+def _longest(words: np.ndarray, at: np.ndarray, of: np.ndarray, text: np.ndarray, base: np.ndarray, tests: Tests) -> np.ndarray:
+    """The longest match of each text: words, item, word offset. Every position of a window in the benchmark is followed, from
+    where the word before differs on to the first that differs. Of equal lengths the earliest in the text counts, then the
+    first item."""
+    best = np.zeros((0, 4), np.int64)  # text, -words, place in the text, item
+    total = np.cumsum(tests.place_from[of + 1] - tests.place_from[of])
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, "right")))
+        k, hit = _spread(tests.place_from[of[lo:hi]], tests.place_from[of[lo:hi] + 1])
+        hit += lo
+        q, here = tests.place[k], at[hit]
+        left = np.flatnonzero((here == base[text[hit]]) | (tests.code[q - 1] == 0) | (words[np.maximum(here - 1, 0)] != tests.code[q - 1]))
+        q, here, hit, item = q[left], here[left], hit[left], tests.place_item[k[left]]
+        length = tests.length[of[hit]].copy()
+        going = np.arange(len(left))
+        while len(going):
+            a, b = words[here[going] + length[going]], tests.code[q[going] + length[going]]
+            going = going[(a == b) & (a != 0)]
+            length[going] += 1
+        best = np.concatenate([best, np.stack([text[hit], -length, here, item], 1)])
+        best = best[np.lexsort(best.T[::-1])]
+        best = best[np.unique(best[:, 0], return_index=True)[1]]
+        lo = hi
+    out = np.zeros((len(base), 3), np.int64)
+    out[best[:, 0]] = np.stack([-best[:, 1], best[:, 3], best[:, 2] - base[best[:, 0]]], 1)
+    return out
+
+
 def _find(block: Words, tests: Tests, window: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
     """Of one shard: hit words, (text, item) pairs, the longest match of each text (words, item, word offset)."""
     texts = len(block.first) - 1
@@ -134,20 +171,7 @@ def _find(block: Words, tests: Tests, window: int) -> tuple[np.ndarray, np.ndarr
     hit = (np.cumsum(np.bincount(at, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0)[place]
     base = block.first[:-1] + np.arange(texts)  # where each text begins in words
     text = np.searchsorted(base, at, "right") - 1
-    # whole matches: from where the word before differs, on to the first that differs
-    q = tests.query[of]
-    left = np.flatnonzero((at == base[text]) | (q == 0) | (words[np.maximum(at - 1, 0)] != tests.code[np.maximum(q - 1, 0)]))
-    length = tests.length[of[left]].copy()
-    going = np.arange(len(left))
-    while len(going):
-        a, b = words[at[left[going]] + length[going]], tests.code[np.minimum(q[left[going]] + length[going], len(tests.code) - 1)]
-        going = going[(a == b) & (a != 0)]
-        length[going] += 1
-    best = np.lexsort((at[left], -length, text[left]))
-    best = best[np.unique(text[left][best], return_index=True)[1]]
-    longest = np.zeros((texts, 3), np.int64)
-    first_item = tests.item[tests.item_from[of[left[best]]]] if len(best) else np.zeros(0, np.int64)
-    longest[text[left[best]]] = np.stack([length[best], first_item, at[left[best]] - base[text[left[best]]]], 1)
+    longest = _longest(words, at, of, text, base, tests)
     seen = np.unique(text * (len(tests.query) + 1) + of)
     seen_text, seen_of = seen // (len(tests.query) + 1), seen % (len(tests.query) + 1)
     item, k = _spread(tests.item_from[seen_of], tests.item_from[seen_of + 1])
@@ -191,7 +215,7 @@ def _mapper(tests, window: int, shard_bytes: int, schema: pa.Schema) -> Callable
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES, bench_bytes: int = BENCH_BYTES) -> DataFrame:
     """One row per row of ``docs``: id, n_words, hit_spans (flat [from, to) word offsets), item_ids (sorted), and the longest
-    verbatim match: longest_words, longest_item, longest_at.
+    verbatim match that holds a window: longest_words, longest_item, longest_at (of equal ones the earliest, then the first item).
 
     Each task cuts its texts into shards of about ``shard_bytes`` (a longer text is a shard of its own), sorts the shard's
     word suffixes and searches them for every suffix of the benchmark, as far as the window: ``window`` words, or the whole
@@ -239,7 +263,10 @@ def _carry(tests, window: int, shard_bytes: int, schema: pa.Schema) -> Callable[
             columns = {c: got.column(c).combine_chunks() for c in schema.names}
             if had:
                 columns["item_ids"] = pa.array([sorted({*a, *b}) for a, b in zip(columns["item_ids"].to_pylist(), batch.column(4).to_pylist(), strict=True)], pa.list_(pa.string()))
-                longer = np.asarray(batch.column(5)) >= np.asarray(columns["longest_words"])
+                rank = lambda n, item, at: (-n, at, item or "")
+                old_best = zip(*[batch.column(k).to_pylist() for k in (5, 6, 7)], strict=True)
+                new_best = zip(*[columns[c].to_pylist() for c in ("longest_words", "longest_item", "longest_at")], strict=True)
+                longer = [rank(*a) <= rank(*b) for a, b in zip(old_best, new_best, strict=True)]
                 for name, old in (("longest_words", 5), ("longest_item", 6), ("longest_at", 7)):
                     columns[name] = pa.array([b if k else a for a, b, k in zip(columns[name].to_pylist(), batch.column(old).to_pylist(), longer, strict=True)], columns[name].type)
             full = pa.schema([schema.field("id"), ("text", pa.string()), *[schema.field(c) for c in schema.names[1:]]])

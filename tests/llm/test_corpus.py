@@ -192,6 +192,32 @@ def test_benchmark_hits(spark):
     assert [r.doc_id for r in clean.collect()] == [1]
 
 
+def test_longest_matches(spark):
+    from segloom.llm.decontaminate import benchmark_hits
+
+    stem = [f"s{i}" for i in range(10)]
+    a, b = [*stem, "a1", "a2"], [*stem, *(f"b{i}" for i in range(30))]
+    first, second = [f"f{i}" for i in range(12)], [f"g{i}" for i in range(12)]
+    third = ["f11", *second]  # begins with the last word of the item before
+    items = [("a", a), ("b", b), ("f", first), ("g", second), ("h", first), ("i", third), ("short", ["x", "y"]), *[(f"i{k}", x.split()) for k, x in enumerate(sample(3, 10, 3, 40))]]
+    texts = [b, ["z", *b, "z"], [*a, *b[10:]], [*first, *second], ["f11", *second], ["f11", "z", *second], ["x", "y", *stem], [], *[x.split() for x in sample(2, 30, 3, 120)]]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items], "item_id string, text string")
+    for options in ({}, {"shard_bytes": 100}, {"bench_bytes": 300}):
+        got = {r.doc_id: r for r in benchmark_hits(docs_of(spark, [" ".join(w) for w in texts]), bench, **options).collect()}
+        for i, w in enumerate(texts):
+            best = (0, 0, "")
+            for name, v in items:
+                for p in range(len(v)):
+                    for q in range(len(w)):
+                        n = 0
+                        while p + n < len(v) and q + n < len(w) and v[p + n] == w[q + n]:
+                            n += 1
+                        if n >= 10 or (n == len(v) and p == 0):
+                            best = min(best, (-n, q, name))
+            assert (-got[i].longest_words, got[i].longest_at, got[i].longest_item or "") == best
+    assert got[0].longest_words == 40 and got[0].longest_item == "b"
+
+
 def test_suffix_array():
     from segloom.llm.decontaminate import suffix_array
 
