@@ -235,44 +235,68 @@ def infer_segments(rows: DataFrame, names: Column | None = None, keys: Sequence[
     return remove_short(merged, least, keys) if least > 0 else merged
 
 
-def grid_search(rows: DataFrame, reference: DataFrame, sizes: Sequence[int] = (1, 5, 7, 9, 15), modes: Sequence[str] = ("mean",), penalties: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0, 4.0), least: Sequence[float] = (0.0,), keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every setting on every track: means and deviations of boundary F at 0.5 and 3 s, pairwise F, NCE F and segment
-    counts, best F at 3 s first. Scores are smoothed once per window and mode; a track goes to the settings as one row."""
+#: The parameters of a grid search, with their types.
+SETTING = {"window": "int", "mode": "string", "decoder": "string", "penalty": "double", "weight": "double", "eps": "double", "least": "double"}
+
+
+def grid_search(rows: DataFrame, reference: DataFrame, sizes: Sequence[int] = (1, 5, 9, 13, 19), modes: Sequence[str] = ("mean",), penalties: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0), least: Sequence[float] = (0.0,), keys: Sequence[str] = KEYS, decoders: Sequence[str] = ("viterbi",), weights: Sequence[float] = (0.0,), eps_values: Sequence[float] = (1e-4,), boundary: str | None = None) -> DataFrame:
+    """Every combination of window, mode, decoder, penalty, boundary weight, eps and least duration on every track: means
+    and deviations of boundary F at 0.5 and 3 s, pairwise F, NCE F and segment counts, best F at 3 s first. ``boundary``
+    names the column of the probability of a boundary after the frame; without it, and in argmax, weights have no effect.
+    Scores are smoothed once per window and mode; a track goes to the other settings as one row, and is decoded once for
+    those that differ only in what the decoder does not use."""
     from functools import reduce
+    from itertools import product
 
     from segloom.operators.evaluation import track_scores
 
+    if not set(decoders) <= {"viterbi", "argmax"}:
+        raise ValueError("a decoder is viterbi or argmax")
     kinds = dict(rows.dtypes)
     refs = reference.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_time", "end_time", F.col("label").cast("string").alias("label")))).alias("ref"))
-    smoothed = reduce(DataFrame.unionByName, [smooth_scores(rows, s, m, keys).select(*keys, "frame_idx", "start_time", "end_time", "scores", F.lit(s).alias("window"), F.lit(m).alias("mode")) for s in sizes for m in modes])
-    packed = smoothed.groupBy(*keys, "window", "mode").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "start_time", "end_time", "scores"))).alias("frames")).join(refs, list(keys))
-    settings = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("penalty"), F.lit(float(x)).alias("least")) for p in penalties for x in least]))
-    tasks = packed.withColumn("s", settings).select(*keys, "window", "mode", "s.penalty", "s.least", "frames", "ref")
+    prior = F.col(boundary).cast("double") if boundary else F.lit(None).cast("double")
+    given = rows.select(*keys, "frame_idx", "start_time", "end_time", "scores", prior.alias("prior"))
+    smoothed = reduce(DataFrame.unionByName, [smooth_scores(given, s, m, keys).select(*keys, "frame_idx", "start_time", "end_time", "scores", "prior", F.lit(s).alias("window"), F.lit(m).alias("mode")) for s in sizes for m in modes])
+    packed = smoothed.groupBy(*keys, "window", "mode").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "start_time", "end_time", "scores", "prior"))).alias("frames")).join(refs, list(keys))
+    settings = list(product(decoders, map(float, penalties), map(float, weights), map(float, eps_values), map(float, least)))
     metrics = ["f05", "f30", "pairwise_f", "nce_f", "segments"]
+    columns = [*keys, *SETTING, *metrics]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for r in batch.itertuples():
-                frames = list(r.frames)
-                path = viterbi(np.array([f["scores"] for f in frames], float), r.penalty)
-                segments: list[tuple[float, float, str]] = []
-                for f, x in zip(frames, path, strict=True):
-                    if segments and segments[-1][2] == str(x):
-                        segments[-1] = (segments[-1][0], f["end_time"], str(x))
-                    else:
-                        segments.append((f["start_time"], f["end_time"], str(x)))
-                segments = clean_segments(segments, r.least)
-                s = track_scores([(x["start_time"], x["end_time"], x["label"]) for x in r.ref], segments)
-                out.append([s["f05"], s["f30"], s["pairwise_f"], s["nce_f"], float(len(segments))])
-            yield batch[[*keys, "window", "mode", "penalty", "least"]].assign(**{m: [x[i] for x in out] for i, m in enumerate(metrics)})
-
-    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", window int, mode string, penalty double, least double, " + ", ".join(f"{m} double" for m in metrics)
-    each = tasks.repartition(*keys, "window", "mode", "penalty", "least").mapInPandas(run, ddl)
+            for r in batch.to_dict("records"):
+                frames = list(r["frames"])
+                scores = np.array([f["scores"] for f in frames], float)
+                between = np.array([f["prior"] for f in frames][:-1], float) if boundary else None
+                ref = [(x["start_time"], x["end_time"], x["label"]) for x in r["ref"]]
+                merged: dict[tuple, list[tuple[float, float, str]]] = {}
+                scored: dict[tuple, list[float]] = {}
+                for decoder, penalty, weight, eps, shortest in settings:
+                    prior_used = decoder == "viterbi" and between is not None and weight != 0
+                    how = (decoder, penalty if decoder == "viterbi" else None, weight if prior_used else None, eps if prior_used else None)
+                    if how not in merged:
+                        path = viterbi(scores, penalty, between if prior_used else None, weight if prior_used else 0.0, eps) if decoder == "viterbi" else scores.argmax(1)
+                        segments: list[tuple[float, float, str]] = []
+                        for f, x in zip(frames, path, strict=True):
+                            if segments and segments[-1][2] == str(x):
+                                segments[-1] = (segments[-1][0], f["end_time"], str(x))
+                            else:
+                                segments.append((f["start_time"], f["end_time"], str(x)))
+                        merged[how] = segments
+                    if (how, shortest) not in scored:
+                        cleaned = clean_segments(merged[how], shortest)
+                        s = track_scores(ref, cleaned)
+                        scored[how, shortest] = [s["f05"], s["f30"], s["pairwise_f"], s["nce_f"], float(len(cleaned))]
+                    out.append([*[r[k] for k in keys], r["window"], r["mode"], decoder, penalty, weight, eps, shortest, *scored[how, shortest]])
+            yield pd.DataFrame(out, columns=columns)
+
+    ddl = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{k} {v}" for k, v in SETTING.items()] + [f"{m} double" for m in metrics])
+    each = packed.repartition(*keys, "window", "mode").mapInPandas(run, ddl)
     aggs = [f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
-    return each.groupBy("window", "mode", "penalty", "least").agg(F.count("*").alias("num_tracks"), *aggs).orderBy(F.desc_nulls_last("f30_mean"), "window", "penalty", "least")
+    return each.groupBy(*SETTING).agg(F.count("*").alias("num_tracks"), *aggs).orderBy(F.desc_nulls_last(F.round("f30_mean", 12)), *SETTING)
 
 
 def top_settings(results: DataFrame, k: int = 10) -> DataFrame:
     """D15."""
-    return results.orderBy(F.desc_nulls_last("f30_mean"), "window", "penalty", "least").limit(k)
+    return results.orderBy(F.desc_nulls_last(F.round("f30_mean", 12)), *SETTING).limit(k)

@@ -488,9 +488,9 @@ def _(spark, d):
 
 
 def _grid_results(spark, d):
-    f = W.frames(spark, d)
+    f = W.frames(spark, d).withColumn("boundary", V.sigmoid(F.col("scores")[0]))
     ref = D.reference_segments(f).withColumn("label", F.col("target").cast("string"))
-    return D.grid_search(f, ref, sizes=(1, 5, 9), penalties=(0.0, 0.2, 0.5))
+    return D.grid_search(f, ref, sizes=(1, 5, 9), modes=("mean", "median"), penalties=(0.0, 0.2, 0.5), least=(0.0, 1.5), decoders=("viterbi", "argmax"), weights=(0.0, 0.2), eps_values=(1e-4, 1e-2), boundary="boundary")
 
 
 @query("d14_grid_search")

@@ -257,3 +257,28 @@ def test_sources(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 2
     S.write_features(s.withColumn("encoder", F.lit("e")).withColumn("dataset", F.lit("d")), f"{tmp_path}/store")
     assert S.read_features(spark, f"{tmp_path}/store", encoder="e").count() == 2
+
+
+def test_grid_search(spark):
+    rng = np.random.default_rng(4)
+    frames = {t: (rng.random((24, 3)), rng.random(24)) for t in ("s", "t")}
+    rows = spark.createDataFrame([(t, i, i * 0.5, i * 0.5 + 0.5, x.tolist(), float(b)) for t, (scores, p) in frames.items() for i, (x, b) in enumerate(zip(scores, p, strict=True))], "track_id string, frame_idx int, start_time double, end_time double, scores array<double>, p double")
+    ref = spark.createDataFrame([(t, a, b, x) for t in frames for a, b, x in ((0.0, 4.0, "0"), (4.0, 9.0, "1"), (9.0, 12.0, "2"))], "track_id string, start_time double, end_time double, label string")
+    grid = {"sizes": (1, 3), "modes": ("mean", "median"), "decoders": ("viterbi", "argmax"), "penalties": (0.0, 0.6), "weights": (0.0, 0.7), "eps_values": (1e-4, 0.3), "least": (0.0, 1.5)}
+    found = D.grid_search(rows, ref, boundary="p", **grid)
+    got = {tuple(r[k] for k in ("window", "mode", "decoder", "penalty", "weight", "eps", "least")): r for r in found.collect()}
+    assert set(got) == set(itertools.product(*grid.values()))
+    for (size, mode, decoder, penalty, weight, eps, least), r in got.items():
+        scores = []
+        for x, p in frames.values():
+            padded = np.pad(x, ((size // 2, size // 2), (0, 0)), mode="edge")
+            smooth = np.array([getattr(np, mode)(padded[i : i + size], axis=0) for i in range(len(x))])
+            path = D.viterbi(smooth, penalty, p[:-1], weight, eps) if decoder == "viterbi" else smooth.argmax(1)
+            runs = [(k, [i for i, _ in g]) for k, g in itertools.groupby(enumerate(path.tolist()), key=lambda y: y[1])]
+            segments = D.clean_segments([(g[0] * 0.5, g[-1] * 0.5 + 0.5, str(k)) for k, g in runs], least)
+            scores.append({**E.track_scores([(0.0, 4.0, "0"), (4.0, 9.0, "1"), (9.0, 12.0, "2")], segments), "segments": len(segments)})
+        assert r.num_tracks == 2
+        for m in ("f05", "f30", "pairwise_f", "nce_f", "segments"):
+            assert r[f"{m}_mean"] == pytest.approx(np.mean([y[m] for y in scores])) and r[f"{m}_std"] == pytest.approx(np.std([y[m] for y in scores]), abs=1e-9)
+    assert len({r.segments_mean for k, r in got.items() if k[:4] == (1, "mean", "viterbi", 0.6)}) > 2
+    assert [r.f30_mean for r in D.top_settings(found, 3).collect()] == pytest.approx(sorted((r.f30_mean for r in got.values()), reverse=True)[:3])
