@@ -329,13 +329,13 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
     for batch in _decode(_encode(batches, path, n), path):
         same = pc.equal(batch.column("decoded"), pc.fill_null(batch.column("text").cast(pa.string()), ""))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "ids", "score", "other_scores", "others_decode")), same], names=["id", "ids", "score", "other_scores", "others_decode", "round_trip"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "ids", "score", "other_scores", "other_edits", "others_decode")), same], names=["id", "ids", "score", "other_scores", "other_edits", "others_decode", "round_trip"])
 
 
 def encode_checked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, nbest: int = NBEST) -> DataFrame:
-    """``encode`` and ``decode`` in one pass of one worker: id, ids, score, other_scores, others_decode and round_trip, whether
-    the decoded text is the text (null: empty). Texts don't go back to the JVM."""
+    """``encode`` and ``decode`` in one pass of one worker: id, ids, score, other_scores, other_edits, others_decode and
+    round_trip, whether the decoded text is the text (null: empty). Texts don't go back to the JVM."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(lambda it: _round_trip(it, model, nbest), f"id {kind}, ids array<int>, score double, other_scores array<double>, others_decode boolean, round_trip boolean")
+    out = rows.mapInArrow(lambda it: _round_trip(it, model, nbest), f"id {kind}, ids array<int>, score double, other_scores array<double>, other_edits array<array<int>>, others_decode boolean, round_trip boolean")
     return out.withColumnRenamed("id", id_col)

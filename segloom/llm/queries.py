@@ -47,7 +47,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_checked(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "other_scores", "round_trip", "others_decode")
+    return out.select("doc_id", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "score", "other_scores", "round_trip", "others_decode", "ids", "other_edits")
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

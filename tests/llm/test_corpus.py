@@ -394,6 +394,25 @@ def test_pieces(spark):
     assert encode(docs_of(spark, [])).count() == 0
 
 
+def test_pieces_query(spark, sf):
+    from segloom.llm.pieces import MODEL, vocabulary
+    from segloom.llm.queries import QUERIES
+
+    known, text = vocabulary(MODEL), {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = QUERIES["op6_pieces"](spark, sf).limit(20).collect()
+    assert any(r.other_edits for r in rows)
+    for r in rows:
+        assert len(r.ids) == r.n_pieces and len(r.other_edits) == len(r.other_scores)
+        for edit in [[], *r.other_edits]:
+            ids, at = list(r.ids), 0
+            parts, done = [], 0
+            while at < len(edit):
+                a, b, n = edit[at : at + 3]
+                parts += [*ids[done:a], *edit[at + 3 : at + 3 + n]]
+                at, done = at + 3 + n, b
+            assert b"".join(known.text[i] for i in [*parts, *ids[done:]])[1:].decode() == text[r.doc_id]
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
     from segloom.llm.common import stored
