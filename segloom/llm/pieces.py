@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding with the N best segmentations of a text over the piece lattice.
 
 No piece of the vocabulary has white space after another character, so a lattice falls apart into chunks: a run of spaces
-with what follows it up to the next. Each different chunk of a batch is segmented once, by a forward Viterbi pass over all
-chunks of one length together. The N best of a text come from the chunks whose second best is nearest to their best, and
+with what follows it up to the next. A task segments each different chunk once (as far as it remembers them), by a forward
+Viterbi pass over the new chunks of a block together. The N best of a text come from the chunks whose second best is nearest to their best, and
 those chunks' own N best from a backward A* search, for which the forward scores are exact heuristics.
 """
 
@@ -18,11 +18,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.words import BYTE_WORDS, Lexer, mix, release
+from segloom.llm.words import Lexer, mix, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a text; bytes of text that are segmented together; bytes of a chunk from which it is segmented alone.
 NBEST, BLOCK_BYTES, LONG = 3, 1 << 20, 64
+#: Bytes of chunks that one forward pass holds.
+CELLS = 500_000
 #: Below the lowest score of a one-character piece (the lone space, which is never chosen freely, apart): a byte of a character without a piece.
 BYTE_PENALTY = 10.0
 
@@ -52,19 +54,26 @@ class Vocabulary:
         if any(b" " in raw.lstrip(b" ") for raw in self.pieces):
             raise ValueError("a piece has a space after another character")
         self.longest = max(map(len, self.pieces))
-        codes = np.array([_code(raw) for raw in self.pieces], np.uint64)
+        codes = _codes(list(self.pieces))
         order = np.argsort(codes)
         ids = np.array([i for i, _ in self.pieces.values()], np.int32)
         scores = np.array([s for _, s in self.pieces.values()])
         self.codes, self.ids, self.scores = codes[order], ids[order], scores[order]
+        bucket = (self.codes >> np.uint64(44)).astype(np.int64)
         self.alive = np.zeros(1 << 20, bool)
-        self.alive[(codes >> np.uint64(44)).astype(np.int64)] = True
+        self.alive[bucket] = True
+        self.first = np.searchsorted(bucket, np.arange(1 << 20)).astype(np.int32)
+        self.crowd = int(np.bincount(bucket).max())
 
     def find(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which codes are pieces, and their places in ``ids`` and ``scores``."""
-        maybe = np.flatnonzero(self.alive[(codes >> np.uint64(44)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.codes, codes[maybe]), len(self.codes) - 1)
-        real = self.codes[at] == codes[maybe]
+        bucket = (codes >> np.uint64(44)).view(np.int64)
+        maybe = np.flatnonzero(self.alive[bucket])
+        at, wanted = self.first[bucket[maybe]], codes[maybe]
+        for _ in range(self.crowd - 1):  # on to the next of a bucket that is still smaller
+            at = at + (self.codes[at] < wanted)
+            at = np.minimum(at, len(self.codes) - 1)
+        real = self.codes[at] == wanted
         return maybe[real], at[real]
 
     def edges(self, chunk: bytes) -> list[list[tuple[int, float, tuple[int, ...]]]]:
@@ -81,12 +90,16 @@ class Vocabulary:
         return out
 
 
-def _code(raw: bytes) -> int:
-    total, power = 0, 1
-    for b in raw:
-        total += int(BYTE_WORDS[b]) * power
-        power = power * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-    return int(mix(np.array([(total + len(raw)) & (1 << 64) - 1], np.uint64))[0])
+def _codes(raw: list[bytes]) -> np.ndarray:
+    """The code of each byte string, as that of the same bytes in a text."""
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    end = np.cumsum([len(x) for x in raw])
+    start = np.concatenate([[0], end[:-1]])
+    lexer = Lexer((), lower=False)
+    lexer._powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lexer.value[data] * lexer._power[: len(data)])])
+        return mix((sums[end] - sums[start]) * lexer._inverse[start] + (end - start).astype(np.uint64))
 
 
 @lru_cache(maxsize=2)
@@ -115,41 +128,48 @@ def nbest_chunk(chunk: bytes, n: int, known: Vocabulary) -> list[tuple[float, tu
     return out
 
 
-def _viterbi(data: np.ndarray, sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: int, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best segmentation of all chunks of one length: ids row by row, their counts, the best and second best scores."""
-    m = len(start)
-    best = np.full((length + 1, m), -np.inf)
+def _viterbi(data: np.ndarray, sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best segmentation of chunks, which come longest first: ids row by row, their counts, the best and second best scores."""
+    m, longest = len(start), int(length[0])
+    best = np.full((longest + 1, m), -np.inf)
     best[0] = 0
-    second = np.full((length + 1, m), -np.inf)
-    back = np.zeros((length + 1, m), np.int16)
-    piece = np.full((length + 1, m), -1, np.int32)
-    lead = np.stack([data[start + j] & 0xC0 != 0x80 for j in range(length)] + [np.ones(m, bool)])
+    second = np.full((longest + 1, m), -np.inf)
+    back = np.zeros((longest + 1, m), np.int16)
+    piece = np.full((longest + 1, m), -1, np.int32)
+    reach = np.searchsorted(-length, -np.arange(longest + 2), "right")  # chunks of at least so many bytes
+    lead = np.ones((longest + 1, m), bool)
+    for j in range(longest):
+        at = start[: reach[j + 1]]
+        lead[j, : len(at)] = data[at + j] & 0xC0 != 0x80
 
     def offer(e: int, s: int, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         one, two = best[s, at] + score, second[s, at] + score
         old = best[e, at]
         second[e, at] = np.maximum(np.minimum(old, one), np.maximum(second[e, at], two))
         win = one > old
-        best[e, at[win]] = one[win]
-        back[e, at[win]] = s
-        piece[e, at[win]] = ids[win]
+        at = at[win]
+        best[e, at] = one[win]
+        back[e, at] = s
+        piece[e, at] = ids[win]
 
     with np.errstate(over="ignore", invalid="ignore"):
-        for e in range(1, length + 1):
+        for e in range(1, longest + 1):
+            live = reach[e]
+            first, upto = start[:live], sums[start[:live] + e]
             for s in range(max(0, e - known.longest), e):
-                code = mix((sums[start + e] - sums[start + s]) * inverse[start + s] + np.uint64(e - s))
+                code = mix((upto - sums[first + s]) * inverse[first + s] + np.uint64(e - s))
                 at, place = known.find(code)
                 if len(at):
                     offer(e, s, at, known.scores[place], known.ids[place])
                 if e - s <= 4:  # one character without a piece
-                    single = lead[s] & lead[e]
+                    single = lead[s, :live] & lead[e, :live]
                     for j in range(s + 1, e):
-                        single &= ~lead[j]
+                        single &= ~lead[j, :live]
                     single[at] = False
                     if len(none := np.flatnonzero(single)):
                         offer(e, s, none, np.full(len(none), known.byte_score * (e - s)), np.full(len(none), -2, np.int32))
-    chosen = np.full((m, length + 1), -1, np.int32)
-    row, at = np.arange(m), np.full(m, length)
+    chosen = np.full((m, longest + 1), -1, np.int32)
+    row, at = np.arange(m), length.astype(np.int64)
     while len(row):
         s, ids = back[at, row].astype(np.int64), piece[at, row]
         chosen[row, at] = ids
@@ -158,7 +178,8 @@ def _viterbi(data: np.ndarray, sums: np.ndarray, inverse: np.ndarray, start: np.
                 chosen[row[k], j] = known.byte_id[data[start[row[k]] + j - 1]]
         row, at = row[s > 0], s[s > 0]
     used = chosen[:, 1:] >= 0
-    return chosen[:, 1:][used], used.sum(1), best[length], second[length]
+    every = np.arange(m)
+    return chosen[:, 1:][used], used.sum(1), best[length, every], second[length, every]
 
 
 def _alone(chunk: bytes, known: Vocabulary) -> tuple[list[int], float, float]:
@@ -179,10 +200,39 @@ def _alone(chunk: bytes, known: Vocabulary) -> tuple[list[int], float, float]:
     return [i for ids in reversed(out) for i in ids], best[-1], second[-1]
 
 
+class _Known:
+    """Segmentations of the different chunks that a task has met, in the order of their codes: most words of a block were in
+    one before. At most ``most`` chunks (some 30 MB) are kept; then it begins again with the block at hand."""
+
+    def __init__(self, most: int = 400_000):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.code, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.count, self.at, self.best, self.gap = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+
+    def add(self, code: np.ndarray, ids: np.ndarray, count: np.ndarray, best: np.ndarray, second: np.ndarray) -> None:
+        """Takes in chunks that it does not have."""
+        code = np.concatenate([self.code, code])
+        order = np.argsort(code, kind="stable")
+        at = len(self.flat) + np.cumsum(count) - count
+        self.code, self.flat = code[order], np.concatenate([self.flat, ids])
+        self.count, self.at = np.concatenate([self.count, count.astype(np.int32)])[order], np.concatenate([self.at, at])[order]
+        self.best, self.gap = np.concatenate([self.best, best])[order], np.concatenate([self.gap, best - second])[order]
+
+    def place(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where codes are, and which are there."""
+        if not len(self.code):
+            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        return at, self.code[at] == code
+
+
 class _Block:
-    """Texts of a batch, a space before each that is not empty, as chunks; every different chunk segmented once."""
+    """Texts of a batch, a space before each that is not empty, as chunks; every different chunk that is new segmented once."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray, known: Vocabulary, lexer: Lexer):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, known: Vocabulary, lexer: Lexer, met: _Known):
         texts = len(bounds) - 1
         full = np.diff(bounds) > 0
         shift = np.concatenate([[0], np.cumsum(full)])
@@ -200,28 +250,27 @@ class _Block:
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(lexer.value[self.data] * lexer._power[: len(self.data)])])
             code = mix((sums[start + length] - sums[start]) * lexer._inverse[start] + length.astype(np.uint64))
-        _, one, self.type_of = np.unique(code, return_index=True, return_inverse=True)
+        code, one, self.type_of = np.unique(code, return_index=True, return_inverse=True)
         self.start, self.length = start[one], length[one]
-        types = len(one)
-        self.count, self.best, self.gap = np.zeros(types, np.int64), np.zeros(types), np.zeros(types)
-        parts, owners = [], []
-        for size in np.unique(self.length[self.length < LONG]):
-            at = np.flatnonzero(self.length == size)
-            for block in np.array_split(at, 1 + len(at) * int(size) // 500_000):
-                ids, count, best, second = _viterbi(self.data, sums, lexer._inverse, self.start[block], int(size), known)
-                parts.append(ids)
-                owners.append(block)
-                self.count[block], self.best[block], self.gap[block] = count, best, best - second
-        for t in np.flatnonzero(self.length >= LONG):
+        if len(met.code) + np.count_nonzero(~met.place(code)[1]) > met.most:
+            met.clear()
+        fresh = np.flatnonzero(~met.place(code)[1])
+        fresh = fresh[np.argsort(-self.length[fresh], kind="stable")]
+        parts = []
+        for t in fresh[self.length[fresh] >= LONG]:
             ids, best, second = _alone(self.chunk(t), known)
-            parts.append(np.array(ids, np.int32))
-            owners.append(np.array([t]))
-            self.count[t], self.best[t], self.gap[t] = len(ids), best, best - second
-        owner = np.concatenate([*owners, np.zeros(0, np.int64)]).astype(np.int64)
-        flat_from = np.concatenate([[0], np.cumsum(self.count[owner])])
-        self.flat = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int32)
-        self.at = np.zeros(types, np.int64)
-        self.at[owner] = flat_from[:-1]
+            parts.append((code[[t]], np.array(ids, np.int32), np.array([len(ids)]), np.array([best]), np.array([second])))
+        at = len(parts)
+        while at < len(fresh):  # as many as make half a million cells
+            to = at + max(1, CELLS // int(self.length[fresh[at]]))
+            some = fresh[at:to]
+            parts.append((code[some], *_viterbi(self.data, sums, lexer._inverse, self.start[some], self.length[some], known)))
+            at = to
+        if parts:
+            met.add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        here, _ = met.place(code)
+        self.flat, self.at = met.flat, met.at[here]
+        self.count, self.best, self.gap = met.count[here].astype(np.int64), met.best[here], met.gap[here]
         self.texts = texts
 
     def chunk(self, t: int) -> bytes:
@@ -264,7 +313,7 @@ def _alternatives(block: _Block, text: int, offsets: np.ndarray, n: int, known:
 
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa.RecordBatch]:
-    known, lexer, seen = vocabulary(path), Lexer((), lower=False), {}
+    known, lexer, seen, met = vocabulary(path), Lexer((), lower=False), {}, _Known()
     for batch in batches:
         column = pc.fill_null(batch.column(1).cast(pa.large_string()), "")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
@@ -272,7 +321,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, n: int) -> Iterator[pa
         at = 0
         while at < len(column):
             to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1), len(column))
-            block = _Block(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], known, lexer)
+            block = _Block(raw[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], known, lexer, met)
             ids, chunk_at = block.best_ids()
             ends = chunk_at[block.chunk_from]
             score = np.array([block.best[block.type_of[a:b]].sum() for a, b in zip(block.chunk_from[:-1], block.chunk_from[1:], strict=True)])

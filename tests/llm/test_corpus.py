@@ -394,6 +394,27 @@ def test_pieces(spark):
     assert encode(docs_of(spark, [])).count() == 0
 
 
+def test_pieces_memory():
+    from segloom.llm.pieces import _Block, _codes, _Known, vocabulary, MODEL
+    from segloom.llm.words import Lexer
+
+    known, lexer = vocabulary(MODEL), Lexer((), lower=False)
+    rng = random.Random(8)
+    texts = ["", "a", "été 漢字", "x" * 90, *[" ".join(rng.choice(["lorem", "ipsumed", "dolor\n", "12", "Ω"]) * rng.randint(1, 30) for _ in range(rng.randint(1, 9))) for _ in range(60)]]
+    kept, brief = _Known(), _Known(most=5)
+    for at in range(0, len(texts), 4):
+        raw = [t.encode() for t in texts[at : at + 4]]
+        data, bounds = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+        made = [_Block(data, bounds, known, lexer, met) for met in (kept, brief, _Known())]
+        for block in made[:2]:  # whatever was met before, and whatever was forgotten
+            for x, y in zip(block.best_ids(), made[2].best_ids(), strict=True):
+                assert np.array_equal(x, y)
+            assert np.array_equal(block.best, made[2].best) and np.array_equal(block.gap, made[2].gap)
+    assert len(brief.code) < len(kept.code)
+    names = [b"a", b"ab", "é".encode(), b" the", b" "]
+    assert len(set(_codes(names).tolist())) == 5 and _codes(names)[1] == _codes([b"xab", b"ab"])[1]
+
+
 def test_pieces_query(spark, sf):
     from segloom.llm.pieces import MODEL, vocabulary
     from segloom.llm.queries import QUERIES
