@@ -51,12 +51,28 @@ def hilbert_index(coords: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.sequence(F.lit(bits - 1), F.lit(0), F.lit(-1)), start, step, lambda s: s["h"])
 
 
-def text_ordinal(col: Column, chars: int = 6) -> Column:
-    """The first bytes of a string as a number of the same order."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(col.cast("string"), F.lit("")), "utf-8"), 1, chars)), 2 * chars, "0"), 16, 10).cast("double")
-
-
-def _code(value: Column, cuts: list[float]) -> Column:
+def _ordered_text(name: str) -> Column:
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def text_cuts(docs: DataFrame, name: str, pieces: int = 1 << BITS) -> list[str]:
+    """The strings, compared whole, that cut the rows into ``pieces`` of near equal counts: for each i of 1 to pieces - 1 the
+    first value with at least i / pieces of all rows up to it. Different values are counted, their counts are added up in
+    string order, range by range, and at most pieces - 1 values come to the driver."""
+    counts = stored(docs.groupBy(_ordered_text(name).alias("value")).agg(F.count("*").alias("n")), "values")
+    different, total = counts.agg(F.count("*"), F.sum("n")).first()
+    if not different:
+        return []
+    ranged = stored(counts.repartitionByRange(1 + different // PART_ROWS, "value").withColumn("part", F.spark_partition_id()), "ranged")
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("part").agg(F.sum("n").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_from"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)) + F.col("part_from")
+    sums = ranged.join(F.broadcast(parts), "part").withColumn("upto", upto)
+    crosses = F.expr(f"least(upto * {pieces} div {total}, {pieces - 1}) > (upto - n) * {pieces} div {total}")
+    return sorted((r.value for r in sums.where(crosses).select("value").collect()), key=str.encode)
+
+
+def _code(value: Column, cuts: list) -> Column:
     """How many of the cuts lie below the value, which is computed once."""
     return F.transform(F.array(value), lambda x: sum((F.when(x > cut, 1).otherwise(0) for cut in cuts), F.lit(0)))[0]
 
@@ -64,37 +80,38 @@ def _code(value: Column, cuts: list[float]) -> Column:
 def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", text_dims: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """``docs`` with size (UTF-8 bytes of the text and 16), text_crc32, curve, law ('rows'), shard, slot and grown_shard (null).
 
-    The dimensions are the size and the order of ``text_dims``; each is quantised at its approximate quantiles into 2^BITS
-    codes. Rows are ordered by curve index, then by text checksum and id, and the order is cut into ``shards`` runs whose
-    counts differ by one at most; slots count from 0 in each. Ranks come from counts: rows of a curve cell are dealt by a
-    hash of their id into parts of bounded size, which are ranked apart, so no task sorts a hot cell. Between cells only
-    4,096 counts are added up; the driver sees the quantiles and one count.
+    The dimensions are the size and the string order of ``text_dims``; each is quantised into 2^BITS codes, the size at its
+    approximate quantiles, strings at those of whole values. Rows are ordered by curve index, then by text checksum and id,
+    and the order is cut into ``shards`` runs whose counts differ by one at most; slots count from 0 in each. Ranks come
+    from counts: rows of a curve cell are dealt by a hash of their id into parts of bounded size, which are ranked apart, so
+    no task sorts a hot cell. Between cells only 4,096 counts are added up; the driver sees the quantiles and one count.
 
     Null texts count as empty, null dimensions sort first. Equal rows tie, in any order. An empty table gives no rows.
     Columns of ``docs`` that clash with the new names are replaced; ``docs`` must be the same when read again.
     """
     text = as_text(text_col)
     measured = docs.withColumns({"size": (F.octet_length(text) + 16).cast("long"), "text_crc32": F.crc32(F.encode(text, "utf-8"))})
-    values = [F.col("size").cast("double"), *[text_ordinal(F.col(c)) for c in text_dims]]
     marks = [i / (1 << BITS) for i in range(1, 1 << BITS)]
-    cuts = measured.agg(*[F.percentile_approx(v, marks, 10_000).alias(f"q{i}") for i, v in enumerate(values)]).first()
-    codes = [_code(v, sorted(set(at or []))) for v, at in zip(values, cuts, strict=True)]
+    sizes = measured.agg(F.percentile_approx("size", marks, 10_000)).first()[0]
+    codes = [_code(F.col("size"), sorted(set(sizes or []))), *[_code(_ordered_text(c), text_cuts(docs, c)) for c in text_dims]]
     placed = measured.withColumn("curve", hilbert_index(codes))
-    cells = placed.groupBy("curve").agg(F.count("*").alias("n"))
+    taken = {c.lower() for c in placed.columns}
+    at, part, cell_from, cell_parts, part_from = (next(x for k in range(len(taken) + 1) if (x := "_" * k + name) not in taken) for name in ("at", "part", "cell_from", "cell_parts", "part_from"))
     everything = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
-    cells = stored(cells.withColumn("cell_from", F.coalesce(F.sum("n").over(everything), F.lit(0))), "cells")
+    cells = placed.groupBy("curve").agg(F.count("*").alias("n"))
+    cells = stored(cells.withColumn(cell_from, F.coalesce(F.sum("n").over(everything), F.lit(0))), "cells")
     total = cells.agg(F.sum("n")).first()[0] or 0
     part_rows = max(1, min(PART_ROWS, total // PARTS))
-    cells = cells.select("curve", "cell_from", F.ceil(F.col("n") / part_rows).alias("cell_parts"))
-    dealt = placed.join(F.broadcast(cells), "curve").withColumn("part", F.pmod(F.xxhash64(id_col, "text_crc32"), "cell_parts"))
-    earlier = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("curve", "part").agg(F.count("*").alias("n")).select("curve", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("part_from"))
-    within = Window.partitionBy("curve", "part").orderBy("text_crc32", id_col)
-    ranked = dealt.withColumn("at", F.row_number().over(within) - 1).join(parts, ["curve", "part"])
-    ranked = ranked.withColumn("at", F.col("at") + F.col("cell_from") + F.col("part_from"))
-    ranked = ranked.withColumn("shard", F.expr(f"at * {shards} div {max(total, 1)}L").cast("int"))
-    slot = F.col("at") - F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
-    return ranked.withColumns({"law": F.lit("rows"), "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int")}).drop("at", "part", "cell_from", "cell_parts", "part_from")
+    cells = cells.select("curve", cell_from, F.ceil(F.col("n") / part_rows).alias(cell_parts))
+    dealt = placed.join(F.broadcast(cells), "curve").withColumn(part, F.pmod(F.xxhash64(id_col, "text_crc32"), cell_parts))
+    earlier = Window.partitionBy("curve").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("curve", part).agg(F.count("*").alias("n")).select("curve", part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(part_from))
+    within = Window.partitionBy("curve", part).orderBy("text_crc32", id_col)
+    ranked = dealt.withColumn(at, F.row_number().over(within) - 1).join(parts, ["curve", part])
+    ranked = ranked.withColumn(at, F.col(at) + F.col(cell_from) + F.col(part_from))
+    ranked = ranked.withColumn("shard", F.expr(f"`{at}` * {shards} div {max(total, 1)}L").cast("int"))
+    slot = F.col(at) - F.expr(f"(shard * {max(total, 1)}L + {shards - 1}) div {shards}")
+    return ranked.withColumns({"law": F.lit("rows"), "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int")}).drop(at, part, cell_from, cell_parts, part_from)
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:

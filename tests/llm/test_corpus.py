@@ -95,6 +95,22 @@ def test_shards(spark, sf, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/s").count() == len(ODD)
 
 
+def test_shards_of_long_prefixes(spark):
+    from segloom.llm.hilbert_sharding import assign_shards, text_cuts
+
+    rng = random.Random(3)
+    names = [f"https://example.org/common_crawl_{k:02d}" for k in range(20)]
+    rows = [(i, "w " * rng.randint(0, 40), rng.choice(names) if i % 3 else names[0], None if i % 7 == 0 else "en", i % 5, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, part int, AT string")
+    ordered = sorted(r[2] for r in rows)
+    want = sorted({ordered[-(-i * len(rows) // 16) - 1] for i in range(1, 16)})
+    assert text_cuts(docs, "source") == want and len(want) > 8
+    out = assign_shards(docs, 8).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.part, r.AT) for r in out] == [(r[0], r[4], "x") for r in rows]
+    # a shard holds a few neighbouring sources, so that files can be pruned on them
+    assert max(len({r.source for r in out if r.shard == s}) for s in range(8)) < len(names)
+
+
 def links(texts, percent):
     sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset() for t in texts]
     up = list(range(len(texts)))
