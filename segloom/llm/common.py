@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: A table of at most so many narrow rows may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
+#: A key of more rows than this is hot: there are few such keys, and their rows are not brought together.
+HOT_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,21 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str, most: int = BROADCAST_R
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, id_col, "left_semi")
 
 
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str], salt: str, most: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` left-joined with ``keys``, a stored table of different keys and ``n``, how many of the rows each has.
+
+    At most ``most`` keys are broadcast. Of more, the keys of over ``hot`` rows are (rows / ``hot`` at most) and their rows
+    stay where they are; in the shuffle for the other keys they are spread by a hash of the column ``salt``.
+    """
+    if keys.count() <= most:
+        return rows.join(F.broadcast(keys), on, "left")
+    given = [c for c in keys.columns if c not in on]
+    first = rows.join(F.broadcast(keys.where(F.col("n") > hot).withColumnsRenamed({c: f"_hot_{c}" for c in given})), on, "left")
+    first = first.withColumn("_salt", F.when(F.col("_hot_n").isNotNull(), 1 + F.pmod(F.xxhash64(salt), F.lit(1 << 16))).otherwise(F.lit(0).cast("long")))
+    both = first.join(keys.where(F.col("n") <= hot).withColumn("_salt", F.lit(0).cast("long")), [*on, "_salt"], "left")
+    return both.select(*rows.columns, *[F.coalesce(f"_hot_{c}", c).alias(c) for c in given])
+
+
 def as_text(col: str) -> F.Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

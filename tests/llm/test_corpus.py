@@ -55,8 +55,9 @@ def test_exact_groups(spark):
 
     texts = [*ODD, *ODD, "a\tb", *sample(1, 30, 3, 4)]
     norm = [re.sub(r"[\x20\x09-\x0D]+", " ", t or "") for t in texts]
-    for every in (False, True):
-        got = {r.doc_id: r for r in exact_groups(docs_of(spark, texts), digest_all=every).collect()}
+    for every, limits in ((False, {}), (True, {}), (False, {"most": 1, "hot": 2}), (False, {"most": 6, "hot": 2}), (True, {"most": 1, "hot": 2})):
+        got = {r.doc_id: r for r in exact_groups(docs_of(spark, texts), digest_all=every, **limits).collect()}
+        assert len(got) == len(texts)
         for i, t in enumerate(norm):
             same = [j for j, u in enumerate(norm) if u == t]
             assert (got[i].keep_id, got[i].group_size, got[i].kept) == (same[0], len(same), same[0] == i)
