@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ SHINGLE, PERCENT, TREES, TOKENS = 5, 85, 12, 128
 NODE, LEVELS = 2048, 12
 #: Shingles of a group that one row holds; larger groups are compared in blocks.
 GROUP_SHINGLES = 4_000_000
+#: Documents of a large node with which all others of it are compared before it branches again.
+PIVOTS = 4
 _MULTIPLY = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix(_MULTIPLY)
 
@@ -126,24 +129,31 @@ def _fresh(batches: Iterator[pa.RecordBatch], trees: int, percent: int) -> Itera
             child, at = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
         where = pa.array(at)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(child.view(np.int64)), batch.column("id").take(where), batch.column("n").take(where), pa.array([x.tobytes() for x in _sketch(tokens)], pa.binary()).take(where)],
-            names=["node", "id", "n", "sketch"],
+            [pa.array(child.view(np.int64)), *(batch.column(c).take(where) for c in ("id", "n", "part") if c in batch.schema.names), pa.array([x.tobytes() for x in _sketch(tokens)], pa.binary()).take(where)],
+            names=["node", *(c for c in ("id", "n", "part") if c in batch.schema.names), "sketch"],
         )
 
 
-def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs whose sizes and sketches allow the similarity: those that many agreeing tokens, less 4.5 deviations, of 128."""
+def _allowed(a: np.ndarray, b: np.ndarray, a_size: np.ndarray, b_size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches (rows of 64-bit words) allow the similarity: as many tokens agree as then do on average, less
+    4.5 deviations."""
     s = percent / 100
     agree = s + (1 - s) / 4
     least = TOKENS * agree - 4.5 * math.sqrt(TOKENS * agree * (1 - agree))
+    x = a ^ b
+    same = TOKENS - np.bitwise_count((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(1)
+    return (same >= least) & (100 * np.minimum(a_size, b_size) >= percent * np.maximum(a_size, b_size))
+
+
+def _near(sketches: np.ndarray, sizes: np.ndarray, percent: int, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose sizes and sketches allow the similarity, but those of one part (what links already hold together)."""
     words = sketches.view(np.uint64).reshape(len(sketches), -1)
-    even = np.uint64(0x5555555555555555)
     left, right = [], []
     for i in range(len(words) - 1):
-        x = words[i + 1 :] ^ words[i]
-        same = TOKENS - np.bitwise_count((x | (x >> np.uint64(1))) & even).sum(1)
-        a, b = sizes[i], sizes[i + 1 :]
-        good = np.flatnonzero((same >= least) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b)))
+        good = _allowed(words[i + 1 :], words[i], sizes[i + 1 :], sizes[i], percent)
+        if parts is not None:
+            good &= parts[i + 1 :] != parts[i]
+        good = np.flatnonzero(good)
         left.append(np.full(len(good), i))
         right.append(good + i + 1)
     return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, int), np.zeros(0, int))
@@ -170,6 +180,7 @@ def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
     for batch in batches:
         every, size, raw = (batch.column(c).flatten() for c in ("members", "sizes", "sketches"))
         every, size = every.to_numpy(), size.to_numpy()
+        part = batch.column("parts").flatten().to_numpy() if "parts" in batch.schema.names else None
         begin = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset] if len(raw) else 0
         packed = np.frombuffer(raw.buffers()[2], np.uint8)[begin : begin + len(raw) * TOKENS // 4].reshape(len(raw), -1) if len(raw) else np.zeros((0, TOKENS // 4), np.uint8)
         cuts = np.concatenate([[0], np.cumsum(batch.column("members").value_lengths().to_numpy())])
@@ -177,7 +188,7 @@ def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             order = np.argsort(every[a:b], kind="stable")
             ids, sizes, sketch = every[a:b][order], size[a:b][order], packed[a:b][order]
-            left, right = _near(np.ascontiguousarray(sketch), sizes, percent)
+            left, right = _near(np.ascontiguousarray(sketch), sizes, percent, None if part is None else part[a:b][order])
             if not len(left):
                 continue
             forest = _Forest(len(ids))
@@ -195,6 +206,14 @@ def _clusters(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
         release()
 
 
+def _beside(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (pivot, pivot_n, pivot_sketch, id, n, sketch) those that sketches hold for links: (pivot, pivot_n, id)."""
+    for batch in batches:
+        wide = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+        near = _allowed(wide("sketch"), wide("pivot_sketch"), np.asarray(batch.column("n")), np.asarray(batch.column("pivot_n")), percent) if batch.num_rows else []
+        yield batch.select(["pivot", "pivot_n", "id"]).filter(pa.array(near, pa.bool_()))
+
+
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """What confirmed links hold together in each group, as a star around the smallest id. Full sets become rows of bits over
     the shingles that two members share, and all pairs are intersected by counting bits."""
@@ -259,8 +278,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A tree's nodes part documents by a minwise token; a linked pair goes on together with at least the similarity's
     probability a level. Nodes of up to ``node`` documents are compared exhaustively, by sketches first; of what these
-    hold together the distinct groups are compared on full sets. Nodes that are still larger after ``levels`` levels are
-    compared in blocks, each pair of blocks a group of its own: nothing is dropped. With 12 trees a pair at the threshold
+    hold together the distinct groups are compared on full sets. A larger node branches again, but for near copies that
+    would not part: those beside one of a few pivots are linked with it first, and a node that links then hold together but
+    for ``node`` / 2 documents is done when these are compared with all. Nodes that are still larger after ``levels`` levels
+    are compared in blocks, each pair of blocks a group of its own: nothing is dropped. With 12 trees a pair at the threshold
     is found with probability 1 - (1 - 0.85^d)^12 at least, d the levels it took: 0.9999 for the usual d of 3, 0.998 for 6.
 
     Null and empty texts have no shingles and are linked with nothing. Rows with a null id come back with a null component,
@@ -276,38 +297,63 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = copies.where("id = rep").count() > classes.count()  # rows of one id and text
     heads = some.select("id", "n", "tokens").join(_small(others.select("id"), copies.count()), "id", "left_anti")
     heads = heads.dropDuplicates(["id", "n", "tokens"]) if repeated else heads
-    groups, open_, rows = None, heads, marks.count() * trees
+
+    def linked(members: DataFrame) -> DataFrame:
+        """Stars of the confirmed links of groups (g, id): the full sets of a group come together and are compared."""
+        members = stored(members, "members")
+        rows = members.count()
+        wanted = stored(_packed(members.select("id").distinct(), rows), "wanted")
+        texts = text.join(_small(wanted, wanted.count()), "id", "left_semi")
+        sets = texts.mapInArrow(lambda it: _sets(it, shingle), "id long, shingles binary")
+        sets = sets.dropDuplicates(["id"]) if repeated else sets
+        full = members.join(sets, "id").groupBy("g").agg(F.collect_list("id").alias("ids"), F.collect_list("shingles").alias("sets"))
+        return stored(_packed(full.select("ids", "sets"), 20 * rows).mapInArrow(lambda it: _links(it, percent), "a long, b long"), "links")
+
+    def compared(nodes: DataFrame, rows: int) -> DataFrame:
+        """The groups that sketches hold together in nodes of bounded size (node, id, n, sketch, and part if any)."""
+        lists = {"members": "id", "sizes": "n", "sketches": "sketch"} | ({"parts": "part"} if "part" in nodes.columns else {})
+        nodes = nodes.groupBy("node").agg(*[F.collect_list(c).alias(x) for x, c in lists.items()]).where(F.size("members") > 1).drop("node")
+        return stored(_packed(nodes, rows).mapInArrow(lambda it: _clusters(it, percent), "members array<long>"), "groups")
+
+    groups, hub_links, known = [], [], None
+    open_, rows = heads, marks.count() * trees
     for level in range(levels):
-        kids = open_.mapInArrow(lambda it: _fresh(it, trees, percent), "node long, id long, n long, sketch binary")
+        kids = open_.mapInArrow(lambda it: _fresh(it, trees, percent), "node long, id long, n long, " + ("part long, " if known is not None else "") + "sketch binary")
         if level:
             kids = stored(_packed(kids, rows), "children")
             rows = kids.count()
         large = stored(kids.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > node), "large_nodes")
         many, total = large.agg(F.count("*"), F.sum("size")).first()
         large = _small(large, many)
-        small = kids.join(large.select("node"), "node", "left_anti") if many else kids
-        small = small.groupBy("node").agg(F.collect_list("id").alias("members"), F.collect_list("n").alias("sizes"), F.collect_list("sketch").alias("sketches")).where(F.size("members") > 1).drop("node")
-        found = stored(_packed(small, rows).mapInArrow(lambda it: _clusters(it, percent), "members array<long>"), "groups")
-        groups = found if groups is None else groups.union(found)
+        groups.append(compared(kids.join(large.select("node"), "node", "left_anti") if many else kids, rows))
+        open_ = None
         if not many:
-            open_ = None
             break
+        rows, wide = total, stored(_packed(kids.join(large, "node"), total), "wide")
+        hubs = _hubs(wide, node, many, percent)
+        if hubs is not None:
+            hub_links.append(linked(hubs))
+            known = stored(connected_components(reduce(DataFrame.union, hub_links)), "known")
+            known = _small(known.select(F.col("node").alias("id"), "component"), known.count())
+        if known is not None:
+            wide = wide.drop("part").join(known, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+            held = wide.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("part", "n").alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
+            held = stored(held.where(F.col("rest") <= node // 2), "held_nodes")
+            few = _small(held, held.count())
+            groups.append(compared(_rest_against_all(wide.join(few.where("rest > 0"), "node"), node), 2 * rows))
+            wide = stored(wide.join(few.select("node"), "node", "left_anti"), "wide")
+            rows = wide.count()
+            if not rows:
+                break
         # a level halves a node of dissimilar documents, and shrinks one of similar documents less
         steps = F.greatest(F.floor(F.log2(F.col("size") / node)), F.lit(1)).cast("int")
-        rows, wide = total, kids.join(large, "node").select("node", "id", steps.alias("steps"))
-        open_ = stored(_packed(heads.join(_small(wide, rows), "id"), rows), "open")
+        branch = wide.select("node", "id", steps.alias("steps"), *[c for c in wide.columns if c == "part"])
+        open_ = stored(_packed(heads.join(_small(branch, rows), "id"), rows), "open")
     if open_ is not None:
-        groups = groups.union(stored(_blocks(open_, node), "blocks"))
+        groups.append(stored(_blocks(open_, node), "blocks"))
     # equal groups of several trees are compared once; two groups with one hash would be compared together
-    members = groups.select(F.xxhash64("members").alias("g"), F.explode("members").alias("id")).distinct()
-    members = stored(members, "members")
-    rows = members.count()
-    wanted = stored(_packed(members.select("id").distinct(), rows), "wanted")
-    texts = text.join(_small(wanted, wanted.count()), "id", "left_semi")
-    sets = texts.mapInArrow(lambda it: _sets(it, shingle), "id long, shingles binary")
-    sets = sets.dropDuplicates(["id"]) if repeated else sets
-    full = members.join(sets, "id").groupBy("g").agg(F.collect_list("id").alias("ids"), F.collect_list("shingles").alias("sets"))
-    links = stored(_packed(full.select("ids", "sets"), 20 * rows).mapInArrow(lambda it: _links(it, percent), "a long, b long"), "links")
+    members = reduce(DataFrame.union, groups).select(F.xxhash64("members").alias("g"), F.explode("members").alias("id")).distinct()
+    links = reduce(DataFrame.union, [linked(members), *hub_links])
     parts = stored(connected_components(links), "components") if not links.isEmpty() else spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
     head = marks.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node"))
@@ -325,6 +371,33 @@ def _packed(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
     return df.coalesce(max(8, rows // each))
 
 
+def _hubs(wide: DataFrame, node: int, nodes: int, percent: int) -> DataFrame | None:
+    """Groups (g, id) around documents to which sketches hold more than ``node`` others of a large node, if any: a few pivots
+    of each node, drawn by a hash from those without a part of their own, and the documents beside them in blocks, each with
+    its pivot. So a large group of near copies is held together by as many comparisons as it has documents, times a block."""
+    alone = wide.where("part = id") if "part" in wide.columns else wide
+    drawn = alone.groupBy("node").agg(F.array(*[F.min_by(F.struct("id", "n", "sketch"), F.xxhash64(F.lit(k), "id")) for k in range(PIVOTS)]).alias("p"))
+    drawn = drawn.select("node", F.explode(F.array_distinct("p")).alias("p")).select("node", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"), F.col("p.sketch").alias("pivot_sketch"))
+    drawn = _small(stored(drawn, "pivots"), PIVOTS * nodes)
+    near = wide.join(drawn, "node").select("pivot", "pivot_n", "pivot_sketch", "id", "n", "sketch").mapInArrow(lambda it: _beside(it, percent), "pivot long, pivot_n long, id long")
+    near = stored(near.where("id <> pivot").distinct(), "beside")
+    hot = stored(near.groupBy("pivot", "pivot_n").agg(F.count("*").alias("size")).where(F.col("size") > node), "hubs")
+    many = hot.count()
+    if not many:
+        return None
+    in_block = F.greatest(F.lit(1), F.least(F.lit(node // 2), F.expr(f"{GROUP_SHINGLES // 2} div pivot_n")))
+    hot = hot.select("pivot", F.ceil(F.col("size") / in_block).alias("blocks"))
+    dealt = near.join(_small(hot, many), "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("id"), "blocks")).alias("g"), "id", "pivot")
+    return dealt.select("g", "id").union(dealt.select("g", "pivot").distinct())
+
+
+def _rest_against_all(wide: DataFrame, node: int) -> DataFrame:
+    """Nodes of which links hold together all but ``rest`` documents: the main part in blocks, each with all of the rest."""
+    blocks = F.ceil((F.col("size") - F.col("rest")) / (node // 2)).cast("long")
+    own = F.when(F.col("part") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    return wide.withColumn("block", F.explode(own)).select(F.xxhash64("node", "block").alias("node"), "id", "n", "part", "sketch")
+
+
 def _blocks(rows: DataFrame, node: int) -> DataFrame:
     """The exact way for nodes that don't shrink: their documents in blocks of half a node, every two blocks a group."""
     sizes = rows.groupBy("node").agg(F.ceil(2 * F.count("*") / F.lit(node)).alias("blocks"))

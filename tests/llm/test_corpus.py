@@ -150,6 +150,34 @@ def test_near_duplicates(spark, node, levels):
     assert kept.count() == len(set(wanted)) and kept.columns == docs_of(spark, []).columns
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_large_groups_of_near_copies(spark, seed, monkeypatch):
+    """Groups many times as large as a node, with copies that drift away from the first, and one like them but apart."""
+    from segloom.llm import near_dedup
+
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(900)}" for _ in range(150)]
+    cousin = [w if rng.random() < 0.93 else f"c{rng.randrange(900)}" for w in base]
+    texts = []
+    for source, n in ((base, 90), (cousin, 60), ([f"v{rng.randrange(900)}" for _ in range(150)], 50)):
+        mine = [source]
+        for _ in range(n):
+            copy = list(rng.choice(mine[-8:]))
+            for _ in range(rng.randrange(1, 4)):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            mine.append(copy)
+            texts.append(" ".join(copy))
+    texts += sample(seed, 40, 50, 30)
+    rng.shuffle(texts)
+    seen = []
+    hubs = near_dedup._hubs
+    monkeypatch.setattr(near_dedup, "_hubs", lambda *a: seen.append(hubs(*a)) or seen[-1])
+    sizes, wanted = links(texts, 85)
+    got = {r.doc_id: r for r in near_dedup.near_duplicates(docs_of(spark, texts), node=8).collect()}
+    assert [got[i].component_id for i in range(len(texts))] == wanted
+    assert any(x is not None for x in seen) and len(set(wanted)) > 30
+
+
 def test_near_duplicates_odd_rows(spark):
     from segloom.llm.near_dedup import near_duplicates
 
