@@ -18,6 +18,7 @@ from segloom.operators import similarity as G
 from segloom.operators import vocabulary as O
 from segloom.plans import sequences as Q
 from segloom.plans import views as W
+from segloom.plans.scratch import scratch_path
 from segloom.plans.views import base_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +151,19 @@ def _(spark, d):
 _REPLACED = "SELECT * REPLACE (CASE WHEN label = 'no_function' THEN coalesce(last_value(CASE WHEN label <> 'no_function' THEN label END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), first_value(CASE WHEN label <> 'no_function' THEN label END IGNORE NULLS) OVER (PARTITION BY track_id ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), label) ELSE label END AS label) FROM sections_nf"
 
 
+_POLICIES = ["keep", "base_labels", "enumerate_base_occurrences"]
+
+
+@query("p00_policies", f"""WITH b AS (SELECT *, {base_sql('label')} AS base FROM sections_num), t AS (SELECT *, count(*) OVER (PARTITION BY track_id, base) AS n, row_number() OVER (PARTITION BY track_id, base ORDER BY idx) AS k FROM b),
+    c AS (SELECT * REPLACE (base AS label) FROM b), m AS ({W.merge_sql('c')})
+    SELECT 'keep' AS policy, track_id, {SECTIONS_SQL} FROM sections_num UNION ALL SELECT 'base_labels', track_id, {SECTIONS_SQL} FROM m
+    UNION ALL SELECT 'enumerate_base_occurrences', track_id, {SECTIONS_SQL.replace('label', 'CASE WHEN n > 1 THEN base || chr(32) || k ELSE label END AS label')} FROM t""")
+def _(spark, d):
+    s = W.sections_num(spark, d)
+    made = [sections(P.apply_policy(s, name)).select(F.lit(name).alias("policy"), "track_id", "idx", "start_time", "end_time", "label") for name in _POLICIES]
+    return made[0].union(made[1]).union(made[2])
+
+
 @query("p07_replace_no_function", f"WITH t AS ({_REPLACED}) SELECT track_id, {SECTIONS_SQL} FROM t")
 def _(spark, d):
     return sections(P.replace_no_function(W.sections_nf(spark, d)))
@@ -853,6 +867,97 @@ def _(spark, d):
 # --- sources ----------------------------------------------------------------------------------------------------------
 
 
+def _manifest(spark, d):
+    """The documents as tracks of a manifest; every third without a split."""
+    path = lambda c, ext: F.concat(F.lit(c), F.col("track_id"), F.lit(ext))
+    rows = W.document_tracks(spark, d).select(F.col("track_id").cast("string").alias("track_id"), "dataset", F.col("n_chars").cast("string").alias("n"))
+    return rows.select("track_id", path("audio/", ".wav").alias("audio_path"), path("/jams/", ".jams").alias("jams_path"), "dataset", F.when(F.col("track_id").cast("long") % 3 > 0, "train").alias("split"), F.create_map(F.lit("n_chars"), "n").alias("metadata"))
+
+
+@query("s01_manifest_scan", "SELECT CAST(doc_id AS VARCHAR) AS track_id, '/root/set/audio/' || doc_id || '.wav' AS audio_path, '/jams/' || doc_id || '.jams' AS jams_path, source AS dataset, CASE WHEN doc_id % 3 > 0 THEN 'train' END AS split, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def _(spark, d):
+    from segloom.sources.manifests import read_manifest, write_manifest
+
+    path = scratch_path(spark, "manifest")
+    write_manifest(_manifest(spark, d), path)
+    return read_manifest(spark, path, base="/root/set").select("track_id", "audio_path", "jams_path", "dataset", "split", F.col("metadata")["n_chars"].alias("n_chars"))
+
+
+@query("s02_manifest_sink", "SELECT CAST(doc_id AS VARCHAR) AS track_id, 'audio_path,dataset,jams_path,metadata,split,track_id' AS fields FROM documents")
+def _(spark, d):
+    from segloom.sources.manifests import write_manifest
+
+    path = scratch_path(spark, "manifest")
+    write_manifest(_manifest(spark, d), path)
+    return spark.read.text(path).select(F.get_json_object("value", "$.track_id").alias("track_id"), F.array_join(F.json_object_keys("value"), ",").alias("fields"))
+
+
+@query("r02_split_manifests", "WITH n AS (SELECT count(*) AS n FROM document_tracks), k AS (SELECT n, round_even(n * 0.15, 0) AS v, round_even(n * 0.05, 0) AS t FROM n), o AS (SELECT track_id, dataset, row_number() OVER (ORDER BY manifest_ord, track_id) - 1 AS a FROM document_tracks) SELECT CAST(track_id AS VARCHAR) AS track_id, dataset, CASE WHEN a < n - v - t THEN 'train' WHEN a < n - t THEN 'val' ELSE 'test' END AS split FROM o, k")
+def _(spark, d):
+    from segloom.sources.manifests import write_manifest
+
+    split = O.split_tracks(W.document_tracks(spark, d), 0.8, 0.15, 0.05, shuffle=False).select(F.col("track_id").cast("string").alias("track_id"), "split")
+    path = scratch_path(spark, "splits")
+    write_manifest(_manifest(spark, d).drop("split").join(split, "track_id"), path, partition_by="split")
+    folders = [spark.read.schema("track_id string, dataset string").json(f"{path}/split={s}").withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    return folders[0].union(folders[1]).union(folders[2])
+
+
+@query("s05_annotation_scan", f"SELECT track_id, {SECTIONS_SQL} FROM (SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS idx, start_time, end_time, label FROM merged_a)")
+def _(spark, d):
+    from segloom.sources.annotations import annotation_sections
+    from segloom.sources.stores import write_segments
+
+    path = scratch_path(spark, "segments")
+    write_segments(P.merge_consecutive(W.sections_a(spark, d)), path)
+    nested = spark.read.schema("track_id bigint, annotations array<struct<namespace string, data array<struct<time double, duration double, value string, confidence double>>>>").json(path)
+    return sections(annotation_sections(nested.withColumn("path", F.lit(path))))
+
+
+@query("s06_text_annotations", "WITH m AS (SELECT track_id, idx, start_time, label FROM merged_a), n AS (SELECT *, lead(start_time) OVER (PARTITION BY track_id ORDER BY idx) AS e FROM m), f AS (SELECT track_id, idx, start_time, coalesce(e, duration) AS end_time, label FROM n JOIN user_tracks USING (track_id)) SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS BIGINT) AS idx, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, label FROM f WHERE end_time > start_time")
+def _(spark, d):
+    from segloom.sources.annotations import text_sections
+
+    line = F.concat_ws(" ", F.col("start_time").cast("string"), "label")
+    texts = P.merge_consecutive(W.sections_a(spark, d)).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("l"))
+    texts = texts.select(F.col("track_id").cast("string").alias("path"), "track_id", F.concat(F.lit("# sections\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("value"))
+    ends = W.user_tracks(spark, d).select("track_id", F.col("duration").alias("fallback_end"))
+    return sections(text_sections(texts, ends))
+
+
+@query("s08_file_identity", "WITH p AS (SELECT doc_id, coalesce(text, '') AS a, CASE WHEN doc_id % 7 = 0 THEN replace(coalesce(text, ''), 'e', 'i') WHEN doc_id % 5 = 0 THEN coalesce(text, '') || '.' ELSE coalesce(text, '') END AS b FROM documents) SELECT CAST(doc_id AS VARCHAR) AS stem, octet_length(encode(a)) = octet_length(encode(b)) AS same_size, sha256(a) = sha256(b) AS same_sha256 FROM p WHERE doc_id % 11 <> 0")
+def _(spark, d):
+    from segloom.sources.annotations import content_identity
+
+    docs = W.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), "doc_id", F.coalesce("text", F.lit("")).alias("a"))
+    changed = F.when(F.col("doc_id") % 7 == 0, F.replace("a", F.lit("e"), F.lit("i"))).when(F.col("doc_id") % 5 == 0, F.concat("a", F.lit("."))).otherwise(F.col("a"))
+    pairs = docs.select("stem", F.concat(F.lit("/a/"), "stem").alias("original_path"), F.concat(F.lit("/b/"), "stem").alias("revised_path"), F.when(F.col("doc_id") % 11 == 0, "original_only").otherwise("both").alias("side"))
+    files = lambda folder, text: docs.select(F.concat(F.lit(folder), "stem").alias("path"), F.encode(text, "utf-8").alias("content")).withColumn("length", F.octet_length("content"))
+    return content_identity(pairs, files("/a/", F.col("a")), files("/b/", changed))
+
+
+@query("s10_feature_store", "SELECT track_id, CAST(frame_idx AS BIGINT) AS idx, target, len(vec) AS dim FROM frames WHERE track_id % 2 = 1")
+def _(spark, d):
+    from segloom.sources.stores import read_features, write_features
+
+    path = scratch_path(spark, "features")
+    rows = W.frames(spark, d).select("track_id", F.col("frame_idx").cast("long").alias("idx"), "target", "vec", F.lit("mean").alias("encoder"), F.when(F.col("track_id") % 2 == 1, "odd").otherwise("even").alias("dataset"))
+    write_features(rows, path)
+    return read_features(spark, path, encoder="mean", dataset="odd").select("track_id", "idx", "target", F.size("vec").cast("long").alias("dim"))
+
+
+@query("s13_reports", "SELECT track_id, label, count(*) AS n, round(sum(end_time - start_time), 3) AS seconds FROM sections_a GROUP BY track_id, label")
+def _(spark, d):
+    from segloom.sources.stores import write_report
+
+    rows = W.sections_a(spark, d).groupBy("track_id", "label").agg(F.count("*").alias("n"), F.sum(F.col("end_time") - F.col("start_time")).alias("seconds"))
+    table, lines = scratch_path(spark, "report"), scratch_path(spark, "report")
+    write_report(rows.select("track_id", "label", "n"), table)
+    write_report(rows.select("track_id", "label", "seconds"), lines, "json")
+    back = spark.read.schema("track_id bigint, label string, n bigint").option("header", True).csv(table)
+    return back.join(spark.read.schema("track_id bigint, label string, seconds double").json(lines), ["track_id", "label"]).select("track_id", "label", "n", r("seconds", 3))
+
+
 @query("s03_pair_files", "SELECT CAST(doc_id AS VARCHAR) AS track_id, 'docs' AS dataset FROM documents")
 def _(spark, d):
     from segloom.sources.manifests import pair_files

@@ -17,13 +17,18 @@ def read_annotations(spark: SparkSession, path: str, namespace: str = "segment_o
     """(path, track_id, annotation_idx, idx, start_time, end_time, label, confidence, metadata) of every annotation of a
     namespace. A value that is an object gives its label, else its value, else '', and is kept as metadata."""
     files = spark.read.schema(JAMS_DDL).option("multiLine", True).json(path).select(F.col("_metadata.file_path").alias("path"), "annotations")
+    return annotation_sections(files.select("path", _stem().alias("track_id"), "annotations"), namespace)
+
+
+def annotation_sections(documents: DataFrame, namespace: str = "segment_open") -> DataFrame:
+    """S5 of nested documents (path, track_id, annotations) that are read already, whatever they were stored in."""
     own = F.filter("annotations", lambda a: a["namespace"] == namespace)
-    each = files.select("path", F.posexplode(own).alias("annotation_idx", "a"))
-    rows = each.select("path", "annotation_idx", F.posexplode("a.data").alias("idx", "d"))
+    each = documents.select("path", "track_id", F.posexplode(own).alias("annotation_idx", "a"))
+    rows = each.select("path", "track_id", "annotation_idx", F.posexplode("a.data").alias("idx", "d"))
     is_object = F.col("d.value").startswith("{")
     named = F.coalesce(F.get_json_object("d.value", "$.label"), F.get_json_object("d.value", "$.value"), F.lit(""))
     return rows.select(
-        "path", _stem().alias("track_id"), "annotation_idx", "idx", F.col("d.time").alias("start_time"), (F.col("d.time") + F.col("d.duration")).alias("end_time"),
+        "path", "track_id", "annotation_idx", "idx", F.col("d.time").alias("start_time"), (F.col("d.time") + F.col("d.duration")).alias("end_time"),
         F.when(is_object, named).otherwise(F.col("d.value")).alias("label"), F.col("d.confidence").alias("confidence"), F.when(is_object, F.col("d.value")).alias("metadata"),
     )
 
@@ -47,7 +52,12 @@ def read_text_annotations(spark: SparkSession, path: str, fallback_ends: DataFra
     line begins; the last needs ``fallback_ends`` (track_id, fallback_end); lines labelled end or eof only end the one before;
     sections without length are dropped; other lines raise with their number."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = files.select("path", _stem().alias("track_id"), F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "text")).withColumn("text", F.trim(F.regexp_replace("text", r"\t", " ")))
+    return text_sections(files.select("path", _stem().alias("track_id"), "value"), fallback_ends)
+
+
+def text_sections(documents: DataFrame, fallback_ends: DataFrame | None = None) -> DataFrame:
+    """S6 of texts (path, track_id, value) that are read already."""
+    lines = documents.select("path", "track_id", F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("line", "text")).withColumn("text", F.trim(F.regexp_replace("text", r"\t", " ")))
     lines = lines.where((F.col("text") != "") & ~F.col("text").startswith("#"))
     parts = lines.withColumns({"_time": F.regexp_extract("text", r"^(\S+)\s+(\S.*)$", 1), "label": F.trim(F.regexp_extract("text", r"^(\S+)\s+(\S.*)$", 2))})
     time = F.expr("try_cast(_time AS double)")
@@ -77,7 +87,13 @@ def pair_annotation_sets(original: DataFrame, revised: DataFrame) -> DataFrame:
 
 def file_identity(spark: SparkSession, pairs: DataFrame, original: str, revised: str) -> DataFrame:
     """Of each pair whether sizes and SHA-256 of the contents are the same; hashes are made where files are read."""
-    hashed = lambda folder, name: spark.read.format("binaryFile").load(folder).select(F.col("path").alias(f"{name}_path"), F.col("length").alias(f"{name}_size"), F.sha2("content", 256).alias(f"{name}_sha"))
+    files = lambda folder: spark.read.format("binaryFile").load(folder).select("path", "length", "content")
+    return content_identity(pairs, files(original), files(revised))
+
+
+def content_identity(pairs: DataFrame, original: DataFrame, revised: DataFrame) -> DataFrame:
+    """S8 of contents (path, length, content) that are read already."""
+    hashed = lambda files, name: files.select(F.col("path").alias(f"{name}_path"), F.col("length").alias(f"{name}_size"), F.sha2("content", 256).alias(f"{name}_sha"))
     both = pairs.where("side = 'both'").join(hashed(original, "original"), "original_path").join(hashed(revised, "revised"), "revised_path")
     return both.select("stem", (F.col("original_size") == F.col("revised_size")).alias("same_size"), (F.col("original_sha") == F.col("revised_sha")).alias("same_sha256"))
 
