@@ -51,18 +51,22 @@ def count_hits(reference: Sequence[float], estimate: Sequence[float], size: floa
 
 def boundary_hits(reference: DataFrame, estimate: DataFrame, sizes: Sequence[float] = (0.5, 3.0), keys: Sequence[str] = KEYS, trim: bool = True) -> DataFrame:
     """(track, window, precision, recall, f) of one-to-one boundary matches; 0 where a side has no boundaries."""
-    lists = lambda df, name: boundaries(df, keys, trim).groupBy(*keys).agg(F.array_sort(F.collect_list("time")).alias(name))
-    every = reference.select(*keys).distinct().join(estimate.select(*keys).distinct(), list(keys))
-    both = every.join(lists(reference, "r"), list(keys), "left").join(lists(estimate, "e"), list(keys), "left")
+
+    def lists(timeline: DataFrame, name: str) -> DataFrame:  # as boundaries(), a row for each track
+        times = F.array_sort(F.array_distinct(F.concat(F.collect_list(F.round("start_time", 5)), F.collect_list(F.round("end_time", 5)))))
+        rows = timeline.groupBy(*keys).agg(times.alias(name))
+        return rows.withColumn(name, F.slice(name, F.lit(2), F.greatest(F.size(name) - 2, F.lit(0)))) if trim else rows
+
+    both = lists(reference, "r").join(lists(estimate, "e"), list(keys))
     both = both.withColumn("window", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
 
     @F.pandas_udf("long")
     def hits(r: pd.Series, e: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([0 if a is None or b is None else count_hits(list(a), list(b), s + 1e-9) for a, b, s in zip(r, e, size, strict=True)])
+        return pd.Series([count_hits(list(a), list(b), s + 1e-9) for a, b, s in zip(r, e, size, strict=True)])
 
     h = both.withColumn("hits", hits("r", "e", "window"))
     p, r = F.coalesce(F.col("hits") / F.nullif(F.size("e"), F.lit(0)), F.lit(0.0)), F.coalesce(F.col("hits") / F.nullif(F.size("r"), F.lit(0)), F.lit(0.0))
-    h = h.withColumns({"precision": F.when(F.col("e").isNull(), 0.0).otherwise(p), "recall": F.when(F.col("r").isNull(), 0.0).otherwise(r)})
+    h = h.withColumns({"precision": p, "recall": r})
     return h.select(*keys, "window", "hits", "precision", "recall", f_measure(F.col("precision"), F.col("recall")).alias("f"))
 
 

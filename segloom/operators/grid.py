@@ -129,10 +129,14 @@ def adjust_timeline(sections: DataFrame, tracks: DataFrame, keys: Sequence[str]
     inside = sections.select(*keys, "idx", "start_time", "end_time", "label").join(tracks.select(*keys, "duration"), list(keys)).withColumn("duration", d)
     inside = inside.where((F.col("end_time") > 0) & (F.col("start_time") < F.col("duration")))
     cut = inside.withColumns({"start_time": F.greatest("start_time", F.lit(0.0)), "end_time": F.least("end_time", "duration")})
-    ends = cut.groupBy(*keys).agg(F.min("start_time").alias("_lo"), F.max("end_time").alias("_hi"), F.min("idx").alias("_first"), F.max("idx").alias("_last"), F.first("duration").alias("duration"))
-    head = ends.where("_lo > 0").select(*keys, (F.col("_first") - 1).alias("idx"), F.lit(0.0).alias("start_time"), F.col("_lo").alias("end_time"), F.lit(T_MIN).alias("label"))
-    tail = ends.where("_hi < duration").select(*keys, (F.col("_last") + 1).alias("idx"), F.col("_hi").alias("start_time"), F.col("duration").alias("end_time"), F.lit(T_MAX).alias("label"))
-    return cut.drop("duration").unionByName(head).unionByName(tail)
+    # the first and the last section of a track bring the missing ends along, so that the sections are read once
+    own = Window.partitionBy(*keys)
+    cut = cut.withColumns({"_lo": F.min("start_time").over(own), "_hi": F.max("end_time").over(own), "_first": F.min("idx").over(own), "_last": F.max("idx").over(own)})
+    row = lambda idx, start, end, label: F.struct(idx.cast(dict(sections.dtypes)["idx"]).alias("idx"), start.alias("start_time"), end.alias("end_time"), label.alias("label"))
+    head = F.when((F.col("idx") == F.col("_first")) & (F.col("_lo") > 0), row(F.col("_first") - 1, F.lit(0.0), F.col("_lo"), F.lit(T_MIN)))
+    tail = F.when((F.col("idx") == F.col("_last")) & (F.col("_hi") < F.col("duration")), row(F.col("_last") + 1, F.col("_hi"), F.col("duration"), F.lit(T_MAX)))
+    every = F.array_compact(F.array(head, row(F.col("idx"), F.col("start_time"), F.col("end_time"), F.col("label")), tail))
+    return cut.select(*keys, F.inline(every))
 
 
 def assign_points(points: DataFrame, timeline: DataFrame, keys: Sequence[str] = KEYS, at: str = "start_time") -> DataFrame:
