@@ -150,8 +150,7 @@ def test_near_duplicates(spark, node, levels):
     assert kept.count() == len(set(wanted)) and kept.columns == docs_of(spark, []).columns
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_large_groups_of_near_copies(spark, seed, monkeypatch):
+def test_large_groups_of_near_copies(spark, monkeypatch, seed=2):
     """Groups many times as large as a node, with copies that drift away from the first, and one like them but apart."""
     from segloom.llm import near_dedup
 
