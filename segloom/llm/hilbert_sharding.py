@@ -81,9 +81,9 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     """``docs`` with size (UTF-8 bytes of the text and 16), text_crc32, curve, law ('rows'), shard, slot and grown_shard (null).
 
     The dimensions are the size and the string order of ``text_dims``; each is quantised into 2^BITS codes, the size at its
-    approximate quantiles, strings at those of whole values. Rows are ordered by curve index, then by text checksum and id,
-    and the order is cut into ``shards`` runs whose counts differ by one at most; slots count from 0 in each. Ranks come
-    from counts: rows of a curve cell are dealt by a hash of their id into parts of bounded size, which are ranked apart, so
+    approximate quantiles, strings at those of whole values. Rows are ordered by curve index, then by the part of the cell that
+    the checksums of id and text give, then by text checksum and id, and the order is cut into ``shards`` runs whose counts
+    differ by one at most; slots count from 0 in each. Ranks come from counts: parts are of bounded size and ranked apart, so
     no task sorts a hot cell. Between cells only 4,096 counts are added up; the driver sees the quantiles and one count.
 
     Null texts count as empty, null dimensions sort first. Equal rows tie, in any order. An empty table gives no rows.
@@ -103,7 +103,7 @@ def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", tex
     total = cells.agg(F.sum("n")).first()[0] or 0
     part_rows = max(1, min(PART_ROWS, total // PARTS))
     cells = cells.select("curve", cell_from, F.ceil(F.col("n") / part_rows).alias(cell_parts))
-    dealt = placed.join(F.broadcast(cells), "curve").withColumn(part, F.pmod(F.xxhash64(id_col, "text_crc32"), cell_parts))
+    dealt = placed.join(F.broadcast(cells), "curve").withColumn(part, (F.coalesce(F.crc32(F.col(id_col).cast("string")), F.lit(0)) + F.col("text_crc32")) % F.col(cell_parts))
     earlier = Window.partitionBy("curve").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     parts = dealt.groupBy("curve", part).agg(F.count("*").alias("n")).select("curve", part, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(part_from))
     within = Window.partitionBy("curve", part).orderBy("text_crc32", id_col)
