@@ -500,3 +500,19 @@ def test_pipeline(spark, sf):
             assert {r.doc_id for r in docs.collect()} == {rows[k].doc_id for k in set(roots)}
         if name == "pieces":
             assert docs.where("NOT round_trip").count() == 0
+
+
+def test_queries_match_sql(spark, sf):
+    import duckdb
+
+    from segloom.llm.queries import ORACLES, QUERIES
+
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    for name, sql in ORACLES.items():
+        found = con.execute(sql)
+        columns = [c[0] for c in found.description]
+        df = QUERIES[name](spark, sf)
+        assert sorted(columns) == sorted(df.columns), name
+        assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, found.fetchall())), name
