@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.operators.grid import IGNORE, adjust_timeline, assign_points
+from segloom.operators.grid import IGNORE, adjust_timeline
 from segloom.operators.policies import KEYS
 from segloom.plans.sequences import nearest, window
 
@@ -58,14 +58,14 @@ def boundary_hits(reference: DataFrame, estimate: DataFrame, sizes: Sequence[flo
         return rows.withColumn(name, F.slice(name, F.lit(2), F.greatest(F.size(name) - 2, F.lit(0)))) if trim else rows
 
     both = lists(reference, "r").join(lists(estimate, "e"), list(keys))
-    both = both.withColumn("window", F.explode(F.array(*[F.lit(float(s)) for s in sizes])))
 
-    @F.pandas_udf("long")
-    def hits(r: pd.Series, e: pd.Series, size: pd.Series) -> pd.Series:
-        return pd.Series([count_hits(list(a), list(b), s + 1e-9) for a, b, s in zip(r, e, size, strict=True)])
+    @F.pandas_udf("array<long>")
+    def hits(r: pd.Series, e: pd.Series) -> pd.Series:
+        return pd.Series([[count_hits(a, b, s + 1e-9) for s in sizes] for a, b in ((x.tolist(), y.tolist()) for x, y in zip(r, e, strict=True))], dtype=object)
 
-    h = both.withColumn("hits", hits("r", "e", "window"))
-    p, r = F.coalesce(F.col("hits") / F.nullif(F.size("e"), F.lit(0)), F.lit(0.0)), F.coalesce(F.col("hits") / F.nullif(F.size("r"), F.lit(0)), F.lit(0.0))
+    h = both.select(*keys, F.size("r").alias("r"), F.size("e").alias("e"), hits("r", "e").alias("hits"))
+    h = h.select(*keys, "r", "e", F.inline(F.arrays_zip(F.array(*[F.lit(float(s)) for s in sizes]).alias("window"), F.col("hits"))))
+    p, r = F.coalesce(F.col("hits") / F.nullif("e", F.lit(0)), F.lit(0.0)), F.coalesce(F.col("hits") / F.nullif("r", F.lit(0)), F.lit(0.0))
     h = h.withColumns({"precision": p, "recall": r})
     return h.select(*keys, "window", "hits", "precision", "recall", f_measure(F.col("precision"), F.col("recall")).alias("f"))
 
@@ -81,12 +81,30 @@ def boundary_deviation(reference: DataFrame, estimate: DataFrame, keys: Sequence
     return way(r, e, "ref_to_est").join(way(e, r, "est_to_ref"), list(keys), "full_outer")
 
 
+def _label_steps(timeline: DataFrame, keys: Sequence[str], step: float, name: str) -> DataFrame:
+    """The number of the first point from which each section's label counts, as ``assign_points`` has it: where the section
+    begins or the one before has ended, whichever is first; the first section's from 0."""
+    since = F.least(F.lag("end_time").over(window(keys, "idx")), "start_time")
+    first = F.row_number().over(window(keys, "idx")) == 1
+    begun = timeline.select(*keys, "idx", F.col("label").alias(name), F.when(~first, since).alias("_since")).withColumn("_k", F.ceil(F.col("_since") / F.lit(step)))
+    at = lambda k: k * F.lit(step) >= F.col("_since")
+    k = F.when(F.col("_since").isNull(), F.lit(0).cast("long")).when(at(F.col("_k") - 1), F.col("_k") - 1).when(at(F.col("_k")), F.col("_k")).otherwise(F.col("_k") + 1)
+    return begun.select(*keys, "idx", name, F.greatest(k, F.lit(0).cast("long")).alias("_k"))
+
+
 def contingency(reference: DataFrame, estimate: DataFrame, durations: DataFrame, keys: Sequence[str] = KEYS, step: float = 0.1) -> DataFrame:
-    """E5: how many points, every ``step`` seconds, have each pair of labels: (track, ref, est, n)."""
-    points = durations.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.round(F.col("duration") / step, 6)).cast("long") - 1)).alias("k")).withColumn("start_time", F.col("k") * F.lit(step))
-    ref = assign_points(points, reference, keys).withColumnRenamed("label", "ref")
-    both = assign_points(ref, estimate, keys).withColumnRenamed("label", "est")
-    return both.groupBy(*keys, "ref", "est").agg(F.count("*").alias("n"))
+    """E5: how many points, every ``step`` seconds, have each pair of labels: (track, ref, est, n).
+
+    No point is made: both timelines' sections go through one sort, and between two of them the points are counted."""
+    side = lambda df, own, other, n: df.select(*keys, "_k", F.lit(n).alias("_side"), "idx", own, F.lit(None).cast("string").alias(other))
+    both = side(_label_steps(reference, keys, step, "ref"), "ref", "est", 0).unionByName(side(_label_steps(estimate, keys, step, "est"), "est", "ref", 1))
+    w = window(keys, "_k", "_side", "idx")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    runs = both.select(*keys, "_k", F.last("ref", True).over(upto).alias("ref"), F.last("est", True).over(upto).alias("est"), F.lead("_k").over(w).alias("_next"))
+    points = F.floor(F.round(F.col("duration") / F.lit(step), 6)).cast("long")
+    n = F.least(F.coalesce("_next", "_points"), "_points") - F.least("_k", "_points")
+    counted = runs.join(durations.select(*keys, points.alias("_points")), list(keys)).withColumn("n", n).where("n > 0")
+    return counted.groupBy(*keys, "ref", "est").agg(F.sum("n").alias("n"))
 
 
 def _margins(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

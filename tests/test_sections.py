@@ -198,6 +198,26 @@ def test_evaluate(spark):
         E.evaluate_predictions(s, s.where("false"), s)
 
 
+def test_contingency(spark):
+    """Counted cells are those of the points themselves, with gaps, overlaps and sections shorter than a step."""
+    rng = random.Random(5)
+    rows = {"r": [], "e": []}
+    for side in rows:
+        for track in range(24):
+            at = rng.choice([0.0, 0.0, 0.35])
+            for i in range(rng.randrange(1, 9)):
+                end = at + rng.choice([0.04, 0.1, 0.3, 1.0, 1.7])
+                rows[side].append((str(track), i, at, end, rng.choice("abc"), None))
+                at = end + rng.choice([0.0, 0.0, 0.0, 0.2, -0.02])
+    ref, est = (spark.createDataFrame(rows[side], SECTION) for side in "re")
+    ends = spark.createDataFrame([(str(track), rng.choice([0.05, 2.0, 5.3, 9.0])) for track in range(24)], "track_id string, duration double")
+    points = ends.selectExpr("track_id", "inline(transform(filter(sequence(0, 100), k -> k < floor(round(duration / 0.1D, 6))), k -> struct(k * 0.1D AS start_time)))")
+    both = T.assign_points(T.assign_points(points, ref).withColumnRenamed("label", "ref"), est).withColumnRenamed("label", "est")
+    wanted = {(r.track_id, r.ref, r.est): r["count"] for r in both.groupBy("track_id", "ref", "est").count().collect()}
+    got = {(r.track_id, r.ref, r.est): r.n for r in E.contingency(ref, est, ends).collect()}
+    assert got == wanted and len(got) > 30
+
+
 def test_comparison(spark):
     a, b = made(spark, "x", "y", times=[(0.0, 4.0), (4.0, 6.0)]), made(spark, "x", "y", times=[(0.0, 5.0), (5.0, 6.0)])
     got = {(r.original_label, r.revised_label): r.seconds for r in C.overlap_seconds(a, b).collect()}
