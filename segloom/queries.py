@@ -556,7 +556,14 @@ def _(spark, d):
     return E.evaluate_predictions(ref, est, f.select("track_id").distinct())
 
 
-@query("e03_boundary_hits")
+@query("e03_boundary_hits", f"""WITH {_BOTH}, rt AS (SELECT track_id, list_sort(list_distinct(list(round(start_time, 5)) || list(round(end_time, 5)))) AS r FROM refs GROUP BY track_id),
+    et AS (SELECT track_id, list_sort(list_distinct(list(round(start_time, 5)) || list(round(end_time, 5)))) AS e FROM ests GROUP BY track_id),
+    l AS (SELECT track_id, r[2:len(r) - 1] AS r, e[2:len(e) - 1] AS e, unnest([0.5, 3.0, 600.0]::DOUBLE[]) AS size FROM rt JOIN et USING (track_id)),
+    h AS (WITH RECURSIVE walk AS (SELECT track_id, r, e, size, 1 AS i, 1 AS j, 0 AS hits FROM l
+             UNION ALL
+             SELECT track_id, r, e, size, CASE WHEN e[j] - r[i] >= -(size + 1e-9) THEN i + 1 ELSE i END, CASE WHEN e[j] - r[i] <= size + 1e-9 THEN j + 1 ELSE j END, CASE WHEN abs(e[j] - r[i]) <= size + 1e-9 THEN hits + 1 ELSE hits END FROM walk WHERE i <= len(r) AND j <= len(e))
+        SELECT track_id, size, hits, coalesce(hits / nullif(len(e), 0), 0) AS p, coalesce(hits / nullif(len(r), 0), 0) AS q FROM walk WHERE i > len(r) OR j > len(e))
+    SELECT track_id, size AS window, hits::BIGINT AS hits, p AS precision, q AS recall, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END AS f FROM h""")
 def _(spark, d):
     ref, est, _ = E.adjust_pair(*_pair(spark, d))
     return E.boundary_hits(ref, est, (0.5, 3.0, 600.0))
