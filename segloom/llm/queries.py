@@ -7,14 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from segloom.llm.alignment import alignment_counts
 from segloom.llm.chat import format_conversations, read_back
 from segloom.llm.common import table
 from segloom.llm.decontaminate import benchmark_hits
 from segloom.llm.exact_dedup import exact_groups
 from segloom.llm.hilbert_sharding import assign_shards
+from segloom.llm.language import identify_languages
 from segloom.llm.near_dedup import near_duplicates
 from segloom.llm.pieces import encode_checked
 from segloom.llm.quality import resample
+from segloom.llm.ranked_search import ranked_search
 from segloom.llm.repeated_spans import drop_repeated_spans
 from segloom.llm.toxicity import score_toxicity
 from segloom.llm.warc import archive_folder, read_records, write_archives
@@ -24,8 +27,12 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _held_out() -> F.Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    held = _held_out()
     scores = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held))
     return scores.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
@@ -82,6 +89,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), digest_all=True)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment_counts(table(spark, sf_dir, "documents"))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = identify_languages(docs, docs.where(~_held_out()))
+    return out.select("doc_id", _held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -93,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_decontaminate": op9_decontaminate,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_language": op12_language,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 #: Texts with A to Z lower-cased, in SQL.
@@ -195,4 +220,17 @@ ORACLES: dict[str, str] = {
                doc_id = min(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
         FROM t WINDOW g AS (PARTITION BY norm)
     """,
+    # every pair of an item and a document with a common term
+    "op13_ranked_search": rf"""
+        WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+        s AS (SELECT count(*) FILTER (len(w) > 0) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d),
+        tf AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term, len(w) AS n FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, s GROUP BY term),
+        impacts AS (SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * docs) // terms))) AS impact FROM tf, s),
+        scores AS (SELECT item_id, doc_id, CAST(sum(times * weight * impact) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN impacts USING (term) GROUP BY ALL HAVING score > 0)
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores
+        QUALIFY rank <= 20
+    """,
 }

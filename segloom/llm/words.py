@@ -123,6 +123,52 @@ class Lexer:
         release()
 
 
+@dataclass
+class Segment:
+    """Texts ``row``, ``row + 1`` and so on, as bytes ``bounds[k]:bounds[k + 1]`` of ``data``; or a stretch of the one text ``row``
+    that ``begins`` or ``ends`` with it or not."""
+
+    row: int
+    data: np.ndarray
+    bounds: np.ndarray
+    begins: bool = True
+    ends: bool = True
+
+
+def segments(column: pa.Array, most: int = 1 << 20) -> Iterator[Segment]:
+    """A string column (null: empty) in runs of whole texts of about ``most`` bytes; a longer text by itself, in stretches cut before
+    a space that follows printable ASCII and is not the text's last byte. Memory is bounded by the longest stretch without such a place."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = column.buffers()[2] if n else None
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    at = 0
+    while at < n:
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1), n)
+        first, last = int(offsets[at]), int(offsets[to])
+        if last - first <= most:
+            yield Segment(at, data[first:last], offsets[at : to + 1] - first)
+        else:
+            begin = first
+            while begin < last:
+                cut, look = begin + most, begin + most
+                while look < last - 1:
+                    here = data[look : min(look + (1 << 16), last - 1)]
+                    before = data[look - 1 : look - 1 + len(here)]
+                    found = np.flatnonzero((here == 0x20) & (before > 0x20) & (before < 0x7F))
+                    if len(found):
+                        cut = look + int(found[0])
+                        break
+                    look += len(here)
+                else:
+                    cut = last
+                yield Segment(at, data[begin:cut], np.array([0, cut - begin]), begin == first, cut == last)
+                begin = cut
+        at = to
+    release()
+
+
 def runs(code: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of k consecutive words of each text (a text of fewer, but some, words is one run), and their offsets by text."""
     count = np.diff(first)
