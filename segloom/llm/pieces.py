@@ -8,7 +8,7 @@ those chunks' own N best from a backward A* search, for which the forward scores
 
 from __future__ import annotations
 
-import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +23,8 @@ from segloom.llm.words import Lexer, mix, release
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segmentations of a text; bytes of text that are segmented together; bytes of a chunk from which it is segmented alone.
 NBEST, BLOCK_BYTES, LONG = 3, 1 << 20, 64
+#: Bytes up to which a chunk's edges are listed at once; ends whose edges are made together in longer ones.
+FEW_BYTES, WINDOW = 1 << 10, 1 << 16
 #: Bytes of chunks that one forward pass holds.
 CELLS = 500_000
 #: Below the lowest score of a one-character piece (the lone space, which is never chosen freely, apart): a byte of a character without a piece.
@@ -54,6 +56,7 @@ class Vocabulary:
         if any(b" " in raw.lstrip(b" ") for raw in self.pieces):
             raise ValueError("a piece has a space after another character")
         self.longest = max(map(len, self.pieces))
+        self.lexer = Lexer((), lower=False)
         codes = _codes(list(self.pieces))
         order = np.argsort(codes)
         ids = np.array([i for i, _ in self.pieces.values()], np.int32)
@@ -107,27 +110,139 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def nbest_chunk(chunk: bytes, n: int, known: Vocabulary) -> list[tuple[float, tuple[int, ...]]]:
-    """The n best segmentations of a chunk, best first: backward A* from its end, a path's rank being its score so far and
-    the forward Viterbi score of what is left, which is exact, so paths leave the queue in order."""
+class _Lattice:
+    """The edges of a long chunk as ``Vocabulary.edges`` has them, made for a window of ends at a time, and its forward scores."""
+
+    def __init__(self, chunk: bytes, known: Vocabulary, window: int = WINDOW):
+        self.known, self.window, self.data = known, window, np.frombuffer(chunk, np.uint8)
+        self.lead = np.append((self.data & 0xC0) != 0x80, True)
+        self.held: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def _made(self, w: int) -> tuple[np.ndarray, ...]:
+        """Of window w the edges that end in it, by end and start: the first of each end, starts, scores, ids (-2: the bytes)."""
+        if w not in self.held:
+            known, first = self.known, w * self.window
+            last = min(first + self.window, len(self.data))  # ends first + 1 to last
+            base = max(0, first - known.longest)
+            lexer = known.lexer
+            lexer._powers(last - base + 1)
+            part = self.data[base:last]
+            sums = np.zeros(len(part) + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                np.cumsum(lexer.value[part] * lexer._power[: len(part)], out=sums[1:])
+            ends = np.flatnonzero(self.lead[first + 1 : last + 1]) + first + 1
+            starts, stops, scores, ids = [], [], [], []
+            for size in range(1, known.longest + 1):
+                e = ends[ends >= size]
+                e = e[self.lead[e - size]]
+                s = e - size
+                with np.errstate(over="ignore"):
+                    code = mix((sums[e - base] - sums[s - base]) * lexer._inverse[s - base] + np.uint64(size))
+                at, place = known.find(code)
+                starts.append(s[at])
+                stops.append(e[at])
+                scores.append(known.scores[place])
+                ids.append(known.ids[place])
+                if size <= 4:  # one character without a piece
+                    none = np.setdiff1d(np.arange(len(e)), at, assume_unique=True)
+                    for j in range(1, size):
+                        none = none[~self.lead[s[none] + j]]
+                    starts.append(s[none])
+                    stops.append(e[none])
+                    scores.append(np.full(len(none), known.byte_score * size))
+                    ids.append(np.full(len(none), -2, np.int32))
+            start, stop, score, id_ = (np.concatenate(x) for x in (starts, stops, scores, ids))
+            order = np.lexsort((start, stop))
+            while len(self.held) > 1:
+                self.held.pop(next(iter(self.held)))
+            self.held[w] = (np.searchsorted(stop[order], np.arange(first + 1, last + 2)), start[order], score[order], id_[order], stop[order])
+        return self.held[w]
+
+    def __getitem__(self, e: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        w, k = divmod(e - 1, self.window)
+        first, start, score, ids, _ = self._made(w)
+        a, b = int(first[k]), int(first[k + 1])
+        return [(s, x, (i,) if i >= 0 else tuple(self.known.byte_id[self.data[s:e]].tolist())) for s, x, i in zip(start[a:b].tolist(), score[a:b].tolist(), ids[a:b].tolist(), strict=True)]
+
+    def forward(self) -> tuple[array, float]:
+        """The best score of each prefix, and the second best of the whole."""
+        n = len(self.data)
+        best, second = array("d", [-np.inf]) * (n + 1), array("d", [-np.inf]) * (n + 1)
+        best[0] = 0.0
+        for w in range(-(-n // self.window)):
+            _, start, score, _, stop = self._made(w)
+            for e, s, x in zip(stop.tolist(), start.tolist(), score.tolist(), strict=True):
+                one, two = best[s] + x, second[s] + x
+                if one > best[e]:
+                    second[e] = best[e] if best[e] > two else two
+                    best[e] = one
+                else:
+                    if one > second[e]:
+                        second[e] = one
+                    if two > second[e]:
+                        second[e] = two
+        return best, second[n]
+
+
+def _lattice(chunk: bytes, known: Vocabulary):
+    """Edges by end, forward scores, and the second best of a chunk."""
+    if len(chunk) > FEW_BYTES:
+        edges = _Lattice(chunk, known)
+        return edges, *edges.forward()
     edges = known.edges(chunk)
-    ahead = [0.0] + [-np.inf] * len(chunk)
+    best, second = [0.0] + [-np.inf] * len(chunk), [-np.inf] * (len(chunk) + 1)
     for e in range(1, len(chunk) + 1):
         for s, score, _ in edges[e]:
-            ahead[e] = max(ahead[e], ahead[s] + score)
-    queue = [(-ahead[-1], 0, len(chunk), 0.0, ())]
-    count, out = 1, []
+            one = best[s] + score
+            second[e] = max(min(best[e], one), second[e], second[s] + score)
+            best[e] = max(best[e], one)
+    return edges, best, second[-1]
+
+
+def _nbest(edges, ahead, length: int, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    """Backward A* from the end of a lattice, a path's rank being its score so far and the forward score of what is left.
+
+    That is exact, so a path taken from the queue is followed to the start along the best edges (of equal ones the one from the
+    earliest start, as in the forward pass), and where it leaves another edge aside, that begins one other path of known score.
+    The queue keeps as many as are still to be found; a path in it is a place in the path that it leaves, and an edge.
+    """
+    out: list[tuple[float, tuple[int, ...]]] = []
+    paths: list[tuple[array, array]] = []  # places from the end to the start, and the ids between them, backward
+    queue: list[tuple[float, int, int, int, int, float, tuple[int, ...]]] = [(ahead[length], -1, 0, 0, length, 0.0, ())]
     while queue and len(out) < n:
-        _, _, e, score, tail = heapq.heappop(queue)
-        if e == 0:
-            out.append((score, tail))
-            continue
-        for s, more, ids in edges[e]:
-            heapq.heappush(queue, (-(ahead[s] + score + more), count, s, score + more, ids + tail))
-            count += 1
+        total, parent, upto, had, e, score, ids = queue.pop(0)
+        places, labels = (paths[parent][0][:upto], paths[parent][1][:had]) if parent >= 0 else (array("q"), array("i"))
+        places.append(e)
+        labels.extend(reversed(ids))
+        while e:
+            step = None
+            for s, more, other in edges[e]:
+                if step is None and ahead[s] + more == ahead[e]:
+                    step = s, more, other
+                    continue
+                rank = ahead[s] + score + more
+                if len(queue) < n - len(out) - 1 or (queue and rank > queue[-1][0]):
+                    k = len(queue)
+                    while k and queue[k - 1][0] < rank:
+                        k -= 1
+                    queue.insert(k, (rank, len(paths), len(places), len(labels), s, score + more, other))
+                    del queue[max(0, n - len(out) - 1) :]
+            s, more, ids = step
+            score += more
+            e = s
+            places.append(e)
+            labels.extend(reversed(ids))
+        paths.append((places, labels))
+        out.append((total, tuple(reversed(labels))))
     return out
 
 
+def nbest_chunk(chunk: bytes, n: int, known: Vocabulary) -> list[tuple[float, tuple[int, ...]]]:
+    """The n best segmentations of a chunk with their scores, best first; time and memory are linear in its length."""
+    edges, ahead, _ = _lattice(chunk, known)
+    return _nbest(edges, ahead, len(chunk), n)
+
+
 def _viterbi(data: np.ndarray, sums: np.ndarray, inverse: np.ndarray, start: np.ndarray, length: np.ndarray, known: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Best segmentation of chunks, which come longest first: ids row by row, their counts, the best and second best scores."""
     m, longest = len(start), int(length[0])
@@ -184,20 +299,8 @@ def _viterbi(data: np.ndarray, sums: np.ndarray, inverse: np.ndarray, start: np.
 
 def _alone(chunk: bytes, known: Vocabulary) -> tuple[list[int], float, float]:
     """As _viterbi, for one long chunk."""
-    edges = known.edges(chunk)
-    best, second, back = [0.0] + [-np.inf] * len(chunk), [-np.inf] * (len(chunk) + 1), [None] * (len(chunk) + 1)
-    for e in range(1, len(chunk) + 1):
-        for s, score, ids in edges[e]:
-            one = best[s] + score
-            second[e] = max(min(best[e], one), second[e], second[s] + score)
-            if one > best[e]:
-                best[e], back[e] = one, (s, ids)
-    out: list[tuple[int, ...]] = []
-    e = len(chunk)
-    while e:
-        e, ids = back[e]
-        out.append(ids)
-    return [i for ids in reversed(out) for i in ids], best[-1], second[-1]
+    edges, ahead, second = _lattice(chunk, known)
+    return list(_nbest(edges, ahead, len(chunk), 1)[0][1]), ahead[len(chunk)], second
 
 
 class _Known:
@@ -291,13 +394,17 @@ def _alternatives(block: _Block, text: int, offsets: np.ndarray, n: int, known:
     gaps = block.gap[block.type_of[a:b]]
     few = np.sort(np.argpartition(gaps, n - 2)[: n - 1]) if b - a > n - 1 else np.arange(b - a)
     heads: list[tuple[float, tuple]] = [(0.0, ())]
+    mine = {}
     for k in few[np.isfinite(gaps[few])].tolist():
         raw = block.chunk(block.type_of[a + k])
         ranked = seen.get(raw)
         if ranked is None:
+            ranked = nbest_chunk(raw, n, known)
             if len(seen) > 5_000:
                 seen.clear()
-            ranked = seen[raw] = nbest_chunk(raw, n, known)
+            if len(raw) <= FEW_BYTES:
+                seen[raw] = ranked
+        mine[k] = ranked
         choices = [(ranked[0][0] - score, r) for r, (score, _) in enumerate(ranked)]
         heads = sorted(((loss + more, (*picks, (k, r)) if r else picks) for loss, picks in heads for more, r in choices), key=lambda x: x[0])[:n]
     losses, edits = [], []
@@ -305,7 +412,7 @@ def _alternatives(block: _Block, text: int, offsets: np.ndarray, n: int, known:
     for loss, picks in heads[1:]:
         edit: list[int] = []
         for k, r in picks:
-            ids = seen[block.chunk(block.type_of[a + k])][r][1] if block.chunk(block.type_of[a + k]) in seen else nbest_chunk(block.chunk(block.type_of[a + k]), n, known)[r][1]
+            ids = mine[k][r][1]
             edit += [int(offsets[a + k] - base), int(offsets[a + k + 1] - base), len(ids), *ids]
         losses.append(loss)
         edits.append(edit)
@@ -340,8 +447,9 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
     An edit is a flat list of from, to, count and count ids, repeated: pieces [from, to) of ``ids`` give way to the new ones.
     A text begins with the model's space of its own; a character without a piece, U+2581 itself included, becomes its bytes,
-    so that decoding gives back the text exactly. Null and empty texts have no ids and no others. Nothing is shuffled; a
-    text of any length is segmented whole. Other columns are not read.
+    so that decoding gives back the text exactly. Null and empty texts have no ids and no others. Nothing is shuffled. A
+    text of any length is segmented whole, in time linear in it and some 100 bytes of memory for each byte of the longest text;
+    of segmentations of equal score any is taken. Other columns are not read.
     """
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

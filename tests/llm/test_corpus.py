@@ -425,7 +425,7 @@ def test_pieces(spark):
     for chunk in (" hello", "  a", " éx", "\n", " x執▁"):
         full, few = every_path(chunk.encode(), known), nbest_chunk(chunk.encode(), 4, known)
         assert [x for x, _ in few] == pytest.approx([x for x, _ in full[:4]])
-    texts = [*ODD[:7], "the cat  sat\non é mats ", "y" * 90]
+    texts = [*ODD, "the cat  sat\non é mats ", "y" * 90, "a line\n" + "#" * 401 + "\n" + "-" * 801, "=" * 100_000, "漢字仮名" * 20_000, base64.b64encode(random.Random(5).randbytes(150_000)).decode()]
     got = {r.doc_id: r for r in decode(encode(docs_of(spark, texts))).collect()}
     for i, t in enumerate(texts):
         assert got[i].decoded == (t or "") and got[i].others_decode
@@ -438,6 +438,34 @@ def test_pieces(spark):
     assert encode(docs_of(spark, [])).count() == 0
 
 
+def test_nbest_of_ties_and_long_chunks():
+    import resource
+
+    from segloom.llm.pieces import MODEL, _alone, _Lattice, _lattice, _nbest, nbest_chunk, vocabulary
+
+    known, rng = vocabulary(MODEL), random.Random(1)
+    for _ in range(150):
+        chunk = (" " + "".join(rng.choice(["a", "e", "the", "#", "-", "x", "é", "漢", "=="]) for _ in range(rng.randrange(1, 5)))).encode()
+        full = every_path(chunk, known)
+        for n in (1, 3, 6):
+            few = nbest_chunk(chunk, n, known)
+            assert [x for x, _ in few] == pytest.approx([x for x, _ in full[:n]])
+            assert len({ids for _, ids in few}) == len(few) and {ids for _, ids in few} <= {tuple(ids) for _, ids in full}
+        small, (edges, ahead, second) = _Lattice(chunk, known, window=5), _lattice(chunk, known)
+        best, other = small.forward()
+        assert list(best) == list(ahead) and other == second
+        assert [small[e] for e in range(1, len(chunk) + 1)] == edges[1:]
+        assert _nbest(small, best, len(chunk), 3) == nbest_chunk(chunk, 3, known)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for chunk in (b" " + b"y" * 1601, b"#" * 100_000, "漢字仮名交じり文".encode() * 12_000, base64.b64encode(rng.randbytes(225_000))):
+        few = nbest_chunk(chunk, 3, known)
+        ids, best, second = _alone(chunk, known)
+        assert few[0] == (best, tuple(ids)) and (len(few) == 1 or few[1][0] == second)
+        for _, ids in few:
+            assert b"".join(known.text[i] for i in ids) == chunk
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 200 << 10
+
+
 def test_pieces_memory():
     from segloom.llm.pieces import _Block, _codes, _Known, vocabulary, MODEL
     from segloom.llm.words import Lexer
