@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from segloom.functions.labels import label_base, label_family
 from segloom.operators.evaluation import f_measure
 from segloom.operators.policies import KEYS
-from segloom.plans.sequences import nearest, overlap_join, window
+from segloom.plans.sequences import nearest, overlap_sweep, window
 
 
-def overlap_seconds(original: DataFrame, revised: DataFrame, keys: Sequence[str] = KEYS, per_track: bool = False, base: bool = False, width: float | None = None) -> DataFrame:
+def overlap_seconds(original: DataFrame, revised: DataFrame, keys: Sequence[str] = KEYS, per_track: bool = False, base: bool = False) -> DataFrame:
     """Seconds that each original label shares with each revised one, of the corpus or by track, or by base label."""
-    pairs = overlap_join(original, revised, keys, width=width)
+    spans = lambda df: df.select(*keys, "start_time", "end_time", "label")
+    pairs = overlap_sweep(spans(original), spans(revised), keys)
     name = label_base if base else F.col
     by = [*(keys if per_track else ()), "original_label", "revised_label"]
     return pairs.select(*keys, name("label").alias("original_label"), name("r_label").alias("revised_label"), "overlap").groupBy(*by).agg(F.sum("overlap").alias("seconds"))
@@ -30,7 +31,8 @@ def top_changed(confusion: DataFrame, n: int = 40) -> DataFrame:
 def agreement(original: DataFrame, revised: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Seconds and share of the common time with the same label, and with the same base label; the shares are null
     without common time."""
-    p = overlap_join(original, revised, keys)
+    spans = lambda df: df.select(*keys, "start_time", "end_time", "label")
+    p = overlap_sweep(spans(original), spans(revised), keys)
     same, base = F.col("label") == F.col("r_label"), label_base("label") == label_base("r_label")
     out = p.groupBy(*keys).agg(F.sum("overlap").alias("total"), F.sum(F.when(same, F.col("overlap")).otherwise(0.0)).alias("label_agreement_seconds"), F.sum(F.when(base, F.col("overlap")).otherwise(0.0)).alias("base_label_agreement_seconds"))
     share = lambda c: F.col(c) / F.nullif("total", F.lit(0.0))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from segloom.functions.labels import SILENCE_LIKE, label_base
 from segloom.functions.vectors import vector_mean
 from segloom.operators.policies import KEYS
-from segloom.plans.sequences import asof, differs, nearest, overlap_join, window
+from segloom.plans.sequences import asof, differs, nearest, overlap_sweep, window
 
 IGNORE = -100
 T_MIN, T_MAX = "__T_MIN", "__T_MAX"
@@ -115,11 +115,13 @@ def subsample_beats(pooled: DataFrame, bpm: DataFrame, keys: Sequence[str] = KEY
 
 
 def assign_overlap(intervals: DataFrame, sections: DataFrame, keys: Sequence[str] = KEYS, unknown: str | None = None) -> DataFrame:
-    """The label with the largest positive overlap, of one section, the earlier on ties; else ``unknown``; else null."""
-    pairs = overlap_join(intervals, sections.select(*keys, "idx", "start_time", "end_time", "label"), keys)
-    best = pairs.where("overlap > 0").groupBy(*keys, "idx").agg(F.max_by("r_label", F.struct("overlap", -F.col("r_idx"))).alias("label"))
-    out = intervals.join(best, [*keys, "idx"], "left")
-    return out if unknown is None else out.withColumn("label", F.coalesce("label", F.lit(unknown)))
+    """The label with the largest positive overlap, of one section, the earlier on ties; else ``unknown``; else null. ``idx``
+    tells a track's intervals apart. One sweep over both tables; nothing is joined."""
+    met = overlap_sweep(intervals, sections.select(*keys, "idx", "start_time", "end_time", "label"), keys, how="left")
+    label = F.max_by("r_label", F.when(F.col("overlap").isNotNull(), F.struct("overlap", -F.col("r_idx"))))
+    others = [c for c in intervals.columns if c not in (*keys, "idx", "label")]
+    out = met.groupBy(*keys, "idx").agg(*[F.first(c).alias(c) for c in others], (label if unknown is None else F.coalesce(label, F.lit(unknown))).alias("_label"))
+    return out.select(*[c for c in intervals.columns if c != "label"], F.col("_label").alias("label"))
 
 
 def adjust_timeline(sections: DataFrame, tracks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segloom.functions.labels import canonical_underscore, label_base
-from segloom.plans.sequences import differs, islands, overlap_join, window
+from segloom.plans.sequences import differs, islands, overlap_sweep, window
 
 KEYS = ("track_id",)
 #: The policies, those that need function annotations, and those that stand for a choice of others.
@@ -154,12 +154,13 @@ def replace_no_function(sections: DataFrame, keys: Sequence[str] = KEYS, label:
 
 
 def project_lower(function: DataFrame, lower: DataFrame, keys: Sequence[str] = KEYS, label_format: str = "{function} subsegment {lower}", preserve: Sequence[str] = ("silence",), merge: bool = True) -> DataFrame:
-    """Each lower section is named after the function section that it shares most time with (the earlier on ties)."""
+    """Each lower section is named after the function section that it shares most time with (the earlier on ties). One sweep
+    over both tables; ``idx`` tells a track's sections apart."""
     import string
 
-    best = overlap_join(lower, function, keys, how="left")
-    rank = F.row_number().over(Window.partitionBy(*keys, "idx").orderBy(F.desc_nulls_last("overlap"), "r_idx"))
-    best = best.withColumn("_rank", rank).where("_rank = 1")
+    met = overlap_sweep(lower, function.select(*keys, "idx", "start_time", "end_time", "label"), keys, how="left")
+    shared = F.when(F.col("overlap").isNotNull(), F.struct("overlap", -F.col("r_idx")))
+    best = met.groupBy(*keys, "idx").agg(*[F.first(c).alias(c) for c in lower.columns if c not in (*keys, "idx")], F.max_by("r_label", shared).alias("r_label"))
     fields = {"function": F.col("r_label"), "function_base": label_base("r_label"), "lower": F.col("label"), "lower_base": label_base("label")}
     parts = []
     for literal, name, _, _ in string.Formatter().parse(label_format):

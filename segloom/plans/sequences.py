@@ -4,6 +4,7 @@ and consecutive steps on one key share an exchange."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,26 +27,39 @@ def differs(col: str, keys: Sequence[str], order: str) -> Column:
     return F.when(F.row_number().over(w) > 1, ~F.col(col).eqNullSafe(F.lag(col).over(w)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = "start_time", end: str = "end_time", how: str = "inner", width: float | None = None) -> DataFrame:
-    """Pairs of rows of one key whose intervals share some time, with ``overlap`` in seconds; the right columns get the prefix r_.
+def overlap_sweep(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = "start_time", end: str = "end_time", how: str = "inner") -> DataFrame:
+    """Pairs of rows of one key (null included) whose intervals share some time, with ``overlap`` in seconds; the right columns
+    get the prefix r_. ``how="left"`` also gives each left row once without a partner, whether it has partners or not.
 
-    The key is an equality, so Spark joins by hash or sort-merge and tests the overlap on what meets. For sequences with very
-    many intervals ``width`` adds a time bucket to the key: an interval is sent to every bucket that it touches, and a pair
-    is kept in the bucket of the later start only.
+    An event sweep, without a join: both sides' starts go through one sort, each event carries the interval of either side that
+    is open there, and two open ones overlap from the event to the earlier of their ends, which the next start cuts. So the
+    work is linear after the sort, in one exchange. Intervals of one side that overlap each other travel as one event, and only
+    its members are tested against those that they meet. Intervals without a length, or with a null end, have no partners.
     """
-    r = right.select(*[F.col(k).alias(f"r_{k}") for k in right.columns])
-    cond = [left[k].eqNullSafe(r[f"r_{k}"]) if how != "inner" else left[k] == r[f"r_{k}"] for k in keys]
-    touch = (left[start] < r[f"r_{end}"]) & (r[f"r_{start}"] < left[end])
-    if width is not None and how == "inner":
-        buckets = lambda s, e: F.explode(F.sequence(F.floor(s / width), F.floor(e / width)))
-        a = left.withColumn("_bucket", buckets(F.col(start), F.col(end)))
-        b = r.withColumn("_r_bucket", buckets(F.col(f"r_{start}"), F.col(f"r_{end}")))
-        cond = [a[k] == b[f"r_{k}"] for k in keys] + [a["_bucket"] == b["_r_bucket"]]
-        touch = (a[start] < b[f"r_{end}"]) & (b[f"r_{start}"] < a[end]) & (F.floor(F.greatest(a[start], b[f"r_{start}"]) / width) == a["_bucket"])
-        out = a.join(b, [*cond, touch]).drop("_bucket", "_r_bucket")
+    sides = []
+    for n, (df, other) in enumerate(((left, right), (right, left))):
+        w = window(keys, start, end)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        runs = df.withColumn("_new", F.when(F.col(start) < reach, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        events = runs.groupBy(*keys, "_run").agg(F.min(start).alias("_t"), F.max(end).alias("_end"), F.collect_list(F.struct(*df.columns)).alias("_rows"))
+        own = F.struct("_end", "_rows").alias(f"_{n}")
+        blank = F.lit(None).cast(other.select(F.struct(F.col(end).alias("_end"), F.array(F.struct(*other.columns)).alias("_rows")).alias("s")).schema[0].dataType).alias(f"_{1 - n}")
+        sides.append(events.select(*keys, "_t", "_end", F.lit(n).alias("_side"), own, blank))
+    upto = window(keys, "_t", "_end", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = sides[0].unionByName(sides[1]).withColumns({"_l": F.last("_0", True).over(upto), "_r": F.last("_1", True).over(upto)})
+    # the runs of one side don't overlap, so two of them are open together at one event only: where the later one begins
+    open_ = (F.col("_l._end") > F.col("_t")) & (F.col("_r._end") > F.col("_t"))
+    times = [F.col(f"{side}.{c}") for side in "lr" for c in (start, end)]
+    overlap = F.when(~reduce(Column.__or__, [t.isNull() for t in times]), F.least(times[1], times[3]) - F.greatest(times[0], times[2]))
+    if how == "inner":
+        pairs = both.where(open_).select(F.explode("_l._rows").alias("l"), F.col("_r._rows").alias("_rows")).select("l", F.explode("_rows").alias("r"))
     else:
-        out = left.join(r, [*cond, touch], how)
-    return out.withColumn("overlap", F.least(F.col(end), F.col(f"r_{end}")) - F.greatest(F.col(start), F.col(f"r_{start}")))
+        none = F.array().cast(f"array<struct<l:{left.schema.simpleString()},r:{right.schema.simpleString()}>>")
+        alone = F.when(F.col("_side") == 0, F.transform("_0._rows", lambda l: F.struct(l.alias("l"), F.lit(None).cast(right.schema).alias("r"))))
+        met = F.when(open_, F.flatten(F.transform("_l._rows", lambda l: F.transform("_r._rows", lambda r: F.struct(l.alias("l"), r.alias("r"))))))
+        pairs = both.where((F.col("_side") == 0) | open_).select(F.inline(F.concat(F.coalesce(alone, none), F.coalesce(met, none))))
+    out = pairs.withColumn("overlap", overlap).where("overlap > 0" if how == "inner" else "overlap > 0 OR r IS NULL")
+    return out.select("l.*", *[F.col(f"r.{c}").alias(f"r_{c}") for c in right.columns], "overlap")
 
 
 def asof(points: DataFrame, lookup: DataFrame, keys: Sequence[str], at: str, since: str, value: Sequence[str]) -> DataFrame:

@@ -272,9 +272,10 @@ def _(spark, d):
     return out.select("track_id", F.col("idx").cast("long").alias("idx"), r("start_time"), r("end_time"), "subsampled", F.round(F.col("vec")[0], 5).alias("x0"), F.round(F.col("vec")[3], 5).alias("x3"))
 
 
-@query("t09_overlap_labels", """WITH o AS (SELECT g.track_id, g.idx, s.label, row_number() OVER (PARTITION BY g.track_id, g.idx ORDER BY least(g.end_time, s.end_time) - greatest(g.start_time, s.start_time) DESC, s.idx) AS k
-    FROM grid g JOIN sections_gap s ON s.track_id = g.track_id AND g.start_time < s.end_time AND s.start_time < g.end_time)
-    SELECT g.track_id, g.idx, coalesce(o.label, 'none') AS label FROM grid g LEFT JOIN o ON o.track_id = g.track_id AND o.idx = g.idx AND o.k = 1""")
+@query("t09_overlap_labels", """WITH e AS (SELECT track_id, start_time AS t, {'i': idx, 'e': end_time} AS g, NULL AS s FROM grid UNION ALL SELECT track_id, start_time, NULL, {'i': idx, 'e': end_time, 'label': label} FROM sections_gap),
+    w AS (SELECT track_id, t, last_value(g IGNORE NULLS) OVER o AS g, last_value(s IGNORE NULLS) OVER o AS s FROM e WINDOW o AS (PARTITION BY track_id ORDER BY t, s IS NULL ROWS UNBOUNDED PRECEDING)),
+    o AS (SELECT track_id, g.i AS idx, s.label AS label FROM w WHERE g.e > t AND s.e > t QUALIFY row_number() OVER (PARTITION BY track_id, g.i ORDER BY least(g.e, s.e) - t DESC, s.i) = 1)
+    SELECT track_id, idx, coalesce(label, 'none') AS label FROM grid LEFT JOIN o USING (track_id, idx)""")
 def _(spark, d):
     return T.assign_overlap(W.grid(spark, d), W.sections_gap(spark, d), unknown="none").select("track_id", "idx", "label")
 
@@ -662,7 +663,7 @@ def overlap(spark, d):
 
 @query("c01_overlap_by_track", f"WITH {_OVER} SELECT track_id, l AS original_label, rl AS revised_label, round(sum(s), 6) AS seconds FROM ov GROUP BY ALL")
 def _(spark, d):
-    return C.overlap_seconds(*_pair(spark, d), per_track=True, width=86400.0).select("track_id", "original_label", "revised_label", r("seconds"))
+    return C.overlap_seconds(*_pair(spark, d), per_track=True).select("track_id", "original_label", "revised_label", r("seconds"))
 
 
 @query("c02_top_changed", f"WITH {_OVER} SELECT l AS original_label, rl AS revised_label, round(sum(s), 4) AS seconds FROM ov WHERE l <> rl GROUP BY ALL ORDER BY sum(s) DESC LIMIT 40")
