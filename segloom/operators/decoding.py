@@ -12,11 +12,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
+from segloom.functions.paths import best_paths, check, clean, clean_segments, transfer, viterbi, weights_of  # noqa: F401
 from segloom.functions.vectors import argmax, dot, normalized, sigmoid, softmax
 from segloom.operators.grid import IGNORE
 from segloom.operators.policies import KEYS
-from segloom.plans.sequences import differs, islands, pad_edges, window
+from segloom.plans.scratch import stored
+from segloom.plans.sequences import differs, islands, window
+
+#: Frames of a block of a long track.
+BLOCK = 4096
+INTS = ArrayType(IntegerType())
 
 
 def score_frames(frames: DataFrame, labels: DataFrame, keys: Sequence[str] = KEYS, temperature: float = 0.07, label_keys: Sequence[str] = ()) -> DataFrame:
@@ -64,12 +71,18 @@ def smooth_scores(rows: DataFrame, size: int = 1, mode: str = "mean", keys: Sequ
     if size % 2 == 0 or mode not in ("mean", "median"):
         raise ValueError("the window must be odd, the mode mean or median")
     radius = size // 2
-    cells = pad_edges(rows.select(*keys, "frame_idx", "scores"), keys, "frame_idx", radius).select(*keys, "frame_idx", "_at", "_pad", F.posexplode("scores").alias("_label", "_score"))
-    around = Window.partitionBy(*keys, "_label").orderBy("_at").rowsBetween(-radius, radius)
-    value = F.avg(F.col("_score").cast("double")) if mode == "mean" else F.percentile(F.col("_score").cast("double"), F.lit(0.5))
-    smooth = cells.withColumn("_s", value.over(around)).where("NOT _pad")
-    scores = smooth.groupBy(*keys, "frame_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("_label", "_s"))), lambda s: s["_s"]).alias("scores"))
-    return rows.drop("scores").join(scores, [*keys, "frame_idx"])
+    w = window(keys, "frame_idx")
+    near = F.collect_list(F.col("scores").cast("array<double>")).over(w.rowsBetween(-radius, radius))
+    held = rows.withColumn("_near", near).withColumn("_before", F.least(F.row_number().over(w) - 1, F.lit(radius)))
+    # the window is cut at a track's ends, where its first and last row stand for the missing ones
+    first, last = F.array_repeat(F.get("_near", F.lit(0)), radius - F.col("_before")), F.array_repeat(F.element_at("_near", -1), radius + 1 + F.col("_before") - F.size("_near"))
+    whole = held.withColumn("_near", F.concat(first, "_near", last))
+    if mode == "mean":
+        total = F.aggregate(F.slice("_near", 2, size - 1), F.get("_near", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda a, b: a + b))
+        value = F.transform(total, lambda x: x / size)
+    else:
+        value = F.transform(F.get("_near", F.lit(0)), lambda x, i: F.get(F.array_sort(F.transform("_near", lambda row: F.get(row, i))), F.lit(radius)))
+    return whole.withColumn("scores", value).drop("_near", "_before")
 
 
 def decode_argmax(rows: DataFrame) -> DataFrame:
@@ -77,52 +90,117 @@ def decode_argmax(rows: DataFrame) -> DataFrame:
     return rows.withColumn("label_idx", argmax("scores").cast("int"))
 
 
-def viterbi(scores: np.ndarray, penalty: float = 0.0, boundary: np.ndarray | None = None, weight: float = 0.0, eps: float = 1e-4) -> np.ndarray:
-    """The best path where a change of label costs ``penalty``, and the boundary probability between two frames adds the
-    weighted log of itself to a change and of its complement to a stay. The best change into any label is from the best
-    label so far (or the second best, for that one itself), so a frame takes time in proportion to the labels. Of equal ways
-    the one from the lowest label is taken."""
-    if penalty < 0 or weight < 0 or not 0 < eps < 0.5:
-        raise ValueError("penalty and weight must not be negative, eps between 0 and 0.5")
-    n, k = scores.shape
-    best, back = scores[0].astype(float), np.zeros((n, k), np.int64)
-    labels = np.arange(k)
-    prior = None if boundary is None or weight == 0 else np.clip(np.asarray(boundary, float), eps, 1 - eps)
-    for t in range(1, n):
-        stay, change = best, best - penalty
-        if prior is not None:
-            stay, change = stay + weight * np.log1p(-prior[t - 1]), change + weight * np.log(prior[t - 1])
-        top = int(change.argmax())
-        source = np.full(k, top)
-        if k > 1:
-            rest = change.copy()
-            rest[top] = -np.inf
-            source[top] = int(rest.argmax())
-        value = change[source]
-        # a stay counts as coming from the label itself; on ties the lower label wins
-        use = (stay > value) | ((stay == value) & (labels < source)) if k > 1 else np.ones(k, bool)
-        back[t] = np.where(use, labels, source)
-        best = np.where(use, stay, value) + scores[t]
-    path = np.zeros(n, np.int64)
-    path[-1] = int(best.argmax())
-    for t in range(n - 1, 0, -1):
-        path[t - 1] = back[t, path[t]]
-    return path
-
-
-def decode_viterbi(rows: DataFrame, keys: Sequence[str] = KEYS, penalty: float = 0.0, weight: float = 0.0, eps: float = 1e-4, boundary: str | None = None) -> DataFrame:
-    """Adds ``label_idx``, one track at a time. ``boundary`` names the column of the probability of a boundary after the frame."""
-    columns = [*keys, "frame_idx"]
-
-    def one(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("frame_idx")
-        prior = track[boundary].to_numpy()[:-1] if boundary else None
-        path = viterbi(np.stack(track["scores"].to_numpy()), penalty, prior, weight, eps)
-        return track[columns].assign(label_idx=path.astype("int32"))
-
-    ddl = ", ".join(f"`{c}` {dict(rows.dtypes)[c]}" for c in columns) + ", label_idx int"
-    paths = rows.select(*columns, "scores", *([boundary] if boundary else [])).groupBy(*keys).applyInPandas(one, ddl)
-    return rows.join(paths, columns)
+def _packed(rows: DataFrame, by: Sequence[str], boundary: str | None) -> DataFrame:
+    """A row for each group, with its frames in order (``_frames``), their scores end to end, and the boundary probabilities."""
+    others = [c for c in rows.columns if c not in (*by, "frame_idx")]
+    frames = F.array_sort(F.collect_list(F.struct("frame_idx", *others)))
+    prior = F.transform("_frames", lambda f: f[boundary].cast("double")) if boundary else F.lit(None).cast("array<double>")
+    return rows.groupBy(*by).agg(frames.alias("_frames")).withColumns({"_n": F.size("_frames"), "_flat": F.flatten(F.transform("_frames", lambda f: f["scores"].cast("array<double>"))), "_prior": prior})
+
+
+def _between(prior: pd.Series, weight: Sequence[float], eps: Sequence[float]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    return [None if p is None or w == 0 else weights_of(np.asarray(p, float), w, e) for p, w, e in zip(prior, weight, eps, strict=True)]
+
+
+def _by_labels(flat: pd.Series, n: pd.Series) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows with the same number of labels, and their scores as matrices."""
+    scores = [np.asarray(x, float).reshape(c, -1) for x, c in zip(flat, n.tolist(), strict=True)]
+    for k in sorted({x.shape[1] for x in scores}):
+        at = [i for i, x in enumerate(scores) if x.shape[1] == k]
+        yield at, [scores[i] for i in at]
+
+
+@F.pandas_udf(INTS)
+def _paths(flat: pd.Series, n: pd.Series, prior: pd.Series, penalty: pd.Series, weight: pd.Series, eps: pd.Series, start: pd.Series, goal: pd.Series) -> pd.Series:
+    """Best paths of packed rows. ``start``: scores on entering the first frame, or null; ``goal``: the label of the frame after
+    the last, or null where nothing follows."""
+    between = _between(prior, weight.tolist(), eps.tolist())
+    out: list[list[int]] = [[] for _ in range(len(flat))]
+    for at, scores in _by_labels(flat, n):
+        k = scores[0].shape[1]
+        goals = [goal.iloc[i] for i in at]
+        goals = np.array([-1 if g is None or g != g else int(g) for g in goals])
+        whole = [x if g < 0 else np.concatenate([x, np.zeros((1, k))]) for x, g in zip(scores, goals.tolist(), strict=True)]
+        begin = np.array([np.zeros(k) if start.iloc[i] is None else np.asarray(start.iloc[i], float) for i in at])
+        for i, x, path in zip(at, scores, best_paths(whole, penalty.to_numpy(float)[at], [between[i] for i in at], begin, goals), strict=True):
+            out[i] = path[: len(x)].tolist()
+    return pd.Series(out, dtype=object)
+
+
+def decode_viterbi(rows: DataFrame, keys: Sequence[str] = KEYS, penalty: float = 0.0, weight: float = 0.0, eps: float = 1e-4, boundary: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds ``label_idx``. ``boundary`` names the column of the probability of a boundary after the frame.
+
+    The tracks go to Python as one row each, with their scores only, and a batch of them is decoded together. If any frame
+    index reaches ``block``, tracks are cut into blocks of so many frames: blocks give their max-plus transfer matrices in
+    parallel, the products along a track give each block's scores on entering it, a second pass the label before for every
+    label after a block, and a last one the paths. So a task holds a block of frames, and of a track only a matrix a block
+    (labels / ``block`` of its scores). Blocks add in another order than one pass, so of paths whose scores differ by rounding
+    only either may be taken.
+    """
+    check(penalty, weight, eps)
+    number = [F.lit(float(x)) for x in (penalty, weight, eps)]
+    nothing, no_goal = F.lit(None).cast("array<double>"), F.lit(None).cast("int")
+    last = rows.agg(F.max("frame_idx")).first()[0]
+    if last is None or last < block:
+        packed = _packed(rows, keys, boundary)
+        labels = packed.withColumn("_path", _paths("_flat", "_n", "_prior", *number, nothing, no_goal))
+        return _unpacked(labels, rows, keys)
+    every = [*keys, "_block"]
+    packed = stored(_packed(rows.withColumn("_block", F.floor(F.col("frame_idx") / block)), every, boundary).withColumn("_ends", F.lead("_block").over(window(keys, "_block")).isNull()), "blocks")
+
+    @F.pandas_udf("array<double>")
+    def matrices(flat: pd.Series, n: pd.Series, prior: pd.Series) -> pd.Series:
+        between = _between(prior, [weight] * len(n), [eps] * len(n))
+        return pd.Series([transfer(np.asarray(x, float).reshape(c, -1), penalty, b).ravel().tolist() for x, c, b in zip(flat, n.tolist(), between, strict=True)], dtype=object)
+
+    kinds = ", ".join(f"`{c}` {dict(packed.dtypes)[c]}" for c in every)
+
+    def entering(track: pd.DataFrame) -> pd.DataFrame:
+        track = track.sort_values("_block")
+        starts, at = [], None
+        for flat in track["_matrix"]:
+            k = int(round(len(flat) ** 0.5))
+            at = np.zeros(k) if at is None else at
+            starts.append(at)
+            at = (at[:, None] + np.asarray(flat, float).reshape(k, k)).max(0)
+        return track[every].assign(_start=pd.Series([x.tolist() for x in starts], index=track.index, dtype=object))
+
+    starts = packed.select(*every, matrices("_flat", "_n", "_prior").alias("_matrix")).groupBy(*keys).applyInPandas(entering, f"{kinds}, _start array<double>")
+    begun = stored(packed.join(starts, _same(packed, starts, every)).select(packed["*"], "_start"), "blocks_begun")
+
+    @F.pandas_udf("array<int>")
+    def befores(flat: pd.Series, n: pd.Series, prior: pd.Series, start: pd.Series, ends: pd.Series) -> pd.Series:
+        """The label of a block's first frame for each label after it; of a last block that of its own best path."""
+        between, out = _between(prior, [weight] * len(n), [eps] * len(n)), []
+        for x, c, b, s, end in zip(flat, n.tolist(), between, start, ends.tolist(), strict=True):
+            scores = np.asarray(x, float).reshape(c, -1)
+            k = scores.shape[1]
+            whole = scores if end else np.concatenate([scores, np.zeros((1, k))])
+            goals = np.array([-1]) if end else np.arange(k)
+            m = len(goals)
+            out.append([int(p[0]) for p in best_paths([whole] * m, np.full(m, penalty), [b] * m, np.tile(np.asarray(s, float), (m, 1)), goals)])
+        return pd.Series(out, dtype=object)
+
+    def following(track: pd.DataFrame) -> pd.DataFrame:
+        track = track.sort_values("_block", ascending=False)
+        goals, at = [], None
+        for firsts in track["_firsts"]:
+            goals.append(at)
+            at = int(firsts[0] if at is None else firsts[at])
+        return track[every].assign(_goal=pd.array(goals, "Int32"))
+
+    goals = begun.select(*every, befores("_flat", "_n", "_prior", "_start", "_ends").alias("_firsts")).groupBy(*keys).applyInPandas(following, f"{kinds}, _goal int")
+    whole = begun.join(goals, _same(begun, goals, every)).select(begun["*"], "_goal")
+    return _unpacked(whole.withColumn("_path", _paths("_flat", "_n", "_prior", *number, "_start", "_goal")), rows, keys)
+
+
+def _same(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> list[Column]:
+    return [a[c].eqNullSafe(b[c]) for c in columns]
+
+
+def _unpacked(packed: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    pairs = packed.select(*keys, F.inline(F.arrays_zip("_frames", "_path")))
+    return pairs.select(*[F.col(c) if c in keys else F.col(f"_frames.{c}") for c in rows.columns], F.col("_path").alias("label_idx"))
 
 
 def merge_frames(rows: DataFrame, keys: Sequence[str] = KEYS, label: str = "label", order: str = "frame_idx") -> DataFrame:
@@ -166,49 +244,19 @@ def merge_with_boundaries(rows: DataFrame, probabilities: DataFrame, keys: Seque
     return ends.where("end_time > start_time").select(*keys, F.col("island").alias("idx"), "start_time", "end_time", "label")
 
 
-def clean_segments(segments: list[tuple[float, float, str]], least: float, merge_same: bool = True) -> list[tuple[float, float, str]]:
-    """D10 of one track: while a segment is shorter than ``least``, the first such one goes to a neighbour: the first to the
-    next, the last to the one before, one between equal labels joins them, another goes to the longer (or the earlier)."""
-    out = list(segments)
-    if least <= 0 or len(out) <= 1:
-        return out
-    while len(out) > 1:
-        at = next((i for i, (s, e, _) in enumerate(out) if e - s < least), None)
-        if at is None:
-            break
-        lo, hi = max(at - 1, 0), min(at + 1, len(out) - 1)
-        if 0 < at < len(out) - 1 and out[lo][2] == out[hi][2]:
-            keep = lo
-        elif at == 0:
-            lo, keep = at, hi
-        elif at == len(out) - 1 or out[lo][1] - out[lo][0] >= out[hi][1] - out[hi][0]:
-            hi, keep = at, lo
-        else:
-            lo, keep = at, hi
-        out[lo : hi + 1] = [(out[lo][0], out[hi][1], out[keep][2])]
-    if not merge_same:
-        return out
-    joined: list[tuple[float, float, str]] = []
-    for s, e, x in out:
-        if joined and joined[-1][2] == x:
-            joined[-1] = (joined[-1][0], e, x)
-        else:
-            joined.append((s, e, x))
-    return joined
-
-
-def remove_short(segments: DataFrame, least: float, keys: Sequence[str] = KEYS, merge_same: bool = True) -> DataFrame:
-    """D10, one track at a time: the order of the steps matters within a track only."""
-    kinds = dict(segments.dtypes)
-
-    def one(track: pd.DataFrame) -> pd.DataFrame:
-        track = track.sort_values("idx")
-        rows = clean_segments(list(zip(track["start_time"], track["end_time"], track["label"], strict=True)), least, merge_same)
-        out = pd.DataFrame(rows, columns=["start_time", "end_time", "label"])
-        return out.assign(idx=range(len(out)), **{k: track[k].iloc[0] for k in keys})
-
-    ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", idx int, start_time double, end_time double, label string"
-    return segments.select(*keys, "idx", "start_time", "end_time", "label").groupBy(*keys).applyInPandas(lambda t: one(t)[[*keys, "idx", "start_time", "end_time", "label"]], ddl)
+@F.pandas_udf(StructType([StructField("start_time", ArrayType(DoubleType())), StructField("end_time", ArrayType(DoubleType())), StructField("label", ArrayType(StringType()))]))
+def _cleaned(start: pd.Series, end: pd.Series, label: pd.Series, least: pd.Series, same: pd.Series) -> pd.DataFrame:
+    rows = [clean(s.tolist(), e.tolist(), x.tolist(), least_, same_) for s, e, x, least_, same_ in zip(start, end, label, least.tolist(), same.tolist(), strict=True)]
+    return pd.DataFrame(rows, columns=["start_time", "end_time", "label"])
+
+
+def remove_short(segments: DataFrame, least: float | Column, keys: Sequence[str] = KEYS, merge_same: bool = True) -> DataFrame:
+    """Segments shorter than ``least`` go to their neighbours, the first of a track first; a track is one row of arrays in
+    Python, where it is cleaned in linear time. ``least`` may be one of the ``keys``, as a column."""
+    bound = least if isinstance(least, Column) else F.lit(float(least))
+    listed = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time"), "label"))).alias("_s"))
+    done = listed.select(*keys, _cleaned("_s.start_time", "_s.end_time", "_s.label", bound, F.lit(merge_same)).alias("_c"))
+    return done.select(*keys, F.posexplode(F.arrays_zip("_c.start_time", "_c.end_time", "_c.label")).alias("idx", "_x")).select(*keys, "idx", "_x.start_time", "_x.end_time", "_x.label")
 
 
 def boundary_predictions(rows: DataFrame, keys: Sequence[str] = KEYS, logit: str = "boundary_logit") -> DataFrame:
@@ -239,62 +287,69 @@ def infer_segments(rows: DataFrame, names: Column | None = None, keys: Sequence[
 SETTING = {"window": "int", "mode": "string", "decoder": "string", "penalty": "double", "weight": "double", "eps": "double", "least": "double"}
 
 
+@F.pandas_udf(StructType([StructField("first", INTS), StructField("label", INTS)]))
+def _runs(path: pd.Series) -> pd.DataFrame:
+    """Where the runs of equal labels of paths begin, and their labels."""
+    firsts = [np.flatnonzero(np.diff(p, prepend=p[0] - 1)) for p in path]
+    return pd.DataFrame({"first": pd.Series([f.tolist() for f in firsts], dtype=object), "label": pd.Series([np.asarray(p)[f].tolist() for p, f in zip(path, firsts, strict=True)], dtype=object)})
+
+
 def grid_search(rows: DataFrame, reference: DataFrame, sizes: Sequence[int] = (1, 5, 9, 13, 19), modes: Sequence[str] = ("mean",), penalties: Sequence[float] = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0), least: Sequence[float] = (0.0,), keys: Sequence[str] = KEYS, decoders: Sequence[str] = ("viterbi",), weights: Sequence[float] = (0.0,), eps_values: Sequence[float] = (1e-4,), boundary: str | None = None) -> DataFrame:
     """Every combination of window, mode, decoder, penalty, boundary weight, eps and least duration on every track: means
     and deviations of boundary F at 0.5 and 3 s, pairwise F, NCE F and segment counts, best F at 3 s first. ``boundary``
     names the column of the probability of a boundary after the frame; without it, and in argmax, weights have no effect.
-    Scores are smoothed once per window and mode; a track goes to the other settings as one row, and is decoded once for
-    those that differ only in what the decoder does not use."""
-    from functools import reduce
+
+    A setting is a key beside the track's: scores are smoothed once per window and mode, decoded once for settings that differ
+    only in what the decoder does not use, and the segments of all settings go through the metrics of ``evaluation`` together.
+    The frames of a track are one row, so tracks must fit a task; ``decode_viterbi`` has the form for longer ones.
+    """
     from itertools import product
 
-    from segloom.operators.evaluation import track_scores
+    from segloom.operators.evaluation import adjust_pair, boundary_hits, contingency, entropy_scores, pair_scores
 
     if not set(decoders) <= {"viterbi", "argmax"}:
         raise ValueError("a decoder is viterbi or argmax")
-    kinds = dict(rows.dtypes)
-    refs = reference.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_time", "end_time", F.col("label").cast("string").alias("label")))).alias("ref"))
-    prior = F.col(boundary).cast("double") if boundary else F.lit(None).cast("double")
-    given = rows.select(*keys, "frame_idx", "start_time", "end_time", "scores", prior.alias("prior"))
-    smoothed = reduce(DataFrame.unionByName, [smooth_scores(given, s, m, keys).select(*keys, "frame_idx", "start_time", "end_time", "scores", "prior", F.lit(s).alias("window"), F.lit(m).alias("mode")) for s in sizes for m in modes])
-    packed = smoothed.groupBy(*keys, "window", "mode").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "start_time", "end_time", "scores", "prior"))).alias("frames")).join(refs, list(keys))
-    settings = list(product(decoders, map(float, penalties), map(float, weights), map(float, eps_values), map(float, least)))
+    # settings that give the same segments share a number, and so do those that give the same paths
+    paths: dict[tuple, int] = {}
+    numbers: dict[tuple, int] = {}
+    table = []
+    for size, mode, decoder, penalty, weight, eps, shortest in product(sizes, modes, decoders, map(float, penalties), map(float, weights), map(float, eps_values), map(float, least)):
+        check(penalty, weight, eps)
+        used = decoder == "viterbi" and boundary is not None and weight != 0
+        path = (size, mode, decoder, penalty if decoder == "viterbi" else 0.0, weight if used else 0.0, eps if used else 1e-4)
+        number = numbers.setdefault((paths.setdefault(path, len(paths)), shortest), len(numbers))
+        table.append((number, size, mode, decoder, penalty, weight, eps, shortest))
+    spark = rows.sparkSession
+    given = rows.select(*keys, "frame_idx", "start_time", "end_time", "scores", *([F.col(boundary).cast("double").alias("_b")] if boundary else []))
+    row = lambda **values: F.struct(*[F.lit(v).alias(k) for k, v in values.items()])
+    decoded = []
+    for size, mode in dict.fromkeys(p[:2] for p in paths):
+        own = F.array(*[row(path=n, viterbi=p[2] == "viterbi", penalty=p[3], weight=p[4], eps=p[5]) for p, n in paths.items() if p[:2] == (size, mode)])
+        packed = _packed(smooth_scores(given, size, mode, keys), keys, "_b" if boundary else None).withColumn("_s", F.explode(own))
+        best = F.when(F.col("_s.viterbi"), _paths("_flat", "_n", "_prior", "_s.penalty", "_s.weight", "_s.eps", F.lit(None).cast("array<double>"), F.lit(None).cast("int"))).otherwise(F.transform("_frames", lambda f: argmax(f["scores"]).cast("int")))
+        runs = packed.select(*keys, F.col("_s.path").alias("path"), F.transform("_frames", lambda f: f["start_time"]).alias("_from"), F.transform("_frames", lambda f: f["end_time"]).alias("_to"), _runs(best).alias("_r"))
+        at = runs.select(*keys, "path", "_from", "_to", F.posexplode(F.arrays_zip("_r.first", "_r.label", F.array_append(F.slice("_r.first", F.lit(2), F.size("_r.first")), F.size("_from")).alias("until"))).alias("idx", "_x"))
+        decoded.append(at.select(*keys, "path", "idx", F.get("_from", F.col("_x.first")).cast("double").alias("start_time"), F.get("_to", F.col("_x.until") - 1).cast("double").alias("end_time"), F.col("_x.label").cast("string").alias("label")))
+    merged = decoded[0]
+    for other in decoded[1:]:
+        merged = merged.unionByName(other)
+    by_path = F.create_map(*[x for p in paths.values() for x in (F.lit(p), F.array(*[row(setting=n, least=shortest) for (q, shortest), n in numbers.items() if q == p]))])
+    each = merged.select("*", F.inline(by_path[F.col("path")]))
+    own_keys = [*keys, "setting"]
+    segments = stored(remove_short(each, F.col("least"), [*own_keys, "least"]).drop("least"), "grid_segments")
+    wanted = reference.select(*keys, F.row_number().over(window(keys, "start_time", "end_time", "label")).alias("idx"), "start_time", "end_time", F.col("label").cast("string").alias("label"), F.explode(F.sequence(F.lit(0), F.lit(len(numbers) - 1))).alias("setting"))
+    ref, est, ends = adjust_pair(wanted, segments, own_keys)
+    ref, est = stored(ref, "grid_reference"), stored(est, "grid_estimate")
+    hits = boundary_hits(ref, est, (0.5, 3.0), own_keys).groupBy(*own_keys).agg(*[F.max(F.when(F.col("window") == x, F.col("f"))).alias(name) for x, name in ((0.5, "f05"), (3.0, "f30"))])
+    cells = stored(contingency(ref, est, ends, own_keys), "grid_cells")
+    counts = segments.groupBy(*own_keys).agg(F.count("*").cast("double").alias("segments"))
+    scores = hits.join(pair_scores(cells, own_keys).select(*own_keys, "pairwise_f"), own_keys, "left").join(entropy_scores(cells, own_keys).select(*own_keys, "nce_f"), own_keys, "left").join(counts, own_keys).fillna(0.0, ["pairwise_f", "nce_f"])
     metrics = ["f05", "f30", "pairwise_f", "nce_f", "segments"]
-    columns = [*keys, *SETTING, *metrics]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                frames = list(r["frames"])
-                scores = np.array([f["scores"] for f in frames], float)
-                between = np.array([f["prior"] for f in frames][:-1], float) if boundary else None
-                ref = [(x["start_time"], x["end_time"], x["label"]) for x in r["ref"]]
-                merged: dict[tuple, list[tuple[float, float, str]]] = {}
-                scored: dict[tuple, list[float]] = {}
-                for decoder, penalty, weight, eps, shortest in settings:
-                    prior_used = decoder == "viterbi" and between is not None and weight != 0
-                    how = (decoder, penalty if decoder == "viterbi" else None, weight if prior_used else None, eps if prior_used else None)
-                    if how not in merged:
-                        path = viterbi(scores, penalty, between if prior_used else None, weight if prior_used else 0.0, eps) if decoder == "viterbi" else scores.argmax(1)
-                        segments: list[tuple[float, float, str]] = []
-                        for f, x in zip(frames, path, strict=True):
-                            if segments and segments[-1][2] == str(x):
-                                segments[-1] = (segments[-1][0], f["end_time"], str(x))
-                            else:
-                                segments.append((f["start_time"], f["end_time"], str(x)))
-                        merged[how] = segments
-                    if (how, shortest) not in scored:
-                        cleaned = clean_segments(merged[how], shortest)
-                        s = track_scores(ref, cleaned)
-                        scored[how, shortest] = [s["f05"], s["f30"], s["pairwise_f"], s["nce_f"], float(len(cleaned))]
-                    out.append([*[r[k] for k in keys], r["window"], r["mode"], decoder, penalty, weight, eps, shortest, *scored[how, shortest]])
-            yield pd.DataFrame(out, columns=columns)
-
-    ddl = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"{k} {v}" for k, v in SETTING.items()] + [f"{m} double" for m in metrics])
-    each = packed.repartition(*keys, "window", "mode").mapInPandas(run, ddl)
     aggs = [f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
-    return each.groupBy(*SETTING).agg(F.count("*").alias("num_tracks"), *aggs).orderBy(F.desc_nulls_last(F.round("f30_mean", 12)), *SETTING)
+    means = scores.groupBy("setting").agg(F.count("*").alias("num_tracks"), *aggs)
+    listed = spark.createDataFrame(table, "setting int, " + ", ".join(f"{k} {v}" for k, v in SETTING.items()))
+    out = means.join(F.broadcast(listed), "setting").select(*SETTING, "num_tracks", *[f"{m}_{n}" for m in metrics for n in ("mean", "std")])
+    return out.orderBy(F.desc_nulls_last(F.round("f30_mean", 12)), *SETTING)
 
 
 def top_settings(results: DataFrame, k: int = 10) -> DataFrame:

@@ -242,37 +242,3 @@ def improvements(history: DataFrame, keys: Sequence[str], order: str = "epoch",
     best = (F.max if mode == "max" else F.min)(value).over(before)
     gain = F.col(value) - best if mode == "max" else best - F.col(value)
     return history.withColumn("best_before", best).withColumn("improved", F.coalesce(gain > min_delta, F.col(value).isNotNull()))
-
-
-def track_scores(reference: Segments, estimate: Segments, step: float = 0.1) -> dict[str, float]:
-    """F at 0.5 and 3 s (trimmed), pairwise F and NCE F of one track, for searches that score many settings of it."""
-    from collections import Counter
-
-    duration = max(reference[-1][1], estimate[-1][1])
-    adjust = lambda x: ([(0.0, x[0][0], "__T_MIN")] if x[0][0] > 0 else []) + x + ([(x[-1][1], duration, "__T_MAX")] if x[-1][1] < duration else [])
-    ref, est = adjust(list(reference)), adjust(list(estimate))
-    times = lambda x: sorted({round(t, 5) for s, e, _ in x for t in (s, e)})[1:-1]
-    r, e = times(ref), times(est)
-    f = lambda p, q: 2 * p * q / (p + q) if p + q else 0.0
-    hit = lambda w: f(count_hits(r, e, w + 1e-9) / len(e), count_hits(r, e, w + 1e-9) / len(r)) if r and e else 0.0
-
-    def sampled(x: Segments) -> list[str]:
-        out, at = [], 0
-        for k in range(int(round(duration / step, 6))):
-            while at + 1 < len(x) and x[at + 1][0] <= k * step:
-                at += 1
-            out.append(x[at][2])
-        return out
-
-    a, b = sampled(ref), sampled(est)
-    n = len(a)
-    if not n:
-        return {"f05": hit(0.5), "f30": hit(3.0), "pairwise_f": 0.0, "nce_f": 0.0}
-    cells, ra, eb = Counter(zip(a, b, strict=True)), Counter(a), Counter(b)
-    pairs = lambda c: sum(v * (v - 1) / 2 for v in c.values())
-    m, p_r, p_e = pairs(cells), pairs(ra), pairs(eb)
-    e_r = -sum(v / n * math.log2(v / ra[x]) for (x, _), v in cells.items())
-    r_e = -sum(v / n * math.log2(v / eb[y]) for (_, y), v in cells.items())
-    over = 1 - e_r / math.log2(len(eb)) if len(eb) > 1 else 0.0
-    under = 1 - r_e / math.log2(len(ra)) if len(ra) > 1 else 0.0
-    return {"f05": hit(0.5), "f30": hit(3.0), "pairwise_f": f(m / p_e if p_e else 0.0, m / p_r if p_r else 0.0), "nce_f": f(over, under)}

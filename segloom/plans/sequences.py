@@ -82,17 +82,3 @@ def nearest(queries: DataFrame, reference: DataFrame, keys: Sequence[str], time:
     both = q.unionByName(r).withColumns({"before": F.last("_r", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "after": F.first("_r", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
     gap = F.least(F.col(time) - F.col("before"), F.col("after") - F.col(time))
     return both.where("_side = 1").drop("_side", "_r").withColumn("distance", gap)
-
-
-def pad_edges(df: DataFrame, keys: Sequence[str], order: str, radius: int) -> DataFrame:
-    """The rows of each key with the first and the last repeated ``radius`` times, marked ``_pad``; ``_at`` is the new order."""
-    w = Window.partitionBy(*keys)
-    ends = df.withColumns({"_lo": F.min(order).over(w), "_hi": F.max(order).over(w)})
-    copies = F.array_append(
-        F.concat(
-            F.when(F.col(order) == F.col("_lo"), F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda i: F.col(order) - i)).otherwise(F.array().cast("array<bigint>")),
-            F.when(F.col(order) == F.col("_hi"), F.transform(F.sequence(F.lit(1), F.lit(radius)), lambda i: F.col(order) + i)).otherwise(F.array().cast("array<bigint>")),
-        ),
-        F.col(order).cast("bigint"),
-    )
-    return ends.withColumn("_at", F.explode(copies)).withColumn("_pad", F.col("_at") != F.col(order)).drop("_lo", "_hi")
