@@ -6,12 +6,14 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from segloom.operators.grid import IGNORE, adjust_timeline
 from segloom.operators.policies import KEYS
+from segloom.plans.scratch import stored
 from segloom.plans.sequences import nearest, window
 
 Segments = list[tuple[float, float, str]]
@@ -57,14 +59,19 @@ def boundary_hits(reference: DataFrame, estimate: DataFrame, sizes: Sequence[flo
         rows = timeline.groupBy(*keys).agg(times.alias(name))
         return rows.withColumn(name, F.slice(name, F.lit(2), F.greatest(F.size(name) - 2, F.lit(0)))) if trim else rows
 
-    both = lists(reference, "r").join(lists(estimate, "e"), list(keys))
+    both = lists(reference, "_r").join(lists(estimate, "_e"), list(keys))
 
-    @F.pandas_udf("array<long>")
-    def hits(r: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([[count_hits(a, b, s + 1e-9) for s in sizes] for a, b in ((x.tolist(), y.tolist()) for x, y in zip(r, e, strict=True))], dtype=object)
+    def hits(size: Column) -> Column:  # as count_hits: a walk along both lists, over a step for each of their times
+        def step(at: Column, _: Column) -> Column:
+            gap = F.get("_e", at["j"]) - F.get("_r", at["i"])
+            move = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+            return F.struct((at["i"] + move(gap >= -size)).alias("i"), (at["j"] + move(gap <= size)).alias("j"), (at["n"] + move(F.abs(gap) <= size)).alias("n"))
 
-    h = both.select(*keys, F.size("r").alias("r"), F.size("e").alias("e"), hits("r", "e").alias("hits"))
-    h = h.select(*keys, "r", "e", F.inline(F.arrays_zip(F.array(*[F.lit(float(s)) for s in sizes]).alias("window"), F.col("hits"))))
+        zero = F.lit(0)
+        return F.aggregate(F.sequence(zero, F.size("_r") + F.size("_e")), F.struct(zero.alias("i"), zero.alias("j"), zero.alias("n")), step, lambda at: at["n"].cast("long"))
+
+    windows = F.array(*[F.struct(F.lit(float(s)).alias("window"), hits(F.lit(s + 1e-9)).alias("hits")) for s in sizes])
+    h = both.select(*keys, F.size("_r").alias("r"), F.size("_e").alias("e"), F.inline(windows))
     p, r = F.coalesce(F.col("hits") / F.nullif("e", F.lit(0)), F.lit(0.0)), F.coalesce(F.col("hits") / F.nullif("r", F.lit(0)), F.lit(0.0))
     h = h.withColumns({"precision": p, "recall": r})
     return h.select(*keys, "window", "hits", "precision", "recall", f_measure(F.col("precision"), F.col("recall")).alias("f"))
@@ -144,15 +151,24 @@ def entropy_scores(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def expected_information(a: Sequence[int], b: Sequence[int]) -> float:
-    """Mutual information to be expected of two labellings with these label counts, in nats (hypergeometric)."""
-    n, g = sum(a), math.lgamma
+    """Mutual information to be expected of two labellings with these label counts, in nats.
+
+    How many points two labels share is hypergeometric. Its logs are cumulative sums of the logs of the ratios of neighbouring
+    terms, over 12 deviations and 12 more about the mean, beyond which all terms together are under 1e-20; they are normalised to
+    a sum of 1, so no factorial is needed. Equal pairs of counts are worked out once."""
+    n = int(sum(a))
+    (xs, x_times), (ys, y_times) = (np.unique(np.asarray(v, np.int64), return_counts=True) for v in (a, b))
     total = 0.0
-    for x in a:
-        for y in b:
-            fixed = g(x + 1) + g(y + 1) + g(n - x + 1) + g(n - y + 1) - g(n + 1)
-            for k in range(max(1, x + y - n), min(x, y) + 1):
-                p = math.exp(fixed - g(k + 1) - g(x - k + 1) - g(y - k + 1) - g(n - x - y + k + 1))
-                total += p * k / n * math.log(n * k / (x * y))
+    for x, i in zip(xs.tolist(), x_times.tolist(), strict=True):
+        for y, j in zip(ys.tolist(), y_times.tolist(), strict=True):
+            mean = x * y / n
+            reach = 12 * math.sqrt(mean * (n - x) / n * (n - y) / max(1, n - 1)) + 12
+            k = np.arange(max(0, x + y - n, math.floor(mean - reach)), min(x, y, math.ceil(mean + reach)) + 1, dtype=float)
+            ratio = (x - k[:-1]) * (y - k[:-1]) / ((k[:-1] + 1) * (n - x - y + k[:-1] + 1))
+            log_p = np.concatenate([[0.0], np.cumsum(np.log(ratio))])
+            p = np.exp(log_p - log_p.max())
+            some = k > 0
+            total += i * j * float((p[some] * k[some] / n * np.log(n * k[some] / (x * y))).sum() / p.sum())
     return total
 
 
@@ -179,11 +195,11 @@ def adjusted_information(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFr
 
 def evaluate(reference: DataFrame, estimate: DataFrame, keys: Sequence[str] = KEYS, trim: bool = True) -> DataFrame:
     """All segment metrics of each track that both sides have, one wide row a track."""
-    # each is read by several metrics; lost blocks are made again
-    ref, est, ends = (df.persist() for df in adjust_pair(reference.persist(), estimate.persist(), keys))
+    # several metrics read each of these
+    ref, est, ends = (stored(df, "evaluated") for df in adjust_pair(reference, estimate, keys))
     hits = boundary_hits(ref, est, keys=keys, trim=trim)
     wide = hits.groupBy(*keys).agg(*[F.max(F.when(F.col("window") == s, F.col(m))).alias(f"{m}_{s:g}".replace(".", "_")) for s in (0.5, 3.0) for m in ("precision", "recall", "f")])
-    cells = contingency(ref, est, ends, keys).persist()
+    cells = stored(contingency(ref, est, ends, keys), "evaluated_cells")
     parts = [wide, boundary_deviation(ref, est, keys, trim), pair_scores(cells, keys), entropy_scores(cells, keys), adjusted_information(cells, keys)]
     return reduce(lambda a, b: a.join(b, list(keys), "left"), parts)
 

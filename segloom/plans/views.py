@@ -144,8 +144,8 @@ def with_views(sql: str) -> str:
             if re.search(rf"\b{name}\b", text) and name not in need:
                 need.append(name)
                 todo.append(VIEWS[name])
-    own = re.match(r"\s*WITH\b", sql)
-    head = "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in need) if need else ""
+    own = re.match(r"\s*WITH(\s+RECURSIVE)?\b", sql)
+    head = ("WITH RECURSIVE " if own and own[1] else "WITH ") + ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in need) if need else ""
     if not head:
         return sql
     return head + (", " + sql[own.end() :] if own else " " + sql)

@@ -19,6 +19,7 @@ from segloom.operators import vocabulary as O
 from segloom.plans import sequences as Q
 from segloom.plans import views as W
 from segloom.plans.scratch import scratch_path
+from segloom.plans.sql import clean_sql, evaluate_sql, path_sql, runs_sql, smooth_sql
 from segloom.plans.views import base_sql, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -443,7 +444,8 @@ def _(spark, d):
     return D.decode_argmax(W.frames(spark, d)).select("track_id", "frame_idx", "label_idx")
 
 
-@query("d05_viterbi")
+@query("d05_viterbi", f"""WITH RECURSIVE given AS (SELECT track_id, CAST(frame_idx AS BIGINT) AS frame_idx, scores, 0.0::DOUBLE AS stay, -0.3::DOUBLE AS change FROM frames), {path_sql("best", "given", "track_id")}
+    SELECT track_id, CAST(unnest(range(len(path))) AS INTEGER) AS frame_idx, CAST(unnest(path) AS INTEGER) AS label_idx FROM best""")
 def _(spark, d):
     return D.decode_viterbi(W.frames(spark, d), penalty=0.3).select("track_id", "frame_idx", "label_idx")
 
@@ -482,7 +484,8 @@ def _(spark, d):
     return sections(D.merge_with_boundaries(f, _probabilities(spark, d)))
 
 
-@query("d10_remove_short")
+@query("d10_remove_short", f"""WITH RECURSIVE named AS (SELECT *, CAST(target AS VARCHAR) AS label FROM frames), {runs_sql("merged", "named", "track_id")}, {clean_sql("cleaned", "merged", "track_id", "1.5")}
+    SELECT track_id, {SECTIONS_SQL} FROM cleaned""")
 def _(spark, d):
     return sections(D.remove_short(D.merge_frames(W.frames(spark, d).withColumn("label", F.col("target").cast("string"))), 1.5))
 
@@ -497,25 +500,65 @@ def _(spark, d):
     return D.reference_segments(W.frames(spark, d)).select("track_id", F.col("idx").cast("long").alias("idx"), "start_time", "end_time", "target")
 
 
-@query("d13_infer_segments")
+_INFERRED = f"""{smooth_sql("smooth", 7, "mean")}, given AS (SELECT track_id, CAST(frame_idx AS BIGINT) AS frame_idx, scores, 0.0::DOUBLE AS stay, -0.3::DOUBLE AS change FROM smooth), {path_sql("best", "given", "track_id")},
+    labelled AS (SELECT track_id, unnest(range(len(path))) AS frame_idx, CAST(unnest(path) AS VARCHAR) AS label FROM best), decoded AS (SELECT f.track_id, f.frame_idx, start_time, end_time, label FROM frames f JOIN labelled USING (track_id, frame_idx)), {runs_sql("inferred", "decoded", "track_id")}"""
+
+
+@query("d13_infer_segments", f"WITH RECURSIVE {_INFERRED} SELECT track_id, {SECTIONS_SQL} FROM inferred")
 def _(spark, d):
     return sections(D.infer_segments(W.frames(spark, d), penalty=0.3))
 
 
+@query("d13_infer_cleaned", f"WITH RECURSIVE {_INFERRED}, {clean_sql('cleaned', 'inferred', 'track_id', '4.0')} SELECT track_id, {SECTIONS_SQL} FROM cleaned")
+def _(spark, d):
+    return sections(D.infer_segments(W.frames(spark, d), penalty=0.3, least=4.0))
+
+
 def _grid_results(spark, d):
     f = W.frames(spark, d).withColumn("boundary", V.sigmoid(F.col("scores")[0]))
     ref = D.reference_segments(f).withColumn("label", F.col("target").cast("string"))
     return D.grid_search(f, ref, sizes=(1, 5, 9), modes=("mean", "median"), penalties=(0.0, 0.2, 0.5), least=(0.0, 1.5), decoders=("viterbi", "argmax"), weights=(0.0, 0.2), eps_values=(1e-4, 1e-2), boundary="boundary")
 
 
-@query("d14_grid_search")
+_REFERENCE = "reference AS (SELECT track_id, CAST(run AS BIGINT) AS idx, min(start_time) AS start_time, max(end_time) AS end_time, CAST(any_value(target) AS VARCHAR) AS label FROM (SELECT *, sum(ch) OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS run FROM (SELECT *, CASE WHEN target = -100 OR coalesce(lag(target) OVER w <> target, true) THEN 1 ELSE 0 END AS ch FROM frames WINDOW w AS (PARTITION BY track_id ORDER BY frame_idx))) WHERE target <> -100 GROUP BY track_id, run)"
+_MODES = [(size, mode) for size in (1, 5, 9) for mode in ("mean", "median")]
+_SETTING = "win, mode, decoder, penalty, weight, eps, least"
+_METRICS = ("f05", "f30", "pairwise_f", "nce_f", "segments")
+#: Settings that differ in what the decoder does not use are decoded once (sid), as their tables are the same.
+_GRID = f"""{", ".join(smooth_sql(f"smooth_{size}_{mode}", size, mode) for size, mode in _MODES)},
+    smooth AS ({" UNION ALL ".join(f"SELECT {size} AS win, '{mode}' AS mode, * FROM smooth_{size}_{mode}" for size, mode in _MODES)}),
+    settings AS (SELECT *, dense_rank() OVER (ORDER BY win, mode, decoder, CASE WHEN decoder = 'viterbi' THEN penalty END, CASE WHEN decoder = 'viterbi' THEN weight END, CASE WHEN decoder = 'viterbi' AND weight > 0 THEN eps END) AS sid
+                 FROM (SELECT unnest([1, 5, 9]) AS win), (SELECT unnest(['mean', 'median']) AS mode), (SELECT unnest(['viterbi', 'argmax']) AS decoder), (SELECT unnest([0.0, 0.2, 0.5]::DOUBLE[]) AS penalty), (SELECT unnest([0.0, 0.2]::DOUBLE[]) AS weight), (SELECT unnest([1e-4, 1e-2]::DOUBLE[]) AS eps), (SELECT unnest([0.0, 1.5]::DOUBLE[]) AS least)),
+    distinct_settings AS (SELECT sid, any_value(win) AS win, any_value(mode) AS mode, any_value(decoder) AS decoder, min(penalty) AS penalty, min(weight) AS weight, min(eps) AS eps FROM settings GROUP BY sid),
+    prior AS (SELECT track_id, frame_idx, 1 / (1 + exp(-scores[1])) AS b FROM frames),
+    given AS (SELECT sid, track_id, CAST(frame_idx AS BIGINT) AS frame_idx, scores, CASE WHEN weight > 0 THEN weight * ln(1 - greatest(eps, least(1 - eps, b))) ELSE 0 END AS stay, -penalty + CASE WHEN weight > 0 THEN weight * ln(greatest(eps, least(1 - eps, b))) ELSE 0 END AS change
+              FROM distinct_settings JOIN smooth USING (win, mode) JOIN prior USING (track_id, frame_idx) WHERE decoder = 'viterbi'),
+    {path_sql("best", "given", "sid, track_id")},
+    labelled AS (SELECT sid, track_id, unnest(range(len(path))) AS frame_idx, unnest(path) AS k FROM best
+                 UNION ALL SELECT sid, track_id, frame_idx, list_position(scores, list_max(scores)) - 1 FROM distinct_settings JOIN smooth USING (win, mode) WHERE decoder = 'argmax'),
+    decoded AS (SELECT sid, l.track_id, l.frame_idx, start_time, end_time, CAST(k AS VARCHAR) AS label FROM labelled l JOIN frames f ON f.track_id = l.track_id AND f.frame_idx = l.frame_idx),
+    {runs_sql("merged", "decoded", "sid, track_id")},
+    by_least AS (SELECT m.*, least FROM merged m, (SELECT unnest([0.0, 1.5]::DOUBLE[]) AS least)), {clean_sql("cleaned", "by_least", "sid, least, track_id", "least").replace("any_value(least) AS least, 0 AS step", "0 AS step").replace("SELECT sid, least, track_id, least, unnest", "SELECT sid, least, track_id, unnest").replace("s[hi + 1:]), least, step", "s[hi + 1:]), step")},
+    {_REFERENCE}, wanted AS (SELECT r.*, sid, least FROM reference r, (SELECT DISTINCT sid, least FROM settings)),
+    {evaluate_sql("wanted", "cleaned", "sid, least, track_id").split(", chance AS")[0].split("chance AS")[0].rstrip().rstrip(",")},
+    scored AS (SELECT s.sid, s.least, s.track_id, any_value(h.f) FILTER (h.size = 0.5) AS f05, any_value(h.f) FILTER (h.size = 3.0) AS f30, any_value(coalesce(p.ff, 0)) AS pairwise_f, any_value(coalesce(e.nce_f, 0)) AS nce_f, any_value(s.n) AS segments
+               FROM (SELECT sid, least, track_id, count(*) AS n FROM cleaned GROUP BY ALL) s JOIN hits h USING (sid, least, track_id) LEFT JOIN pairwise p USING (sid, least, track_id) LEFT JOIN entropies e USING (sid, least, track_id) GROUP BY ALL),
+    means AS (SELECT sid, least, count(*) AS num_tracks, {", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std" for m in _METRICS)} FROM scored GROUP BY ALL),
+    results AS (SELECT win AS "window", mode, decoder, penalty, weight, eps, least, num_tracks, {", ".join(f"{m}_mean, {m}_std" for m in _METRICS)} FROM settings JOIN means USING (sid, least))"""
+
+
+def _rounded(results: DataFrame) -> DataFrame:
+    return results.select(*D.SETTING, "num_tracks", *[r(f"{m}_{x}") for m in _METRICS for x in ("mean", "std")])
+
+
+@query("d14_grid_search", f"WITH RECURSIVE {_GRID} SELECT * FROM results")
 def _(spark, d):
-    return _grid_results(spark, d)
+    return _rounded(_grid_results(spark, d))
 
 
-@query("d15_top_settings")
+@query("d15_top_settings", f'WITH RECURSIVE {_GRID} SELECT * FROM results ORDER BY f30_mean DESC, "window", mode, decoder, penalty, weight, eps, least LIMIT 3')
 def _(spark, d):
-    return D.top_settings(_grid_results(spark, d), 3)
+    return _rounded(D.top_settings(_grid_results(spark, d), 3))
 
 
 # --- evaluation -------------------------------------------------------------------------------------------------------
@@ -541,20 +584,32 @@ def _pair_cells(spark, d):
     return E.contingency(ref, est, ends, step=3600.0)
 
 
-@query("e01_evaluate")
+_NAMES = {"pp": "pairwise_precision", "rr": "pairwise_recall", "ff": "pairwise_f", "rand": "rand", "ari": "adjusted_rand"}
+_ENTROPIES = {"o": "nce_over", "u": "nce_under", "nce_f": "nce_f", "vo": "v_precision", "vu": "v_recall", "v_measure": "v_measure", "mi": "mutual_information", "nmi": "normalized_mutual_information"}
+_EVALUATED = f"""SELECT h.track_id, {", ".join(f"round(any_value(h.{x}) FILTER (size = {s}), 6) AS {n}_{t}" for s, t in (("0.5", "0_5"), ("3.0", "3")) for x, n in (("p", "precision"), ("r", "recall"), ("f", "f")))},
+    any_value(round(re, 6)) AS ref_to_est, any_value(round(er, 6)) AS est_to_ref, {", ".join(f"any_value(round(pairwise.{x}, 6)) AS {n}" for x, n in _NAMES.items())}, {", ".join(f"any_value(round(entropies.{x}, 6)) AS {n}" for x, n in _ENTROPIES.items())}, any_value(round(ami, 6)) AS adjusted_mutual_information
+    FROM hits h LEFT JOIN deviation USING (track_id) LEFT JOIN pairwise USING (track_id) LEFT JOIN entropies USING (track_id) LEFT JOIN information USING (track_id) GROUP BY h.track_id"""
+
+
+def _evaluated(scores: DataFrame) -> DataFrame:
+    return scores.select("track_id", *[r(c) for c in scores.columns if c != "track_id"])
+
+
+@query("e01_evaluate", f"""WITH RECURSIVE {_REFERENCE}, {smooth_sql("smooth", 5, "mean", ", start_time, end_time")}, decoded AS (SELECT *, CAST(list_position(scores, list_max(scores)) - 1 AS VARCHAR) AS label FROM smooth), {runs_sql("estimate", "decoded", "track_id")},
+    {evaluate_sql("reference", "estimate", "track_id")} {_EVALUATED}""")
 def _(spark, d):
     f = W.frames(spark, d)
     ref = D.reference_segments(f).withColumn("label", F.col("target").cast("string"))
     est = D.merge_frames(D.decode_argmax(D.smooth_scores(f, 5)).withColumn("label", F.col("label_idx").cast("string")))
-    return E.evaluate(ref, est)
+    return _evaluated(E.evaluate(ref, est))
 
 
-@query("e02_evaluate_predictions")
+@query("e02_evaluate_predictions", f"WITH RECURSIVE {_REFERENCE}, {_INFERRED}, {evaluate_sql('reference', 'inferred', 'track_id')} {_EVALUATED}")
 def _(spark, d):
     f = W.frames(spark, d)
     ref = D.reference_segments(f).withColumn("label", F.col("target").cast("string"))
     est = D.infer_segments(f, penalty=0.3)
-    return E.evaluate_predictions(ref, est, f.select("track_id").distinct())
+    return _evaluated(E.evaluate_predictions(ref, est, f.select("track_id").distinct()))
 
 
 @query("e03_boundary_hits", f"""WITH {_BOTH}, rt AS (SELECT track_id, list_sort(list_distinct(list(round(start_time, 5)) || list(round(end_time, 5)))) AS r FROM refs GROUP BY track_id),
@@ -611,9 +666,15 @@ def _(spark, d):
     return E.entropy_scores(_pair_cells(spark, d)).select("track_id", r("normalized_mutual_information", 5, "nmi"))
 
 
-@query("e09_adjusted_information")
+_LG = lambda x: f"lgamma(CAST({x} AS DOUBLE) + 1)"
+
+
+@query("e09_adjusted_information", f"""WITH {_CELLS}, s AS (SELECT track_id, coalesce(-sum(a / total * ln(a / total)) FILTER (r1), 0) AS hr, coalesce(-sum(b / total * ln(b / total)) FILTER (e1), 0) AS he, count(*) FILTER (r1) AS kr, count(*) FILTER (e1) AS ke, sum(n / total * ln(n * total / (a * b))) AS mi FROM mg GROUP BY track_id),
+    c AS (SELECT a.track_id, a.a AS x, b.b AS y, CAST(a.total AS BIGINT) AS n, unnest(range(CAST(greatest(1, a.a + b.b - a.total) AS BIGINT), CAST(least(a.a, b.b) AS BIGINT) + 1)) AS k FROM mg a JOIN mg b USING (track_id) WHERE a.r1 AND b.e1),
+    x AS (SELECT track_id, sum(exp({_LG("x")} + {_LG("y")} + {_LG("n - x")} + {_LG("n - y")} - {_LG("n")} - {_LG("k")} - {_LG("x - k")} - {_LG("y - k")} - {_LG("n - x - y + k")}) * k / n * ln(n * CAST(k AS DOUBLE) / (x * y))) AS emi FROM c GROUP BY track_id)
+    SELECT track_id, round(CASE WHEN (kr = 1 AND ke = 1) OR abs(greatest(hr, he) - emi) < 1e-12 THEN 1 ELSE (mi - emi) / (greatest(hr, he) - emi) END, 6) AS adjusted_mutual_information FROM s JOIN x USING (track_id)""")
 def _(spark, d):
-    return E.adjusted_information(_pair_cells(spark, d))
+    return E.adjusted_information(_pair_cells(spark, d)).select("track_id", r("adjusted_mutual_information"))
 
 
 @query("e10_frame_scores", """WITH f AS (SELECT track_id, target, CASE WHEN list_position(scores, list_max(scores)) - 1 = target THEN 1.0 ELSE 0.0 END AS ok FROM frames WHERE target <> -100), l AS (SELECT track_id, target, avg(ok) AS a, sum(ok) AS h, count(*) AS n FROM f GROUP BY ALL)

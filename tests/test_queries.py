@@ -6,7 +6,7 @@ import pytest
 from segloom.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["l01_label_base", "p01_merge", "p07_replace_no_function", "p09_projected_lower", "t06_mean_pool", "t11_assign_points", "v02_vocabulary", "r03_sample_frames", "d03_smooth_median", "d09_merge_with_boundaries", "e06_pair_scores", "c02_top_changed", "c05_nearest_distances", "g04_similarity_means", "m02_probability_bce", "p00_policies", "s01_manifest_scan", "s02_manifest_sink", "s05_annotation_scan", "s06_text_annotations", "s07_pair_sets", "s08_file_identity", "s10_feature_store", "s13_reports", "r02_split_manifests"]
+QUICK = ["l01_label_base", "p01_merge", "p07_replace_no_function", "p09_projected_lower", "t06_mean_pool", "t11_assign_points", "v02_vocabulary", "r03_sample_frames", "d03_smooth_median", "d09_merge_with_boundaries", "e06_pair_scores", "c02_top_changed", "c05_nearest_distances", "g04_similarity_means", "m02_probability_bce", "p00_policies", "s01_manifest_scan", "s02_manifest_sink", "s05_annotation_scan", "s06_text_annotations", "s07_pair_sets", "s08_file_identity", "s10_feature_store", "s13_reports", "r02_split_manifests", "t09_overlap_labels", "c03_agreement", "d05_viterbi", "d10_remove_short", "d13_infer_cleaned", "d15_top_settings", "e02_evaluate_predictions", "e09_adjusted_information"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -308,6 +308,24 @@ def test_evaluate(spark):
         E.evaluate_predictions(s, s.where("false"), s)
 
 
+def test_expected_information():
+    def by_factorials(a, b):
+        n, total, g = sum(a), 0.0, lambda x: math.lgamma(x + 1)
+        for x, y in itertools.product(a, b):
+            for k in range(max(1, x + y - n), min(x, y) + 1):
+                p = math.exp(g(x) + g(y) + g(n - x) + g(n - y) - g(n) - g(k) - g(x - k) - g(y - k) - g(n - x - y + k))
+                total += p * k / n * math.log(n * k / (x * y))
+        return total
+
+    rng = random.Random(1)
+    for _ in range(150):
+        n = rng.randrange(1, 400)
+        cut = lambda k, n=n: [b - a for a, b in itertools.pairwise([0, *sorted(rng.sample(range(1, n), min(k, n - 1))), n])]
+        a, b = cut(rng.randrange(0, 6)), cut(rng.randrange(0, 6))
+        assert E.expected_information(a, b) == pytest.approx(by_factorials(a, b), rel=1e-9, abs=1e-12)
+    assert 0 < E.expected_information([10_000_000, 6_000_000, 3_000_000, 1], [9_000_000, 9_000_000, 1_000_001]) < 1e-6
+
+
 def test_contingency(spark):
     """Counted cells are those of the points themselves, with gaps, overlaps and sections shorter than a step."""
     rng = random.Random(5)
