@@ -15,6 +15,7 @@ from segloom.operators import decoding as D
 from segloom.operators import evaluation as E
 from segloom.operators import grid as T
 from segloom.operators import policies as P
+from segloom.operators import similarity as G
 from segloom.operators import vocabulary as O
 
 SECTION = "track_id string, idx int, start_time double, end_time double, label string, confidence double"
@@ -354,6 +355,55 @@ def test_comparison(spark):
     assert row.precision_0_5 == 0 and row.recall_3 == 1 and row.label_agreement_fraction == pytest.approx(5 / 6)
 
 
+def by_pairs(vec, scores, target):
+    """G4, M2, M3, M7 and M9 of one track from all pairs of its frames."""
+    ok = target != -100
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    soft = np.exp(scores - scores.max(1, keepdims=True))
+    soft /= soft.sum(1, keepdims=True)
+    same, off = target[ok][:, None] == target[ok][None, :], ~np.eye(int(ok.sum()), dtype=bool)
+    cos, prob = unit[ok] @ unit[ok].T, soft[ok] @ soft[ok].T
+
+    def bce(p):
+        p = np.clip(p, 1e-6, 1 - 1e-6)
+        return (-np.log(p[off & same]).mean() - np.log(1 - p[off & ~same]).mean()) / 2
+
+    e = np.where(off, np.exp((cos - 1) / 0.07), 0)
+    own = (e * same).sum(1)
+    every = (unit @ unit.T)[np.triu_indices(len(unit), 1)]
+    return {"same": cos[off & same].mean(), "different": cos[off & ~same].mean(), "m2": bce(prob), "m3": bce((cos + 1) / 2), "m7": np.log(np.exp(-2 * (2 - 2 * every)).mean()), "m9": (np.log(e.sum(1)) - np.log(own))[own > 0].mean()}
+
+
+def test_tiles(spark):
+    """Metrics over pairs from tiles of any size are those of all pairs, on a track of 5,000 frames too, and without a row a pair."""
+    rng = np.random.default_rng(6)
+    tracks, schema = {}, "track_id string, frame_idx int, vec array<double>, scores array<double>, target int"
+    for t, n in (("a", 30), ("b", 7), ("c", 5000)):
+        tracks[t] = rng.normal(size=(n, 6)) + 0.5, rng.normal(size=(n, 4)), rng.integers(0, 3, n)
+        tracks[t][2][::9] = -100
+    frames = spark.createDataFrame([(t, i, v[i].tolist(), s[i].tolist(), int(y[i])) for t, (v, s, y) in tracks.items() for i in range(len(v))], schema).repartition(3)
+    short = frames.where("track_id <> 'c'")
+    for rows, size in ((frames, 1024), (short, 1024), (short, 8)):
+        got = {}
+        for name, df, column in (("same", G.similarity_means(rows), "same_label_mean"), ("different", G.similarity_means(rows), "different_label_mean"), ("m2", G.probability_bce(rows, size=size), "loss"), ("m3", G.structure_bce(rows, size=size), "loss"), ("m7", G.uniformity(rows, size=size), "loss"), ("m9", G.supervised_contrastive(rows, size=size), "loss")):
+            for r in df.collect():
+                got[r.track_id, name] = r[column]
+        assert {t for t, _ in got} == ({"a", "b", "c"} if rows is frames else {"a", "b"})
+        for t in {t for t, _ in got}:
+            for name, value in by_pairs(*tracks[t]).items():
+                assert got[t, name] == pytest.approx(value, rel=1e-6), (t, name)
+    for df in (G.similarity_means(short), G.probability_bce(short), G.structure_bce(short), G.uniformity(short), G.supervised_contrastive(short)):
+        assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+    vec, _, target = tracks["a"]
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    for size in (1024, 8):
+        rows = G.pairs(frames.where("track_id = 'a'"), size=size).collect()
+        assert sorted((r.i, r.j) for r in rows) == [(i, j) for i in range(30) for j in range(30) if i != j]
+        assert all(r.value == pytest.approx(unit[r.i] @ unit[r.j]) and r.same == (target[r.i] == target[r.j] != -100) and (r.target_i, r.target_j) == (target[r.i], target[r.j]) for r in rows)
+        assert sorted((r.i, r.j) for r in G.pairs(frames.where("track_id = 'a'"), ordered=True, carry=(), size=size).collect()) == [(i, j) for i in range(30) for j in range(i + 1, 30)]
+    assert G.supervised_contrastive(frames.limit(0)).count() == G.similarity_means(frames.limit(0)).count() == 0
+
+
 def test_filters_and_splits(spark):
     s = made(spark, "silence", "silence", track="u").unionByName(made(spark, "intro", "verse"))
     assert [r.track_id for r in O.filter_tracks(s, min_useful_labels=2, ignore=("silence",)).collect()] == ["t"]
