@@ -985,24 +985,29 @@ def _(spark, d):
 
 @query("s06_text_annotations", "WITH m AS (SELECT track_id, idx, start_time, label FROM merged_a), n AS (SELECT *, lead(start_time) OVER (PARTITION BY track_id ORDER BY idx) AS e FROM m), f AS (SELECT track_id, idx, start_time, coalesce(e, duration) AS end_time, label FROM n JOIN user_tracks USING (track_id)) SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS BIGINT) AS idx, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, label FROM f WHERE end_time > start_time")
 def _(spark, d):
-    from segloom.sources.annotations import text_sections
+    from segloom.sources.annotations import read_text_annotations
+    from segloom.sources.stores import write_files
 
     line = F.concat_ws(" ", F.col("start_time").cast("string"), "label")
     texts = P.merge_consecutive(W.sections_a(spark, d)).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("idx", line.alias("line")))).alias("l"))
-    texts = texts.select(F.col("track_id").cast("string").alias("path"), "track_id", F.concat(F.lit("# sections\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("value"))
-    ends = W.user_tracks(spark, d).select("track_id", F.col("duration").alias("fallback_end"))
-    return sections(text_sections(texts, ends))
+    folder = scratch_path(spark, "texts")
+    write_files(texts.select(F.concat(F.col("track_id").cast("string"), F.lit(".txt")).alias("name"), F.concat(F.lit("# sections\n\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("value")), folder)
+    ends = W.user_tracks(spark, d).select(F.col("track_id").cast("string").alias("track_id"), F.col("duration").alias("fallback_end"))
+    return sections(read_text_annotations(spark, folder, ends).withColumn("track_id", F.col("track_id").cast("long")))
 
 
 @query("s08_file_identity", "WITH p AS (SELECT doc_id, coalesce(text, '') AS a, CASE WHEN doc_id % 7 = 0 THEN replace(coalesce(text, ''), 'e', 'i') WHEN doc_id % 5 = 0 THEN coalesce(text, '') || '.' ELSE coalesce(text, '') END AS b FROM documents) SELECT CAST(doc_id AS VARCHAR) AS stem, octet_length(encode(a)) = octet_length(encode(b)) AS same_size, sha256(a) = sha256(b) AS same_sha256 FROM p WHERE doc_id % 11 <> 0")
 def _(spark, d):
-    from segloom.sources.annotations import content_identity
+    from segloom.sources.annotations import file_identity, pair_annotation_sets
+    from segloom.sources.manifests import file_listing
+    from segloom.sources.stores import write_files
 
-    docs = W.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("stem"), "doc_id", F.coalesce("text", F.lit("")).alias("a"))
+    docs = W.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("a"))
     changed = F.when(F.col("doc_id") % 7 == 0, F.replace("a", F.lit("e"), F.lit("i"))).when(F.col("doc_id") % 5 == 0, F.concat("a", F.lit("."))).otherwise(F.col("a"))
-    pairs = docs.select("stem", F.concat(F.lit("/a/"), "stem").alias("original_path"), F.concat(F.lit("/b/"), "stem").alias("revised_path"), F.when(F.col("doc_id") % 11 == 0, "original_only").otherwise("both").alias("side"))
-    files = lambda folder, text: docs.select(F.concat(F.lit(folder), "stem").alias("path"), F.encode(text, "utf-8").alias("content")).withColumn("length", F.octet_length("content"))
-    return content_identity(pairs, files("/a/", F.col("a")), files("/b/", changed))
+    original, revised = scratch_path(spark, "original"), scratch_path(spark, "revised")
+    write_files(docs.select("name", F.col("a").alias("value")), original)
+    write_files(docs.where("doc_id % 11 <> 0").select("name", changed.alias("value")), revised)
+    return file_identity(spark, pair_annotation_sets(file_listing(spark, original), file_listing(spark, revised)), original, revised)
 
 
 @query("s10_feature_store", "SELECT track_id, CAST(frame_idx AS BIGINT) AS idx, target, len(vec) AS dim FROM frames WHERE track_id % 2 = 1")
@@ -1011,7 +1016,8 @@ def _(spark, d):
 
     path = scratch_path(spark, "features")
     rows = W.frames(spark, d).select("track_id", F.col("frame_idx").cast("long").alias("idx"), "target", "vec", F.lit("mean").alias("encoder"), F.when(F.col("track_id") % 2 == 1, "odd").otherwise("even").alias("dataset"))
-    write_features(rows, path)
+    write_features(rows.where("track_id % 4 = 1"), path)
+    write_features(rows, path)  # the tracks of the first run are there once
     return read_features(spark, path, encoder="mean", dataset="odd").select("track_id", "idx", "target", F.size("vec").cast("long").alias("dim"))
 
 
@@ -1029,29 +1035,39 @@ def _(spark, d):
 
 @query("s03_pair_files", "SELECT CAST(doc_id AS VARCHAR) AS track_id, 'docs' AS dataset FROM documents")
 def _(spark, d):
-    from segloom.sources.manifests import pair_files
+    from segloom.sources.manifests import file_listing, pair_files
 
-    stems = W.document_tracks(spark, d).select(F.col("track_id").cast("string").alias("stem"))
-    audio = stems.withColumn("path", F.concat(F.lit("/a/"), "stem", F.lit(".wav")))
-    return pair_files(audio, stems.withColumn("path", F.concat(F.lit("/j/"), "stem", F.lit(".jams"))), "docs").select("track_id", "dataset")
+    audio, annotations = (_written(spark, W.document_tracks(spark, d), end) for end in (".wav", ".jams"))
+    return pair_files(file_listing(spark, audio, "*.wav"), file_listing(spark, annotations), "docs").select("track_id", "dataset")
+
+
+def _written(spark: SparkSession, tracks: DataFrame, end: str, start: str = "") -> str:
+    """A folder with a small file for each track."""
+    from segloom.sources.stores import write_files
+
+    folder = scratch_path(spark, "files")
+    write_files(tracks.select(F.concat(F.lit(start), F.col("track_id").cast("string"), F.lit(end)).alias("name"), F.lit("x").alias("value")), folder)
+    return folder
 
 
 @query("s04_pair_prefixed", "SELECT CAST(doc_id AS VARCHAR) AS track_id FROM documents WHERE doc_id % 2 = 0")
 def _(spark, d):
-    from segloom.sources.manifests import pair_prefixed
+    from segloom.sources.manifests import file_listing, pair_prefixed
 
-    stems = W.document_tracks(spark, d).select(F.col("track_id").cast("string").alias("stem"), "track_id")
-    audio = stems.where("track_id % 2 = 0").select(F.concat(F.lit("x"), "stem").alias("stem"), F.lit("p").alias("path"))
-    return pair_prefixed(audio, stems.select("stem", F.lit("q").alias("path")), "docs", "x").select("track_id")
+    tracks = W.document_tracks(spark, d)
+    audio, annotations = _written(spark, tracks.where("track_id % 2 = 0"), ".wav", "x"), _written(spark, tracks, ".jams")
+    return pair_prefixed(file_listing(spark, audio), file_listing(spark, annotations), "docs", "x").select("track_id")
 
 
 @query("s07_pair_sets", "SELECT CAST(doc_id AS VARCHAR) AS stem, CASE WHEN doc_id % 3 = 0 THEN 'original_only' WHEN doc_id % 5 = 0 THEN 'revised_only' ELSE 'both' END AS side FROM documents")
 def _(spark, d):
     from segloom.sources.annotations import pair_annotation_sets
+    from segloom.sources.manifests import file_listing
 
-    ids = W.document_tracks(spark, d).select("track_id")
-    both = ids.select("track_id", F.explode(F.array(F.lit(".jams"), F.lit(".txt"))).alias("ext")).select("track_id", F.concat(F.lit("/s/"), F.col("track_id").cast("string"), "ext").alias("path"))
-    return pair_annotation_sets(both.where("track_id % 5 <> 0 OR track_id % 3 = 0").select("path"), both.where("track_id % 3 <> 0").select("path")).select("stem", "side")
+    ids = W.document_tracks(spark, d)
+    sides = (ids.where("track_id % 5 <> 0 OR track_id % 3 = 0"), ids.where("track_id % 3 <> 0"))
+    original, revised = (file_listing(spark, _written(spark, side, ".jams")).unionByName(file_listing(spark, _written(spark, side, ".txt"))) for side in sides)
+    return pair_annotation_sets(original, revised).select("stem", "side")
 
 
 @query("s09_resolve_beats", "SELECT track_id, CAST(beat_idx AS BIGINT) AS beat_idx, round(time, 6) AS time FROM beats")
@@ -1074,7 +1090,10 @@ def _(spark, d):
 
 @query("s12_nested_segments", "SELECT track_id, count(*) AS n, round(max(end_time), 6) AS duration FROM merged_a GROUP BY track_id")
 def _(spark, d):
-    from segloom.sources.stores import nest_segments
+    from segloom.sources.annotations import read_annotations
+    from segloom.sources.stores import write_segments
 
-    docs = nest_segments(P.merge_consecutive(W.sections_a(spark, d)))
-    return docs.select("track_id", F.size(F.col("annotations")[0]["data"]).cast("long").alias("n"), F.round(F.col("file_metadata.duration"), 6).alias("duration"))
+    folder = scratch_path(spark, "segments")
+    write_segments(P.merge_consecutive(W.sections_a(spark, d)), folder, files=True)
+    back = read_annotations(spark, f"{folder}/*.jams").groupBy(F.col("track_id").cast("long").alias("track_id"))
+    return back.agg(F.count("*").alias("n"), F.round(F.max("end_time"), 6).alias("duration"))

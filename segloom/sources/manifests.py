@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,7 @@ def write_manifest(tracks: DataFrame, path: str, partition_by: str | None = None
 
 
 def file_listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Paths and stems of a folder's files; their contents are not read."""
+    """Paths and stems of a folder's files; their contents are not read. Spark leaves files without a byte out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
     return files.withColumn("stem", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))
 
@@ -64,9 +66,10 @@ def _tracks(rows: DataFrame, name: Column, dataset: str) -> DataFrame:
     return rows.select(name.alias("track_id"), "audio_path", "jams_path", F.lit(dataset).alias("dataset"), F.lit(None).cast("string").alias("split"), F.create_map().cast("map<string,string>").alias("metadata"))
 
 
-def pending(tracks: DataFrame, done: DataFrame, keys: tuple[str, ...] = ("dataset", "track_id"), limit: int | None = None, order: str = "track_id") -> DataFrame:
-    """The tracks without output yet; the first ``limit`` in order."""
-    rest = tracks.join(done.select(*keys).distinct(), list(keys), "left_anti")
+def pending(tracks: DataFrame, *done: DataFrame, keys: tuple[str, ...] = ("dataset", "track_id"), limit: int | None = None, order: str = "track_id") -> DataFrame:
+    """The tracks that any of the outputs ``done`` lacks (such as ``committed`` of each store); the first ``limit`` in order."""
+    counted = reduce(DataFrame.unionByName, [d.select(*keys).distinct() for d in done]).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") == len(done))
+    rest = tracks.join(counted, [tracks[k].cast("string").eqNullSafe(counted[k].cast("string")) for k in keys], "left_anti")
     return rest if limit is None else rest.orderBy(order).limit(limit)
 
 

@@ -490,6 +490,32 @@ def track_scores(reference, estimate, step=0.1):
     return {"f05": hit(0.5), "f30": hit(3.0), "pairwise_f": f(m / p_e if p_e else 0.0, m / p_r if p_r else 0.0), "nce_f": f(over, under)}
 
 
+def test_repeated_writes(spark, tmp_path):
+    """Jobs that die before, between or after their two outputs, and are repeated, leave each row once."""
+    from segloom.sources.manifests import pending
+    from segloom.sources.stores import committed, read_features, write_features
+
+    tracks = spark.createDataFrame([(str(i), "d" if i % 2 else None) for i in range(6)], "track_id string, dataset string")
+    rows = lambda some, x: some.select("track_id", "dataset", F.lit("e").alias("encoder"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("idx")).withColumn("x", F.lit(x))
+    frames, beats = f"{tmp_path}/frames", f"{tmp_path}/beats"
+    todo = lambda limit=None: pending(tracks, committed(spark, frames), committed(spark, beats), limit=limit)
+    assert todo().count() == 6
+    with pytest.raises(Exception, match="killed"):  # all rows are written, the record is not
+        write_features(rows(tracks, 1), frames, tracks=tracks.withColumn("encoder", F.raise_error(F.lit("killed")).cast("string")))
+    assert todo().count() == 6 and read_features(spark, frames).count() == 0
+    first = [r.track_id for r in todo(limit=4).collect()]
+    some = tracks.where(F.col("track_id").isin(first)).cache()
+    write_features(rows(some, 2), frames)  # the job dies before its second output
+    assert todo().count() == 6 and read_features(spark, frames).count() == 16
+    write_features(rows(some, 3), frames)
+    write_features(rows(some.limit(3), 3), beats, tracks=some.withColumn("encoder", F.lit("e")))  # one track has no beats, and is done
+    assert sorted(r.track_id for r in todo().collect()) == ["4", "5"]
+    write_features(rows(todo().cache(), 3), frames)
+    got = read_features(spark, frames)
+    assert got.count() == 24 and got.select("track_id", "idx").distinct().count() == 24 and got.where("x <> 3").count() == 0 and "run" not in got.columns
+    assert read_features(spark, frames, dataset="d").count() == 12 and read_features(spark, beats).count() == 12
+
+
 def test_grid_search(spark):
     rng = np.random.default_rng(4)
     frames = {t: (rng.random((24, 3)), rng.random(24)) for t in ("s", "t")}
