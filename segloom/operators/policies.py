@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.functions.labels import canonical_underscore, label_base
+from segloom.functions.labels import canonical_underscore, draw_key, label_base
 from segloom.plans.sequences import differs, islands, overlap_sweep, window
 
 KEYS = ("track_id",)
@@ -204,7 +204,7 @@ def expand_policies(sections: DataFrame, choices: Sequence[Policy], keys: Sequen
 
 def sample_policy(tracks: DataFrame, n: int, seed: int = 0, epoch: int = 0, index: str = "track_ord", track: str = "track_id") -> DataFrame:
     """Adds ``choice``, one of n, that depends on seed, epoch, index and track alone."""
-    return tracks.withColumn("choice", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(index).cast("long"), F.col(track).cast("string")), F.lit(n)).cast("int"))
+    return tracks.withColumn("choice", (draw_key(F.lit(seed), F.lit(epoch), F.col(index).cast("long"), F.col(track)) % n).cast("int"))
 
 
 def select_annotation(annotations: DataFrame, keys: Sequence[str] = KEYS, selection: str = "first", ignore: Sequence[str] = ("silence", "no function")) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.functions.labels import SILENCE, canonical_space, canonical_underscore, hash_embedding, normalize_label, prompt, prompt_label
+from segloom.functions.labels import draw_key, SILENCE, canonical_space, canonical_underscore, hash_embedding, normalize_label, prompt, prompt_label
 from segloom.operators.policies import KEYS
 
 
@@ -109,7 +109,7 @@ def split_tracks(tracks: DataFrame, train: float = 0.8, val: float = 0.2, test:
     """Adds ``split``. Shuffled tracks are ranked by a hash of seed and id, others by manifest order, through two numbers
     counted per hash bucket, so that no task ranks them all; the draw is not that of any one generator."""
     counts = split_counts(tracks.count(), train, val, test)
-    key = F.xxhash64(F.lit(seed), F.col(track).cast("string")) if shuffle else F.col(order).cast("long")
+    key = draw_key(F.lit(seed), F.col(track)) if shuffle else F.col(order).cast("long")
     keyed = tracks.withColumn("_key", key)
     lo, hi = keyed.agg(F.min("_key"), F.max("_key")).first()
     width = max(1, (hi - lo) // 1024 + 1)

@@ -205,7 +205,10 @@ def _(spark, d):
     return rows.select("policy", "track_id", F.col("idx").cast("long").alias("idx"), r("start_time"), r("end_time"), "label")
 
 
-@query("p12_sampled_policy")
+_DRAW = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+
+
+@query("p12_sampled_policy", f"SELECT track_id, CAST({_DRAW.format("'5:2:' || manifest_ord || ':' || track_id")} % 3 AS INTEGER) AS choice FROM document_tracks")
 def _(spark, d):
     return P.sample_policy(W.document_tracks(spark, d), 3, seed=5, epoch=2, index="manifest_ord").select("track_id", "choice")
 
@@ -331,13 +334,32 @@ def _(spark, d):
     return T.segment_targets(W.frames(spark, d), order="frame_idx").select("track_id", "frame_idx", F.col("segment_target").cast("long").alias("segment_target"))
 
 
-@query("t16_training_examples")
+@query("t16_training_examples", f"""WITH named AS (SELECT *, 'part ' || CAST(target AS VARCHAR) AS label FROM frames), {runs_sql("merged", "named", "track_id")}, tracks AS (SELECT track_id, max(end_time) AS hi, max(end_time) + 1.0 AS duration FROM merged GROUP BY track_id),
+    timeline AS (SELECT track_id, idx, start_time, end_time, label FROM merged UNION ALL SELECT track_id, 1000000, hi, duration, '__T_MAX' FROM tracks), ahead AS (SELECT *, lead(label) OVER (PARTITION BY track_id ORDER BY idx) AS nxt FROM timeline),
+    spans AS (SELECT track_id, CAST(i AS BIGINT) AS idx, i * 0.8::DOUBLE AS start_time FROM tracks, range(1000) AS x(i) WHERE i < ceil(duration / 0.8)),
+    assigned AS (SELECT g.track_id, g.idx, CASE WHEN g.start_time >= a.end_time AND nxt IS NOT NULL THEN nxt ELSE a.label END AS label FROM spans g ASOF JOIN ahead a ON g.track_id = a.track_id AND g.start_time >= a.start_time),
+    cand AS (SELECT track_id, label, row_number() OVER (PARTITION BY track_id ORDER BY min(idx)) - 1 AS target, {base_sql("label")} AS base FROM merged GROUP BY track_id, label), based AS (SELECT *, dense_rank() OVER (PARTITION BY track_id ORDER BY a) - 1 AS base_target FROM (SELECT *, min(target) OVER (PARTITION BY track_id, base) AS a FROM cand)),
+    coded AS (SELECT a.track_id, idx, a.label, coalesce(target, -100) AS target, coalesce(base_target, -100) AS base_target FROM assigned a LEFT JOIN based b ON a.track_id = b.track_id AND a.label = b.label),
+    cut AS (SELECT *, CASE WHEN target <> -100 AND coalesce(lag(target) OVER (PARTITION BY track_id ORDER BY idx) <> target, true) THEN 1 ELSE 0 END AS new FROM coded)
+    SELECT track_id, idx, label, CAST(target AS BIGINT) AS target, CAST(base_target AS BIGINT) AS base_target, CAST(CASE WHEN target = -100 THEN -100 ELSE sum(new) OVER (PARTITION BY track_id ORDER BY idx) - 1 END AS BIGINT) AS segment_target, CAST(64 AS INTEGER) AS dim FROM cut""")
 def _(spark, d):
     f = W.frames(spark, d).select("track_id", "frame_idx", "time", "vec")
     s = D.merge_frames(W.frames(spark, d).withColumn("label", F.concat(F.lit("part "), F.col("target").cast("string"))))
     tracks = s.groupBy("track_id").agg((F.max("end_time") + 1.0).alias("duration"))
     beats = T.uniform_beats(tracks, 0.8)
-    return T.training_examples(f, beats, tracks, s).select("track_id", "idx", "label", "target", "base_target", "segment_target", F.size("vec").alias("dim"))
+    out = T.training_examples(f, beats, tracks, s)
+    return out.select("track_id", "idx", "label", *[F.col(c).cast("long").alias(c) for c in ("target", "base_target", "segment_target")], F.size("vec").alias("dim"))
+
+
+@query("t16_examples_by_overlap", f"""WITH f AS (SELECT *, 'part ' || CAST(target AS VARCHAR) AS label FROM frames WHERE frame_idx % 7 <> 0), g AS (SELECT track_id, CAST(i AS BIGINT) AS idx, i * 0.8::DOUBLE AS s, (i + 1) * 0.8::DOUBLE AS e FROM (SELECT DISTINCT track_id FROM f), range(30) AS x(i)),
+    o AS (SELECT g.track_id, g.idx, f.label, least(g.e, f.end_time) - greatest(g.s, f.start_time) AS o, f.frame_idx FROM g JOIN f ON f.track_id = g.track_id AND g.s < f.end_time AND f.start_time < g.e QUALIFY row_number() OVER (PARTITION BY g.track_id, g.idx ORDER BY o DESC, frame_idx) = 1)
+    SELECT track_id, idx, coalesce(label, '__T_MIN') AS label FROM g LEFT JOIN o USING (track_id, idx)""")
+def _(spark, d):
+    f = W.frames(spark, d)
+    s = f.where("frame_idx % 7 <> 0").select("track_id", F.col("frame_idx").alias("idx"), "start_time", "end_time", F.concat(F.lit("part "), F.col("target").cast("string")).alias("label"))
+    tracks = f.select("track_id").distinct().withColumn("duration", F.lit(30 * 0.8))
+    out = T.training_examples(f.select("track_id", "frame_idx", "time", "vec"), T.uniform_beats(tracks, 0.8), tracks, s, assignment="max_overlap")
+    return out.select("track_id", "idx", "label")
 
 
 # --- vocabularies, validation, splits ---------------------------------------------------------------------------------
@@ -393,7 +415,7 @@ def _(spark, d):
     return O.split_tracks(W.document_tracks(spark, d), 0.8, 0.15, 0.05, shuffle=False).select("track_id", "split")
 
 
-@query("r01_split_shuffled")
+@query("r01_split_shuffled", f"WITH k AS (SELECT track_id, row_number() OVER (ORDER BY {_DRAW.format("'3:' || track_id")}, track_id) - 1 AS a, count(*) OVER () AS n FROM document_tracks), c AS (SELECT *, round_even(n * 0.15, 0) AS v, round_even(n * 0.05, 0) AS t FROM k) SELECT track_id, CASE WHEN a < n - v - t THEN 'train' WHEN a < n - t THEN 'val' ELSE 'test' END AS split FROM c")
 def _(spark, d):
     return O.split_tracks(W.document_tracks(spark, d), 0.8, 0.15, 0.05, seed=3).select("track_id", "split")
 
@@ -416,6 +438,15 @@ def _(spark, d):
     return D.score_frames(W.frames(spark, d).select("track_id", "frame_idx", "vec"), W.label_vectors(spark, d)).select("track_id", "frame_idx", F.posexplode("scores").alias("k", "score")).select("track_id", "frame_idx", "k", r("score", 4))
 
 
+@query("d01_projected_frames", "SELECT track_id, frame_idx, CAST(j AS INTEGER) AS j, round(list_sum(list_transform(range(1, 65), lambda i: vec[i] * (((i - 1) * 7 + j * 3) % 5 - 2) / 10.0)) + j * 0.1, 5) AS x FROM frames, range(3) AS x(j)")
+def _(spark, d):
+    import numpy as np
+
+    rows, columns = np.arange(64)[:, None], np.arange(3)[None, :]
+    out = D.project(W.frames(spark, d).select("track_id", "frame_idx", "vec"), [(((rows * 7 + columns * 3) % 5 - 2) / 10.0, np.arange(3) * 0.1)])
+    return out.select("track_id", "frame_idx", F.posexplode("vec").alias("j", "x")).select("track_id", "frame_idx", "j", r("x", 5))
+
+
 @query("d02_frame_confidence", "WITH e AS (SELECT track_id, frame_idx, list_transform(scores, lambda x: exp(x - list_max(scores))) AS e FROM frames) SELECT track_id, frame_idx, round(1.0 / list_sum(e), 6) AS confidence FROM e")
 def _(spark, d):
     return D.frame_confidence(W.frames(spark, d)).select("track_id", "frame_idx", r("confidence"))
@@ -684,6 +715,14 @@ def _(spark, d):
     return E.frame_scores(f).select("track_id", r("acc"), r("balanced_acc"))
 
 
+@query("e10_remapped_predictions", "SELECT track_id, frame_idx, CAST(CASE WHEN k % 2 = 0 THEN k // 2 ELSE -100 END AS INTEGER) AS predicted FROM (SELECT *, list_position(scores, list_max(scores)) - 1 AS k FROM frames)")
+def _(spark, d):
+    f = D.decode_argmax(W.frames(spark, d)).select("track_id", "frame_idx", F.col("label_idx").alias("predicted"))
+    own = f.select("track_id").distinct().select("track_id", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("label_idx")).withColumn("label", F.concat(F.lit("class "), F.col("label_idx").cast("string")))
+    shared = spark.range(5).select(F.concat(F.lit("class "), (F.col("id") * 2).cast("string")).alias("label"), F.col("id").cast("int").alias("label_idx"))
+    return E.remap_predictions(f, own, shared).select("track_id", "frame_idx", "predicted")
+
+
 _GAPS = "g AS (SELECT track_id, sum(greatest(dd, 0)) AS gap_seconds, sum(greatest(-dd, 0)) AS overlap_seconds FROM (SELECT track_id, coalesce(lead(start_time) OVER (PARTITION BY track_id ORDER BY idx) - end_time, 0) AS dd FROM sections_gap) GROUP BY track_id)"
 
 
