@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.common import BROADCAST_ROWS, connected_components, stored
+from segloom.llm.common import BROADCAST_ROWS, HOT_ROWS, connected_components, join_counted, stored
 from segloom.llm.words import SPACES, Lexer, mix, release, runs
 
 #: Words of a shingle; similarity from which documents are linked, in hundredths; trees; minwise tokens of a document.
 SHINGLE, PERCENT, TREES, TOKENS = 5, 85, 12, 128
-#: Documents of a node that is compared exhaustively; levels of a tree before an exact way takes over.
-NODE, LEVELS = 2048, 12
+#: Documents of a node that is compared exhaustively; chance of a pair at the threshold below which no tree branches further.
+NODE, RECALL = 2048, 0.99
 #: Shingles of a group that one row holds; larger groups are compared in blocks.
 GROUP_SHINGLES = 4_000_000
 #: Documents of a large node with which all others of it are compared before it branches again.
@@ -86,6 +86,29 @@ def _marks(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Recor
             )
 
 
+def recall_at(depth: int, percent: int, trees: int) -> float:
+    """The chance that a pair at the threshold is still together in a node of any tree after so many steps.
+
+    A step keeps a pair together by its first coordinate with the share of tokens in which the pair agrees, and by a second one,
+    which ``_children`` takes (but at the roots) so often that a pair has one common child on average. That share is the
+    similarity on average only: it is drawn once for all trees, and the chance is the mean over its draws."""
+    s, q, total = percent / 100, 100 / percent - 1, 0.0
+    for agree in range(TOKENS + 1):
+        p, alive = agree / TOKENS, 1.0
+        for _ in range(depth - 1):
+            alive = 1 - (1 - p * alive) * (1 - q * p * alive)
+        total += math.comb(TOKENS, agree) * s**agree * (1 - s) ** (TOKENS - agree) * (1 - (1 - p * alive) ** trees)
+    return total
+
+
+def deepest(percent: int, trees: int, recall: float = RECALL) -> int:
+    """The steps that a tree may take; one at least."""
+    depth = 1
+    while depth < 64 and recall_at(depth + 1, percent, trees) >= recall:
+        depth += 1
+    return depth
+
+
 def _sketch(tokens: np.ndarray) -> np.ndarray:
     """Two bits of each token, packed: 256 bits a document."""
     bits = np.stack([tokens & 1, (tokens >> 1) & 1], 2).astype(np.uint8)
@@ -108,8 +131,8 @@ def _children(node: np.ndarray, rows: np.ndarray, tokens: np.ndarray, second: fl
 
 
 def _fresh(batches: Iterator[pa.RecordBatch], trees: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """(node, id, n, sketch) of the nodes to which documents go: from the roots of all trees, or ``steps`` levels down from a
-    node that is still too large. A second coordinate is chosen so often that a linked pair shares a child on average."""
+    """(node, id, n, depth, sketch) of the nodes to which documents go: from the roots of all trees, or ``steps`` steps down from
+    a node that is still too large. A second coordinate is chosen so often that a linked pair shares a child on average."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -118,8 +141,10 @@ def _fresh(batches: Iterator[pa.RecordBatch], trees: int, percent: int) -> Itera
         if "node" not in batch.schema.names:
             at = np.repeat(rows, trees)
             child, at = _children(mix(np.tile(np.arange(1, trees + 1, dtype=np.uint64), batch.num_rows)), at, tokens, 0.0)
+            depth = np.ones(batch.num_rows, np.int32)
         else:
             steps = np.asarray(batch.column("steps"))
+            depth = np.asarray(batch.column("depth")) + steps
             done, node, at = [], np.asarray(batch.column("node")).view(np.uint64), rows
             for k in range(1, int(steps.max()) + 1):
                 node, at = _children(node, at, tokens, 100 / percent - 1)
@@ -129,8 +154,8 @@ def _fresh(batches: Iterator[pa.RecordBatch], trees: int, percent: int) -> Itera
             child, at = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
         where = pa.array(at)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(child.view(np.int64)), *(batch.column(c).take(where) for c in ("id", "n", "part") if c in batch.schema.names), pa.array([x.tobytes() for x in _sketch(tokens)], pa.binary()).take(where)],
-            names=["node", *(c for c in ("id", "n", "part") if c in batch.schema.names), "sketch"],
+            [pa.array(child.view(np.int64)), *(batch.column(c).take(where) for c in ("id", "n", "part") if c in batch.schema.names), pa.array(depth.astype(np.int32)[at]), pa.array([x.tobytes() for x in _sketch(tokens)], pa.binary()).take(where)],
+            names=["node", *(c for c in ("id", "n", "part") if c in batch.schema.names), "depth", "sketch"],
         )
 
 
@@ -269,20 +294,22 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.rows.start, len(offsets) - 1), raw], names=["id", "shingles"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node: int = NODE, levels: int = LEVELS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, node: int = NODE, depth: int | None = None, most: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links), kept (id = component_id).
 
     Texts are lower-cased (A-Z), cut at white space and taken as sets of ``shingle``-word runs (a shorter text is one run).
     Two documents are linked if 100 * |A and B| >= ``percent`` * |A or B|. Equal sets form a class by a 128-bit sum of
     their hashes, and only the class's smallest id takes part in the join, so copies are counted, not paired.
 
-    A tree's nodes part documents by a minwise token; a linked pair goes on together with at least the similarity's
-    probability a level. Nodes of up to ``node`` documents are compared exhaustively, by sketches first; of what these
-    hold together the distinct groups are compared on full sets. A larger node branches again, but for near copies that
-    would not part: those beside one of a few pivots are linked with it first, and a node that links then hold together but
-    for ``node`` / 2 documents is done when these are compared with all. Nodes that are still larger after ``levels`` levels
-    are compared in blocks, each pair of blocks a group of its own: nothing is dropped. With 12 trees a pair at the threshold
-    is found with probability 1 - (1 - 0.85^d)^12 at least, d the levels it took: 0.9999 for the usual d of 3, 0.998 for 6.
+    A tree's nodes part documents by a minwise token. Nodes of up to ``node`` documents are compared exhaustively, by sketches
+    first; of what these hold together the distinct groups are compared on full sets. A larger node branches again, but for
+    near copies that would not part: those beside one of a few pivots are linked with it first, and a node that links then
+    hold together but for ``node`` / 2 documents is done when these are compared with all. A pair at the threshold is found
+    with the probability of ``recall_at``; no node branches below ``depth`` steps, by default the last at which that is 0.99
+    (12 trees at 85: 10 steps, at 80: 7). Nodes that are still larger are compared in blocks of half a node, each pair of blocks
+    as a node of its own, but for two blocks that links hold together already: nothing is dropped.
+
+    Counts of copies are joined back with the texts of over ``hot`` copies kept apart (``join_counted``).
 
     Null and empty texts have no shingles and are linked with nothing. Rows with a null id come back with a null component,
     kept. Repeated ids share their links. An empty table gives no rows. Ids must be integers; other columns are not read.
@@ -292,7 +319,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = stored(text.mapInArrow(lambda it: _marks(it, shingle), "id long, n long, s0 long, s1 long, tokens binary"), "marks")
     some = marks.where("id IS NOT NULL AND n > 0")
     classes = stored(some.groupBy("n", "s0", "s1").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1"), "classes")
-    copies = stored(some.select("id", "n", "s0", "s1").join(classes, ["n", "s0", "s1"]).select("id", "rep"), "copies")
+    counted = classes.select(F.col("n").alias("size"), "s0", "s1", "rep", F.col("rows").alias("n"))
+    copies = join_counted(some.select("id", F.col("n").alias("size"), "s0", "s1"), counted, ["size", "s0", "s1"], "id", most, hot)
+    copies = stored(copies.where("rep IS NOT NULL").select("id", "rep"), "copies")
     others = copies.where("id <> rep").distinct()
     repeated = copies.where("id = rep").count() > classes.count()  # rows of one id and text
     heads = some.select("id", "n", "tokens").join(_small(others.select("id"), copies.count()), "id", "left_anti")
@@ -316,10 +345,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return stored(_packed(nodes, rows).mapInArrow(lambda it: _clusters(it, percent), "members array<long>"), "groups")
 
     groups, hub_links, known = [], [], None
+    limit = deepest(percent, trees) if depth is None else depth
     open_, rows = heads, marks.count() * trees
-    for level in range(levels):
-        kids = open_.mapInArrow(lambda it: _fresh(it, trees, percent), "node long, id long, n long, " + ("part long, " if known is not None else "") + "sketch binary")
-        if level:
+    while open_ is not None:
+        first = open_ is heads
+        kids = open_.mapInArrow(lambda it: _fresh(it, trees, percent), "node long, id long, n long, " + ("part long, " if known is not None else "") + "depth int, sketch binary")
+        if not first:
             kids = stored(_packed(kids, rows), "children")
             rows = kids.count()
         large = stored(kids.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > node), "large_nodes")
@@ -338,27 +369,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if known is not None:
             wide = wide.drop("part").join(known, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
             held = wide.groupBy("node", "part").agg(F.count("*").alias("n")).groupBy("node").agg(F.max_by("part", "n").alias("main"), (F.sum("n") - F.max("n")).alias("rest"))
-            held = stored(held.where(F.col("rest") <= node // 2), "held_nodes")
-            few = _small(held, held.count())
-            groups.append(compared(_rest_against_all(wide.join(few.where("rest > 0"), "node"), node), 2 * rows))
-            wide = stored(wide.join(few.select("node"), "node", "left_anti"), "wide")
-            rows = wide.count()
-            if not rows:
-                break
-        # a level halves a node of dissimilar documents, and shrinks one of similar documents less
-        steps = F.greatest(F.floor(F.log2(F.col("size") / node)), F.lit(1)).cast("int")
-        branch = wide.select("node", "id", steps.alias("steps"), *[c for c in wide.columns if c == "part"])
+            held = stored(held, "held_nodes")
+            wide = wide.join(_small(held, many), "node")
+        else:
+            wide = wide.withColumns({"part": F.col("id"), "main": F.lit(None).cast("long"), "rest": F.col("size")})
+        done = F.col("rest") <= node // 2
+        exact = stored(_blocks(wide.where((done | (F.col("depth") >= limit)) & (F.col("rest") > 0)), node), "blocks")
+        groups.append(compared(exact, exact.count()))
+        wide = stored(wide.where(~done & (F.col("depth") < limit)), "wide")
+        rows = wide.count()
+        if not rows:
+            break
+        # a step halves a node of dissimilar documents, and shrinks one of similar documents less
+        steps = F.least(F.greatest(F.floor(F.log2(F.col("size") / node)), F.lit(1)), limit - F.col("depth")).cast("int")
+        branch = wide.select("node", "id", "depth", steps.alias("steps"), *(["part"] if known is not None else []))
         open_ = stored(_packed(heads.join(_small(branch, rows), "id"), rows), "open")
-    if open_ is not None:
-        groups.append(stored(_blocks(open_, node), "blocks"))
     # equal groups of several trees are compared once; two groups with one hash would be compared together
     members = reduce(DataFrame.union, groups).select(F.xxhash64("members").alias("g"), F.explode("members").alias("id")).distinct()
     links = reduce(DataFrame.union, [linked(members), *hub_links])
     parts = stored(connected_components(links), "components") if not links.isEmpty() else spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("component"))
-    head = marks.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("node"))
+    head = marks.select("id", F.col("n").alias("n_shingles")).join(others, "id", "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("node"))
+    weight = classes.groupBy(F.col("rep").alias("node")).agg(F.sum("rows").alias("n"))
+    parts = stored(parts.join(weight, "node", "left").select("node", "component", F.coalesce("n", F.lit(1)).alias("n")), "parts")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node"))
-    out = head.join(parts, "node", "left").withColumn("component_id", component)
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = join_counted(head, parts, ["node"], "id", most, hot).withColumn("component_id", component)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -391,20 +426,17 @@ def _hubs(wide: DataFrame, node: int, nodes: int, percent: int) -> DataFrame | N
     return dealt.select("g", "id").union(dealt.select("g", "pivot").distinct())
 
 
-def _rest_against_all(wide: DataFrame, node: int) -> DataFrame:
-    """Nodes of which links hold together all but ``rest`` documents: the main part in blocks, each with all of the rest."""
-    blocks = F.ceil((F.col("size") - F.col("rest")) / (node // 2)).cast("long")
-    own = F.when(F.col("part") == F.col("main"), F.array(F.pmod(F.xxhash64("id"), blocks))).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    return wide.withColumn("block", F.explode(own)).select(F.xxhash64("node", "block").alias("node"), "id", "n", "part", "sketch")
-
-
-def _blocks(rows: DataFrame, node: int) -> DataFrame:
-    """The exact way for nodes that don't shrink: their documents in blocks of half a node, every two blocks a group."""
-    sizes = rows.groupBy("node").agg(F.ceil(2 * F.count("*") / F.lit(node)).alias("blocks"))
-    dealt = rows.select("node", "id").distinct().join(sizes, "node").withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    both = both.select("node", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id")
-    return both.groupBy("node", "x", "y").agg(F.array_sort(F.collect_set("id")).alias("members")).where(F.size("members") > 1).select("members")
+def _blocks(wide: DataFrame, node: int) -> DataFrame:
+    """Nodes (node, size, main, rest, id, n, part, sketch) as nodes of two blocks: the ``rest``, what is not in the part ``main``, is
+    dealt to blocks of half a node, and so is the main part; each block of the rest meets every block."""
+    half = node // 2
+    block = lambda rows: F.ceil(rows / half).cast("long")
+    inside, others = block(F.col("size") - F.col("rest")), block(F.col("rest"))
+    main = F.coalesce(F.col("part") == F.col("main"), F.lit(False))
+    dealt = wide.withColumn("x", F.when(main, F.pmod(F.xxhash64("id"), F.greatest(inside, F.lit(1)))).otherwise(inside + F.pmod(F.xxhash64("id"), F.greatest(others, F.lit(1)))))
+    met = F.sequence(F.when(main, inside).otherwise(F.lit(0).cast("long")), inside + others - 1)
+    both = dealt.withColumn("y", F.explode(met))
+    return both.select(F.xxhash64("node", F.least("x", "y"), F.greatest("x", "y")).alias("node"), "id", "n", "part", "sketch")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

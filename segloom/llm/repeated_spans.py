@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.common import stored
+from segloom.llm.common import BROADCAST_ROWS, HOT_ROWS, join_counted, stored
 from segloom.llm.words import SPACES, Lexer, Words, mix
 
 #: Sentences of a run at least, and words of a run at least; LONG words are a run of their own, whatever the sentences.
@@ -206,7 +206,7 @@ def _filter(hashes: DataFrame, count: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, least_words: int = LEAST_WORDS, long: int = LONG) -> DataFrame:
+def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = SENTENCES, least_words: int = LEAST_WORDS, long: int = LONG, most: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, n_sentences, n_removed (those that lost words), text without the words that a non-first
     repeated run covers.
 
@@ -220,7 +220,7 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and each stretch of ``long`` words holds one. Anchors are counted, the repeated ones go to the tasks as a filter of
     bounded size, and only stretches with such an anchor are shuffled. What it lets through too much is compared in full.
     Each document sends a run once and counts are made before the shuffle, so a line of a third of all documents is one row
-    a task. What comes back to a document are the hashes of its own repeated runs.
+    a task; when the firsts of runs are joined back, runs of over ``hot`` documents stay where they are (``join_counted``). What comes back to a document are the hashes of its own repeated runs.
 
     Null texts stay null, empty ones empty, with no sentences. Rows that share an id count as one document each time: a run
     is kept in all of them. Rows with a null id are never first if another document has the run, and keep their own
@@ -232,12 +232,12 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = stored(chosen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated_anchors")
     some = docs.sparkSession.sparkContext.broadcast(_filter(chosen, chosen.count()))
     runs = rows.mapInArrow(lambda it: _emit(it, least, least_words, long, some), f"h1 long, h2 int, id {kind}")
-    repeated = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated_runs")
     seen = repeated.where("h2 <> 0").select(F.col("h1").alias("h"))
     seen = docs.sparkSession.sparkContext.broadcast(_filter(seen, seen.count()))
     runs = rows.mapInArrow(lambda it: _emit(it, least, least_words, long, some, seen), f"h1 long, h2 int, id {kind}")
-    later = runs.join(repeated, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "h1")
+    later = join_counted(runs, repeated, ["h1", "h2"], "id", most, hot).where("n IS NOT NULL").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "h1")
     later = stored(later, "later_runs")
     lists = later.groupBy("id").agg(F.collect_set("h1").alias("runs"))
     by_id = rows.join(lists, rows["id"].eqNullSafe(lists["id"]), "left").select(rows["id"], "text", "runs")

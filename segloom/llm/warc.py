@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.llm.common import scratch_path, stored
+from segloom.llm.common import BROADCAST_ROWS, HOT_ROWS, join_counted, scratch_path, stored
 
 #: Bytes of an archive before the next begins; of a run of records that one task reads; between records that are read together.
 ARCHIVE_BYTES, SPAN_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 8 << 20, 64 << 10, 4 << 20
@@ -101,20 +101,20 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, date: str, level: int
             out.close()
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 1, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 1, archive_bytes: int = ARCHIVE_BYTES, most: int = BROADCAST_ROWS, hot: int = HOT_ROWS) -> DataFrame:
     """Writes a gzip member per row into archives of ``folder`` (a URI that driver and executors share) and returns the
     index, stored: file, offset, length, url, digest, record_type, id.
 
     Of rows with equal payloads (the UTF-8 of the html, null: empty) of at least ``min_bytes`` bytes the smallest id is a
     response and the others revisit it. Only digests are grouped; the payloads stay where they are read, unless repeated
-    digests are too many to broadcast. Repeated rows with the smallest id are all responses, as are rows of a group without
+    digests are over ``most``: then rows go by digest, those of a digest of over ``hot`` rows spread by id. Repeated rows with the smallest id are all responses, as are rows of a group without
     ids. Each task writes files of its own name, and only files of tasks that ended are in the index, so lost or repeated
     tasks leave no trace. Null urls leave the header out. Other columns are not read; an empty table has an empty index.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "utf-8"))))
-    same = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").select("sha", "first")
-    linked = rows.join(stored(same, "payloads"), "sha", "left")
+    same = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
+    linked = join_counted(rows, stored(same, "payloads"), ["sha"], "id", most, hot)
     refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     made = linked.select("id", "url", "html", refers.alias("refers_to")).mapInArrow(lambda it: _write(it, folder, date, level, archive_bytes), INDEX_DDL)
     return stored(made, "warc_index")

@@ -129,8 +129,8 @@ def links(texts, percent):
     return [len(s) for s in sets], [root(i) for i in range(len(texts))]
 
 
-@pytest.mark.parametrize(("node", "levels"), [(2048, 12), (8, 12), (4, 2)])
-def test_near_duplicates(spark, node, levels):
+@pytest.mark.parametrize(("node", "depth"), [(2048, None), (8, None), (4, 2)])
+def test_near_duplicates(spark, node, depth):
     from segloom.llm.near_dedup import drop_near_duplicates, near_duplicates
 
     rng = random.Random(3)
@@ -143,7 +143,7 @@ def test_near_duplicates(spark, node, levels):
                 copy[rng.randrange(len(copy))] = f"e{rng.randrange(9)}"
             texts.append(" ".join(copy))
     sizes, wanted = links(texts, 85)
-    got = {r.doc_id: r for r in near_duplicates(docs_of(spark, texts), node=node, levels=levels).collect()}
+    got = {r.doc_id: r for r in near_duplicates(docs_of(spark, texts), node=node, depth=depth).collect()}
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
     assert [got[i].component_id for i in range(len(texts))] == wanted
     kept = drop_near_duplicates(docs_of(spark, texts))
@@ -177,6 +177,68 @@ def test_large_groups_of_near_copies(spark, monkeypatch, seed=2):
     assert any(x is not None for x in seen) and len(set(wanted)) > 30
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_recall_by_depth(percent):
+    """Of pairs of token rows that agree as texts at the threshold do, as many are still together after some steps as computed."""
+    from segloom.llm.near_dedup import TOKENS, _children, deepest, recall_at
+
+    rng, pairs, trees = np.random.default_rng(percent), 600, 12
+    a = rng.integers(0, 1 << 32, (pairs, TOKENS), dtype=np.uint64).astype(np.uint32)
+    b = np.where(rng.random(a.shape) < percent / 100, a, rng.integers(0, 1 << 32, a.shape, dtype=np.uint64).astype(np.uint32))
+    together, nodes = {}, [(np.full(pairs, t, np.uint64), np.arange(pairs)) for t in range(1, trees + 1)]
+    for depth in range(1, 19):
+        after = []
+        for node, rows in nodes:
+            x, y = (_children(node, rows, tokens, 0.0 if depth == 1 else 100 / percent - 1) for tokens in (a, b))
+            same = x[0] == y[0]  # children of one node in one order
+            after.append((x[0][same], x[1][same]))
+        nodes = after
+        together[depth] = len({r for _, rows in nodes for r in rows.tolist()}) / pairs
+    for depth, share in together.items():
+        assert abs(share - recall_at(depth, percent, trees)) < 0.02, (depth, share)
+    assert together[deepest(percent, trees)] > 0.975 and recall_at(deepest(percent, trees), percent, trees) >= 0.99
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_recall_against_all_pairs(spark, percent):
+    from segloom.llm.near_dedup import near_duplicates
+
+    rng, texts = random.Random(percent), []
+    for _ in range(60):  # pairs about the threshold
+        base = [f"w{rng.randrange(400)}" for _ in range(160)]
+        copy = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            copy[rng.randrange(160)] = f"e{rng.randrange(99)}"
+        texts += [" ".join(base), " ".join(copy)]
+    _, wanted = links(texts, percent)
+    for node in (8,):
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs_of(spark, texts), percent=percent, node=node).collect()}
+        linked = [i for i, c in enumerate(wanted) if c != i]
+        assert len(linked) > 20 and sum(got[i] == wanted[i] for i in linked) >= 0.99 * len(linked)
+        assert all(got[i] in (i, c) for i, c in enumerate(wanted))
+
+
+def test_hot_keys(spark):
+    """One text, line and page in a third of all rows, with limits so small that no table is broadcast whole."""
+    from segloom.llm.near_dedup import near_duplicates
+    from segloom.llm.repeated_spans import drop_repeated_spans
+    from segloom.llm.warc import archive_folder, read_records, write_archives
+
+    rng, small = random.Random(9), {"most": 1, "hot": 5}
+    line = " ".join(f"l{i}" for i in range(60)) + ". "
+    texts = [t for k, x in enumerate(sample(9, 60, 5000, 90)) for t in ((line + x, "the same text of six words", x + " " + line) if k % 2 else (x, x, line + x))]
+    rng.shuffle(texts)
+    docs = docs_of(spark, texts)
+    every = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
+    assert every(near_duplicates(docs, **small)) == every(near_duplicates(docs))
+    assert every(drop_repeated_spans(docs, **small)) == every(drop_repeated_spans(docs))
+    assert sum(line.strip() in r.text for r in drop_repeated_spans(docs, **small).collect()) == 1
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    folder = archive_folder(spark)
+    got = {r.id: r.refers_to for r in read_records(write_archives(pages, folder, **small), folder).collect()}
+    assert got == {i: (None if texts.index(t) == i else texts.index(t)) for i, t in enumerate(texts)}
+
+
 def test_near_duplicates_odd_rows(spark):
     from segloom.llm.near_dedup import near_duplicates
 
