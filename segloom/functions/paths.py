@@ -90,13 +90,16 @@ def best_paths(scores: Sequence[np.ndarray], penalty: np.ndarray, between: Seque
     return out
 
 
-def transfer(scores: np.ndarray, penalty: float, between: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """The max-plus matrix of a block of frames and the step out of it: from the label of its first frame to that of the next
+def transfers(scores: Sequence[np.ndarray], penalty: float, between: Sequence[tuple[np.ndarray, np.ndarray] | None]) -> list[np.ndarray]:
+    """The max-plus matrices of blocks of frames and the step out of each: from the label of its first frame to that of the next
     block's first frame."""
-    k = scores.shape[1]
-    start = np.where(np.eye(k, dtype=bool), 0.0, -np.inf)[None]
-    best, _, _ = forward([np.concatenate([scores, np.zeros((1, k))])], np.array([penalty]), [between], start, back=False)
-    return best[0]
+    k = scores[0].shape[1]
+    whole = [np.concatenate([x, np.zeros((1, k))]) for x in scores]
+    start = np.broadcast_to(np.where(np.eye(k, dtype=bool), 0.0, -np.inf), (len(scores), k, k))
+    best, _, order = forward(whole, np.full(len(scores), penalty), between, start, back=False)
+    out = np.empty_like(best)
+    out[order] = best
+    return list(out)
 
 
 def viterbi(scores: np.ndarray, penalty: float = 0.0, boundary: np.ndarray | None = None, weight: float = 0.0, eps: float = 1e-4) -> np.ndarray:

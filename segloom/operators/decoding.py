@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from segloom.functions.paths import best_paths, check, clean, clean_segments, transfer, viterbi, weights_of  # noqa: F401
+from segloom.functions.paths import best_paths, check, clean, clean_segments, transfers, viterbi, weights_of  # noqa: F401
 from segloom.functions.vectors import argmax, dot, normalized, sigmoid, softmax
 from segloom.operators.grid import IGNORE
 from segloom.operators.policies import KEYS
@@ -150,8 +150,11 @@ def decode_viterbi(rows: DataFrame, keys: Sequence[str] = KEYS, penalty: float =
 
     @F.pandas_udf("array<double>")
     def matrices(flat: pd.Series, n: pd.Series, prior: pd.Series) -> pd.Series:
-        between = _between(prior, [weight] * len(n), [eps] * len(n))
-        return pd.Series([transfer(np.asarray(x, float).reshape(c, -1), penalty, b).ravel().tolist() for x, c, b in zip(flat, n.tolist(), between, strict=True)], dtype=object)
+        between, out = _between(prior, [weight] * len(n), [eps] * len(n)), [[]] * len(n)
+        for at, scores in _by_labels(flat, n):
+            for i, matrix in zip(at, transfers(scores, penalty, [between[i] for i in at]), strict=True):
+                out[i] = matrix.ravel().tolist()
+        return pd.Series(out, dtype=object)
 
     kinds = ", ".join(f"`{c}` {dict(packed.dtypes)[c]}" for c in every)
 
@@ -171,14 +174,13 @@ def decode_viterbi(rows: DataFrame, keys: Sequence[str] = KEYS, penalty: float =
     @F.pandas_udf("array<int>")
     def befores(flat: pd.Series, n: pd.Series, prior: pd.Series, start: pd.Series, ends: pd.Series) -> pd.Series:
         """The label of a block's first frame for each label after it; of a last block that of its own best path."""
-        between, out = _between(prior, [weight] * len(n), [eps] * len(n)), []
-        for x, c, b, s, end in zip(flat, n.tolist(), between, start, ends.tolist(), strict=True):
-            scores = np.asarray(x, float).reshape(c, -1)
-            k = scores.shape[1]
-            whole = scores if end else np.concatenate([scores, np.zeros((1, k))])
-            goals = np.array([-1]) if end else np.arange(k)
-            m = len(goals)
-            out.append([int(p[0]) for p in best_paths([whole] * m, np.full(m, penalty), [b] * m, np.tile(np.asarray(s, float), (m, 1)), goals)])
+        between, out = _between(prior, [weight] * len(n), [eps] * len(n)), [[] for _ in range(len(n))]
+        for at, scores in _by_labels(flat, n):
+            k = scores[0].shape[1]
+            rows = [(i, x if g < 0 else np.concatenate([x, np.zeros((1, k))]), g) for i, x in zip(at, scores, strict=True) for g in ([-1] if ends.iloc[i] else range(k))]
+            begin = np.array([np.asarray(start.iloc[i], float) for i, _, _ in rows])
+            for (i, _, _), path in zip(rows, best_paths([x for _, x, _ in rows], np.full(len(rows), penalty), [between[i] for i, _, _ in rows], begin, np.array([g for _, _, g in rows])), strict=True):
+                out[i].append(int(path[0]))
         return pd.Series(out, dtype=object)
 
     def following(track: pd.DataFrame) -> pd.DataFrame:

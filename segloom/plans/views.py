@@ -85,6 +85,13 @@ def label_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_mean(rows, ["label_idx"], "embedding").withColumnRenamed("embedding", "vec")
 
 
+def long_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve tracks that lengthen with the table, a frame an order line, with whole numbers as scores of three labels."""
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 12).alias("track_id"), "l_orderkey", "l_linenumber", F.array(F.col("l_quantity").cast("double"), F.round(F.col("l_discount") * 500).cast("double"), F.round(F.col("l_tax") * 600).cast("double")).alias("scores"))
+    at = F.row_number().over(Window.partitionBy("track_id").orderBy("l_orderkey", "l_linenumber", "scores")) - 1
+    return rows.select("track_id", at.alias("frame_idx"), "scores").withColumns({"start_time": F.col("frame_idx") * 0.5, "end_time": (F.col("frame_idx") + 1) * 0.5})
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("track_id"), F.col("turn").alias("frame_idx"), F.col("turn").cast("double").alias("start_time"), (F.col("turn") + 1).cast("double").alias("end_time"), F.col("role").alias("label"))
 
@@ -127,6 +134,7 @@ VIEWS = {
     "grid": "SELECT track_id, CAST(i AS INTEGER) AS idx, i * 21600.0 AS start_time, (i + 1) * 21600.0 AS end_time FROM (SELECT DISTINCT track_id FROM ev), range(120) AS r(i)",
     "beats": "SELECT track_id, idx AS beat_idx, start_time AS time, idx % 4 = 0 AS is_downbeat FROM sections_a",
     "frames": "SELECT vec_id // 50 AS track_id, CAST(vec_id % 50 AS INTEGER) AS frame_idx, (vec_id % 50) * 0.5::DOUBLE AS time, (vec_id % 50) * 0.5::DOUBLE AS start_time, (vec_id % 50 + 1) * 0.5::DOUBLE AS end_time, embedding::DOUBLE[] AS vec, embedding[1:10]::DOUBLE[] AS scores, CASE WHEN vec_id % 11 = 0 THEN -100 ELSE label::INTEGER END AS target FROM embeddings",
+    "long_frames": "SELECT track_id, frame_idx, scores, frame_idx * 0.5::DOUBLE AS start_time, (frame_idx + 1) * 0.5::DOUBLE AS end_time FROM (SELECT track_id, scores, CAST(row_number() OVER (PARTITION BY track_id ORDER BY l_orderkey, l_linenumber, scores) - 1 AS BIGINT) AS frame_idx FROM (SELECT l_suppkey % 12 AS track_id, l_orderkey, l_linenumber, [CAST(l_quantity AS DOUBLE), CAST(round(l_discount * 500) AS DOUBLE), CAST(round(l_tax * 600) AS DOUBLE)] AS scores FROM lineitem))",
     "label_vectors": "SELECT label_idx, list(x ORDER BY i) AS vec FROM (SELECT label::INTEGER AS label_idx, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) AS r(i) GROUP BY ALL) GROUP BY label_idx",
     "turns": "SELECT conv_id AS track_id, turn AS frame_idx, turn::DOUBLE AS start_time, (turn + 1)::DOUBLE AS end_time, role AS label FROM conversations",
     "document_tracks": "SELECT doc_id AS track_id, source AS dataset, doc_id AS manifest_ord, n_chars FROM documents",

@@ -481,6 +481,19 @@ def _(spark, d):
     return D.decode_viterbi(W.frames(spark, d), penalty=0.3).select("track_id", "frame_idx", "label_idx")
 
 
+@query("d05_long_tracks", """WITH RECURSIVE given AS MATERIALIZED (SELECT track_id, list(scores ORDER BY frame_idx) AS s FROM long_frames GROUP BY track_id),
+    f AS (SELECT track_id, frame_idx AS t, scores AS best, [0, 0, 0] AS back FROM long_frames WHERE frame_idx = 0
+          UNION ALL
+          SELECT track_id, t + 1, list_transform([1, 2, 3], lambda j: list_max(list_transform([1, 2, 3], lambda i: best[i] - CASE WHEN i = j THEN 0 ELSE 20 END)) + x[j]),
+                 list_transform([1, 2, 3], lambda j: CAST(list_position(list_transform([1, 2, 3], lambda i: best[i] - CASE WHEN i = j THEN 0 ELSE 20 END), list_max(list_transform([1, 2, 3], lambda i: best[i] - CASE WHEN i = j THEN 0 ELSE 20 END))) AS INTEGER))
+          FROM (SELECT f.*, g.s[t + 2] AS x FROM f JOIN given g USING (track_id)) WHERE x IS NOT NULL),
+    w AS MATERIALIZED (SELECT track_id, list(back ORDER BY t) AS b, CAST(list_position(last(best ORDER BY t), list_max(last(best ORDER BY t))) AS INTEGER) AS fin FROM f GROUP BY track_id),
+    p AS (SELECT track_id, CAST(len(b) AS BIGINT) AS t, fin AS k FROM w UNION ALL SELECT track_id, t - 1, w.b[t][k] FROM p JOIN w USING (track_id) WHERE t > 1)
+    SELECT track_id, CAST(t - 1 AS INTEGER) AS frame_idx, CAST(k - 1 AS INTEGER) AS label_idx FROM p""")
+def _(spark, d):
+    return D.decode_viterbi(W.long_frames(spark, d), penalty=20.0).select("track_id", "frame_idx", "label_idx")
+
+
 @query("d06_merge_frames", "WITH t AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY track_id ORDER BY frame_idx) = label THEN 0 ELSE 1 END AS ch FROM turns), u AS (SELECT *, sum(ch) OVER (PARTITION BY track_id ORDER BY frame_idx) - 1 AS island FROM t) SELECT track_id, CAST(island AS BIGINT) AS idx, arg_min(start_time, frame_idx) AS start_time, arg_max(end_time, frame_idx) AS end_time, any_value(label) AS label FROM u GROUP BY track_id, island")
 def _(spark, d):
     return D.merge_frames(W.turns(spark, d)).select("track_id", F.col("idx").cast("long").alias("idx"), "start_time", "end_time", "label")
