@@ -61,21 +61,30 @@ def _tag(tolerance: float) -> str:
     return f"{tolerance:g}".replace(".", "_")
 
 
-def _matches(query: DataFrame, reference: DataFrame, keys: Sequence[str], tolerances: Sequence[float], name: str) -> DataFrame:
+def _matches(query: DataFrame, reference: DataFrame, keys: Sequence[str], tolerances: Sequence[float], name: str, spread: str | None = None) -> DataFrame:
+    """By track how many query boundaries there are and have a neighbour within each tolerance; with ``spread`` also the median
+    and the 90th percentile of the distances, as columns of that name."""
     near = nearest(query, reference.select(*keys, "time"), keys)
-    return near.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), *[F.count_if(F.coalesce(F.col("distance") <= t, F.lit(False))).alias(f"{name}_within_{_tag(t)}") for t in tolerances])
+    within = [F.count_if(F.coalesce(F.col("distance") <= t, F.lit(False))).alias(f"{name}_within_{_tag(t)}") for t in tolerances]
+    middle = [F.median("distance").alias(f"{spread}_median"), F.percentile("distance", F.lit(0.9)).alias(f"{spread}_p90")] if spread else []
+    return near.groupBy(*keys).agg(F.count("*").alias(f"n_{name}"), *within, *middle)
 
 
 def tolerance_scores(reference: DataFrame, estimate: DataFrame, tracks: DataFrame, keys: Sequence[str] = KEYS, tolerances: Sequence[float] = (0.5, 3.0)) -> DataFrame:
     """Precision, recall and F of boundaries with any neighbour within each tolerance (not one to one), and the counts
     of those without. A side without boundaries scores 1 if the other has none either, else 0."""
-    out = tracks.select(*keys).distinct().join(_matches(estimate, reference, keys, tolerances, "est"), list(keys), "left").join(_matches(reference, estimate, keys, tolerances, "ref"), list(keys), "left").fillna(0)
+    return _tolerance(_matches(reference, estimate, keys, tolerances, "ref"), _matches(estimate, reference, keys, tolerances, "est"), tracks, keys, tolerances)
+
+
+def _tolerance(ref: DataFrame, est: DataFrame, tracks: DataFrame, keys: Sequence[str], tolerances: Sequence[float], keep: Sequence[str] = ()) -> DataFrame:
+    counts = [c for side in (ref, est) for c in side.columns if c not in (*keys, *keep)]
+    out = tracks.select(*keys).distinct().join(est, list(keys), "left").join(ref, list(keys), "left").fillna(0, counts)
     columns: list[Column] = []
     for t in tolerances:
         share = lambda side, other, t=t: F.when(F.col(f"n_{side}") > 0, F.col(f"{side}_within_{_tag(t)}") / F.nullif(f"n_{side}", F.lit(0))).otherwise((F.col(f"n_{other}") == 0).cast("double"))
         p, r = share("est", "ref"), share("ref", "est")
         columns += [p.alias(f"precision_{_tag(t)}"), r.alias(f"recall_{_tag(t)}"), f_measure(p, r).alias(f"f_{_tag(t)}"), (F.col("n_est") - F.col(f"est_within_{_tag(t)}")).alias(f"added_{_tag(t)}"), (F.col("n_ref") - F.col(f"ref_within_{_tag(t)}")).alias(f"removed_{_tag(t)}")]
-    return out.select(*keys, "n_ref", "n_est", *columns)
+    return out.select(*keys, "n_ref", "n_est", *columns, *keep)
 
 
 def gap_overlap(sections: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -91,19 +100,21 @@ def consecutive_duplicates(sections: DataFrame, keys: Sequence[str] = KEYS) -> D
 
 
 def compare_tracks(original: DataFrame, revised: DataFrame, keys: Sequence[str] = KEYS, metrics: DataFrame | None = None) -> DataFrame:
-    """C11: one wide row for each track of both sets. ``metrics`` (E1) is joined if given."""
+    """C11: one wide row for each track of both sets. ``metrics`` (E1) is joined if given. Each side's sections and boundaries
+    are grouped once for all that is counted of them."""
     def side(s: DataFrame, name: str) -> DataFrame:
-        length = F.col("end_time") - F.col("start_time")
-        base = s.groupBy(*keys).agg(F.max("end_time").alias("duration"), F.count("*").alias("n_segments"), F.count_distinct("label").alias("n_labels"), F.avg(length).alias("mean_segment"), F.median(length).alias("median_segment"))
-        both = base.join(consecutive_duplicates(s, keys), list(keys)).join(gap_overlap(s, keys), list(keys))
-        return both.select(*keys, *[F.col(c).alias(f"{c}_{name}") for c in both.columns if c not in keys])
+        w, length = window(keys, "idx"), F.col("end_time") - F.col("start_time")
+        beside = s.withColumn("_base", label_base("label")).withColumns({"_same": F.coalesce(F.col("_base") == F.lag("_base").over(w), F.lit(False)), "_d": F.coalesce(F.lead("start_time").over(w) - F.col("end_time"), F.lit(0.0))})
+        aggs = {"duration": F.max("end_time"), "n_segments": F.count("*"), "n_labels": F.count_distinct("label"), "mean_segment": F.avg(length), "median_segment": F.median(length), "consecutive_duplicates": F.count_if("_same"), "gap_seconds": F.sum(F.greatest("_d", F.lit(0.0))), "overlap_seconds": F.sum(F.greatest(-F.col("_d"), F.lit(0.0)))}
+        return beside.groupBy(*keys).agg(*[x.alias(f"{c}_{name}") for c, x in aggs.items()])
 
     a, b = side(original, "original"), side(revised, "revised")
-    shared = a.select(*keys).join(b.select(*keys), list(keys))
     oi, ri = internal_boundaries(original, keys), internal_boundaries(revised, keys)
-    way = lambda q, r, name: nearest_distances(q, r, keys).groupBy(*keys).agg(F.median("distance").alias(f"{name}_median"), F.percentile("distance", F.lit(0.9)).alias(f"{name}_p90"))
-    parts = [a, b, agreement(original, revised, keys), tolerance_scores(oi, ri, shared, keys), way(oi, ri, "original_to_revised"), way(ri, oi, "revised_to_original"), *([metrics] if metrics is not None else [])]
-    out = reduce(lambda x, y: x.join(y, list(keys), "left"), parts, shared)
+    both, tolerances = a.join(b, list(keys)), (0.5, 3.0)
+    spreads = [f"{x}_{y}" for x in ("original_to_revised", "revised_to_original") for y in ("median", "p90")]
+    near = _tolerance(_matches(oi, ri, keys, tolerances, "ref", "original_to_revised"), _matches(ri, oi, keys, tolerances, "est", "revised_to_original"), both, keys, tolerances, spreads)
+    parts = [agreement(original, revised, keys), near, *([metrics] if metrics is not None else [])]
+    out = reduce(lambda x, y: x.join(y, list(keys), "left"), parts, both)
     delta = {f"{c}_delta": F.col(f"{c}_revised") - F.col(f"{c}_original") for c in ("duration", "n_segments")}
     return out.withColumns(delta | {"n_boundaries_delta": F.col("n_est") - F.col("n_ref")})
 
