@@ -382,6 +382,34 @@ def test_quality(spark):
         assert top_k_threshold(table, "v", k, 8) == sorted(values, reverse=True)[k - 1]
 
 
+def test_quality_weights(spark):
+    """Weights, noise, size and members of the sample from counts of the words and word pairs themselves."""
+    import math
+
+    from segloom.llm.quality import BUCKETS, gumbel, resample
+
+    texts = [*sample(31, 80, 6, 40), *(" ".join(random.Random(i).choice(["w7", "w8", "w1"]) for _ in range(30)) for i in range(40)), None, "", "w1"]
+    rows, target = docs_of(spark, texts), spark.range(60).select(F.col("id").alias("doc_id"))
+    fits = {r.doc_id for r in target.where(F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(4)) != 0).collect()}
+    noise = {r.doc_id: r.g for r in rows.select("doc_id", gumbel(7, "doc_id").alias("g")).collect()}
+
+    def grams(t):
+        w = (t or "").split()
+        return [*w, *("twice" if a == b else (a, b) for a, b in zip(w, w[1:], strict=False))]
+
+    raw, good = (collections.Counter(g for i, t in enumerate(texts) if pick(i) for g in grams(t)) for pick in (lambda i: True, fits.__contains__))
+    share = lambda c, g: math.log((c[g] + 1) / (sum(c.values()) + BUCKETS))
+    weight = [sum(share(good, g) - share(raw, g) for g in grams(t)) for t in texts]
+    got = {r.doc_id: r for r in resample(rows, target).collect()}
+    for i, x in enumerate(weight):
+        assert (got[i].n_grams, got[i].log_weight, got[i].gumbel_score) == (len(grams(texts[i])), pytest.approx(x, abs=1e-9), pytest.approx(x + noise[i], abs=1e-9))
+    low = min(min(weight[i] for i in set(range(60)) - fits), 0.0) - 8
+    k = sum(x >= low for x in weight)
+    best = sorted(range(len(texts)), key=lambda i: -(weight[i] + noise[i]))
+    assert {i for i in got if got[i].selected} == set(best[:k]) and 60 <= k < len(texts)
+    assert {r.doc_id for r in resample(rows, target, k=25).where("selected").collect()} == set(best[:25])
+
+
 def test_chat(spark):
     from segloom.llm.chat import BODY, END, TURN, escape, format_conversations, read_back, unescape
 
@@ -464,6 +492,55 @@ def test_repeated_stretches(spark):
     assert [got[i].n_removed > 0 for i in range(len(texts))] == [w != x for w, x in zip(texts, wanted, strict=True)]
 
 
+def slow_spans(texts):
+    """What repeated runs leave of texts given as sentences (lists of words): words that no later run covers."""
+    seen, out = {"run": set(), "stretch": set()}, []
+    for sentences in texts:
+        w, gone, own = [x.lower() for s in sentences for x in s], set(), {"run": {}, "stretch": {}}
+        at = [0, *np.cumsum([len(s) for s in sentences]).tolist()]
+        found = []
+        for i, s in enumerate(sentences):
+            e = i + 1
+            while len(s) < 50 and e <= len(sentences) and (e < i + 2 or at[e] - at[i] < 25):
+                e += 1
+            if e <= len(sentences):
+                found.append(("run", at[i], at[e]))
+        found += [("stretch", i, i + 50) for i in range(len(w) - 49)]
+        for kind, a, b in found:
+            x = tuple(w[a:b])
+            first = own[kind].setdefault(x, (a, b))
+            if x in seen[kind] or (a > first[0] if kind == "run" else a >= first[1]):
+                gone |= set(range(a, b))
+        for kind in seen:
+            seen[kind] |= set(own[kind])
+        out.append([x for i, x in enumerate(x for s in sentences for x in s) if i not in gone])
+    return out
+
+
+def test_sentence_runs_against_all_runs(spark):
+    from segloom.llm.repeated_spans import drop_repeated_spans
+
+    rng = random.Random(21)
+    pool = [[*(f"p{k}x{i}" for i in range(rng.choice([5, 9, 14, 26, 51]))), f"end{k}."] for k in range(14)]
+    texts = []
+    for _ in range(60):
+        some = [list(rng.choice(pool)) for _ in range(rng.randrange(1, 9))]
+        if rng.random() < 0.4:
+            rng.choice(some)[0] += str(rng.randrange(10**6))
+        if rng.random() < 0.3:
+            some = [[x.upper() for x in s] for s in some]
+        texts.append(some)
+    rows = [rng.choice([" ", "\n", "  \n"]).join(" ".join(s) for s in t) for t in texts]
+    for limits in ({}, {"most": 1, "hot": 3}):
+        got = {r.doc_id: r for r in drop_repeated_spans(docs_of(spark, rows), **limits).collect()}
+        wanted = slow_spans(texts)
+        assert [got[i].text.split() for i in range(len(texts))] == wanted and [got[i].n_sentences for i in range(len(texts))] == [len(t) for t in texts]
+    assert 10 < sum(len(x) < sum(map(len, t)) for x, t in zip(wanted, texts, strict=True)) < 60
+    odd = {r.doc_id: r.text for r in drop_repeated_spans(docs_of(spark, ODD)).collect()}
+    for i, t in enumerate(ODD):
+        assert odd[i] == t if i < 8 else odd[i].split() == slow_spans([[t.split()]])[0]
+
+
 def every_path(chunk, known):
     out = []
 
@@ -592,6 +669,20 @@ def test_pipeline(spark, sf):
             assert docs.where("NOT round_trip").count() == 0
 
 
+def test_pipeline_on_odd_rows(spark, sf):
+    import corpus_pipeline
+    from segloom.llm.common import stored
+
+    docs = docs_of(spark, [*ODD, *ODD, "漢字仮名" * 5000, "#" * 20_000]).unionByName(docs_of(spark, ["no id"]).withColumn("doc_id", F.lit(None).cast("long")))
+    for given in (docs, docs.limit(0)):
+        rows = given
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stored(stage(spark, rows, sf), f"odd_{name}")
+            assert name == "pieces" or rows.columns == docs.columns
+        assert rows.where("NOT round_trip").count() == 0
+        assert given is not docs or 5 <= rows.count() < docs.count()
+
+
 def test_queries_match_sql(spark, sf):
     import duckdb
 
