@@ -122,17 +122,17 @@ class Search:
             self.terms.append(t[order])
             self.weights.append(w[order])
             self.focus.append(np.sqrt(np.cumsum((w[order].astype(float) ** 2)[::-1]))[::-1])  # length of the terms from each on
-        self.least, self.k = least.astype(np.int64).copy(), k
+        self.length = np.array([f[0] if len(f) else 0.0 for f in self.focus])
+        self.least, self.k = np.maximum(least.astype(np.int64), 1), k
         self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(terms)
         self.pruned = self.candidates = self.scored = 0
 
     def bucket(self, b: _Bucket) -> None:
         n = len(b.id)
-        for q, (terms, weights, left) in enumerate(zip(self.terms, self.weights, self.focus, strict=True)):
-            least = max(1, int(self.least[q]))
-            if not len(terms) or left[0] * b.longest * SLACK < least:
-                self.pruned += n
-                continue
+        alive = np.flatnonzero(self.length * b.longest * SLACK >= self.least)  # Cauchy-Schwarz
+        self.pruned += n * (len(self.terms) - len(alive))
+        for q in alive.tolist():
+            terms, weights, left, least = self.terms[q], self.weights[q], self.focus[q], int(self.least[q])
             focus = int(np.searchsorted(-left * b.longest * SLACK, -least, "right"))  # the terms from here on can't reach it alone
             score, square = np.zeros(n, np.int64), np.zeros(n)
             met = np.zeros(n, bool)
