@@ -66,7 +66,7 @@ def _grams(long: int) -> tuple[int, int]:
     return size, long - size + 1
 
 
-def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes have their bit set in a filter."""
     place = hashes >> np.uint64(65 - (len(bits) * 8).bit_length())
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
@@ -99,7 +99,7 @@ def runs_from(block: Words, least: int, least_words: int, long: int, repeated: n
     of = _hashers(block)
     size, among = _grams(long)
     at, hashes = anchors(block, size, among, of[0])
-    at = at[_passes(repeated, hashes)]
+    at = at[passes(repeated, hashes)]
     n = len(block.code)
     following = np.full(n + 1, n, np.int64)  # the next such anchor
     following[at] = at
@@ -149,7 +149,7 @@ def _emit(batches: Iterator[pa.RecordBatch], least: int, least_words: int, long:
         for block in lexer.blocks(batch.column(1)):
             at, _, h1, h2, stretch = runs_from(block, least, least_words, long, repeated.value)
             if again is not None:
-                some = stretch | _passes(again.value, h1)
+                some = stretch | passes(again.value, h1)
                 at, h1, h2 = at[some], h1[some], h2[some]
             text = np.searchsorted(block.first, at, "right") - 1
             first = np.unique(_local_first(h1, h2, text, at))
@@ -195,7 +195,7 @@ def _lengths(lists: pa.Array) -> pa.Array:
     return pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
 
 
-def _filter(hashes: DataFrame, count: int) -> np.ndarray:
+def bit_filter(hashes: DataFrame, count: int) -> np.ndarray:
     """A bit for each value of the leading bits of the column ``h``, set where a row has it."""
     bits = min(BITS, max(BUCKET, (16 * count).bit_length()))
     place = F.shiftrightunsigned("h", 64 - bits)
@@ -230,12 +230,12 @@ def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     chosen = rows.select("text").mapInArrow(lambda it: _emit_anchors(it, long), "h long, n long")
     chosen = stored(chosen.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeated_anchors")
-    some = docs.sparkSession.sparkContext.broadcast(_filter(chosen, chosen.count()))
+    some = docs.sparkSession.sparkContext.broadcast(bit_filter(chosen, chosen.count()))
     runs = rows.mapInArrow(lambda it: _emit(it, least, least_words, long, some), f"h1 long, h2 int, id {kind}")
     repeated = runs.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     repeated = stored(repeated, "repeated_runs")
     seen = repeated.where("h2 <> 0").select(F.col("h1").alias("h"))
-    seen = docs.sparkSession.sparkContext.broadcast(_filter(seen, seen.count()))
+    seen = docs.sparkSession.sparkContext.broadcast(bit_filter(seen, seen.count()))
     runs = rows.mapInArrow(lambda it: _emit(it, least, least_words, long, some, seen), f"h1 long, h2 int, id {kind}")
     later = join_counted(runs, repeated, ["h1", "h2"], "id", most, hot).where("n IS NOT NULL").where(~F.col("id").eqNullSafe(F.col("first"))).select("id", "h1")
     later = stored(later, "later_runs")

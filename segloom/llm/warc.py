@@ -9,12 +9,14 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segloom.llm.common import BROADCAST_ROWS, HOT_ROWS, join_counted, scratch_path, stored
+from segloom.llm.repeated_spans import bit_filter, passes
 
 #: Bytes of an archive before the next begins; of a run of records that one task reads; between records that are read together.
 ARCHIVE_BYTES, SPAN_BYTES, GAP_BYTES, READ_BYTES = 256 << 20, 8 << 20, 64 << 10, 4 << 20
@@ -106,18 +108,33 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     index, stored: file, offset, length, url, digest, record_type, id.
 
     Of rows with equal payloads (the UTF-8 of the html, null: empty) of at least ``min_bytes`` bytes the smallest id is a
-    response and the others revisit it. Only digests are grouped; the payloads stay where they are read, unless repeated
-    digests are over ``most``: then rows go by digest, those of a digest of over ``hot`` rows spread by id. Repeated rows with the smallest id are all responses, as are rows of a group without
+    response and the others revisit it. Only digests are grouped, and payloads stay where they are read. If over ``most``
+    digests repeat, rows whose digest may be one of them, by a filter of 64 MB at most, go by digest, those of a digest of
+    over ``hot`` rows spread by id; all other payloads stay. Repeated rows with the smallest id are all responses, as are rows of a group without
     ids. Each task writes files of its own name, and only files of tasks that ended are in the index, so lost or repeated
     tasks leave no trace. Null urls leave the header out. Other columns are not read; an empty table has an empty index.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1(F.encode("html", "utf-8"))))
     same = rows.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL")
-    linked = join_counted(rows, stored(same, "payloads"), ["sha"], "id", most, hot)
-    refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    made = linked.select("id", "url", "html", refers.alias("refers_to")).mapInArrow(lambda it: _write(it, folder, date, level, archive_bytes), INDEX_DDL)
-    return stored(made, "warc_index")
+    same = stored(same, "payloads")
+    refers = F.when((F.octet_length("html") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
+    write = lambda rows: stored(rows.select("id", "url", "html", "refers_to").mapInArrow(lambda it: _write(it, folder, date, level, archive_bytes), INDEX_DDL), "warc_index")
+    repeated = same.count()
+    if repeated <= most:
+        return write(rows.join(F.broadcast(same), "sha", "left").select("*", refers))
+    marked = rows.withColumn("h", F.xxhash64("sha"))
+    bits = pages.sparkSession.sparkContext.broadcast(bit_filter(same.select(F.xxhash64("sha").alias("h")), repeated))
+    side = lambda inside: marked.mapInArrow(lambda it: _sift(it, bits, inside), "id long, url string, html string, sha binary, h long").drop("h")
+    alone = write(side(False).withColumn("refers_to", F.lit(None).cast("long")))
+    return alone.unionByName(write(join_counted(side(True), same, ["sha"], "id", most, hot).select("*", refers)))
+
+
+def _sift(batches: Iterator[pa.RecordBatch], bits, inside: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose digest is in the filter, or not."""
+    for batch in batches:
+        found = passes(bits.value, batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64))
+        yield batch.filter(pa.array(found if inside else ~found))
 
 
 def _fetch(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Iterator[pa.RecordBatch]:
