@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -188,13 +189,6 @@ def _mapper(tests, window: int, shard_bytes: int, schema: pa.Schema) -> Callable
                 rows = batch.slice(block.rows.start, block.rows.stop - block.rows.start)
                 texts = rows.num_rows
                 hit, pair_text, (pair_item,), longest = _find(block, known, window)
-                if batch.num_columns > 2:  # what earlier passes found
-                    was, off = rows.column(2).combine_chunks() if isinstance(rows.column(2), pa.ChunkedArray) else rows.column(2), block.first
-                    o = was.offsets.to_numpy()
-                    flat = was.values.to_numpy().reshape(-1, 2)
-                    for t in range(texts):
-                        for a, b in flat[o[t] // 2 : o[t + 1] // 2]:
-                            hit[off[t] + a : off[t] + b] = True
                 text_of = block.text_of()
                 inner = np.zeros(len(hit), bool)
                 inner[1:] = hit[:-1] & (text_of[1:] == text_of[:-1])
@@ -220,8 +214,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Each task cuts its texts into shards of about ``shard_bytes`` (a longer text is a shard of its own), sorts the shard's
     word suffixes and searches them for every suffix of the benchmark, as far as the window: ``window`` words, or the whole
     item if it has fewer. Every occurrence of a window is marked, and each match is followed to its end for the longest one.
-    Nothing is shuffled. The benchmark is the query set: it goes to the tasks in blocks of at most ``bench_bytes`` of text
-    (and one item), one pass over the documents for each block; a pass carries on the spans and items of those before it.
+    The benchmark is the query set: it goes to the tasks in blocks of at most ``bench_bytes`` of text (and one item), one pass
+    over the documents for each block. With one block nothing is shuffled; with several the texts are stored once, a pass keeps
+    the rows with hits, and those of all passes are brought together by row.
 
     Words are compared after lower-casing A-Z, by 64-bit hashes. Null and empty texts have no words and no hits; items
     without words match nothing; an item without an id is named 'null', repeated item ids count once. Without documents
@@ -232,47 +227,44 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     passes = 1 + total // bench_bytes
     kind = dict(docs.dtypes)[id_col]
-    schema = f"id {kind}, n_words long, hit_spans array<int>, item_ids array<string>, longest_words long, longest_item string, longest_at long"
-    found = None
-    for k in range(passes):
-        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) if passes > 1 else items
+    schema = "n_words long, hit_spans array<int>, item_ids array<string>, longest_words long, longest_item string, longest_at long"
+    fields = [("n_words", pa.int64()), ("hit_spans", pa.list_(pa.int32())), ("item_ids", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64())]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def search(texts: DataFrame, block: DataFrame, kind: str, arrow: pa.DataType) -> DataFrame:
         tests = spark.sparkContext.broadcast(Tests([(r.i, r.t) for r in block.collect()], window))
-        rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")) if found is None else found
-        arrow = pa.schema([("id", _arrow_type(docs, id_col)), ("n_words", pa.int64()), ("hit_spans", pa.list_(pa.int32())), ("item_ids", pa.list_(pa.string())), ("longest_words", pa.int64()), ("longest_item", pa.string()), ("longest_at", pa.int64())])
-        if found is None:
-            if passes == 1:
-                out = rows.mapInArrow(_mapper(tests, window, shard_bytes, arrow), schema)
-                break
-            found = rows.mapInArrow(_carry(tests, window, shard_bytes, arrow), f"id {kind}, text string, {schema.split(', ', 1)[1]}")
-        else:
-            found = rows.mapInArrow(_carry(tests, window, shard_bytes, arrow), f"id {kind}, text string, {schema.split(', ', 1)[1]}")
-        found = stored(found, "searched")
-        out = found.drop("text")
+        return texts.mapInArrow(_mapper(tests, window, shard_bytes, pa.schema([("id", arrow), *fields])), f"id {kind}, {schema}")
+
+    if passes == 1:
+        out = search(rows, items, kind, _arrow_type(docs, id_col))
+    else:
+        texts = stored(rows.withColumn("row", F.monotonically_increasing_id()), "searched_texts")
+        found = []
+        for k in range(passes):
+            block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
+            hits = search(texts.select(F.col("row").alias("id"), "text"), block, "long", pa.int64())
+            found.append(stored(hits if k == 0 else hits.where("size(hit_spans) > 0"), "searched"))
+        best = F.min(F.struct((-F.col("longest_words")).alias("n"), "longest_at", F.coalesce("longest_item", F.lit("")).alias("i"), "longest_item"))
+        each = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), best.alias("b"))
+        each = each.select("id", "n_words", "hit_spans", "item_ids", (-F.col("b.n")).alias("longest_words"), "b.longest_item", "b.longest_at").mapInArrow(_merge_spans, f"id long, {schema}")
+        ids = texts.select("row", F.col("id").alias("own"))
+        out = each.join(ids, each["id"] == ids["row"]).drop("id", "row").withColumnRenamed("own", "id")
+        out = out.select("id", *[f[0] for f in fields])
     return out.withColumnRenamed("id", id_col).withColumn("item_ids", F.array_sort("item_ids"))
 
 
-def _carry(tests, window: int, shard_bytes: int, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """As _mapper, for one pass of several: the text stays, and what earlier passes found is added."""
-    inner = _mapper(tests, window, shard_bytes, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            had = batch.num_columns > 2
-            given = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)] + ([batch.column(3).cast(pa.list_(pa.int32()))] if had else []), names=["id", "text", "spans"][: 3 if had else 2])
-            got = pa.Table.from_batches(list(inner(iter([given]))), schema).combine_chunks()
-            columns = {c: got.column(c).combine_chunks() for c in schema.names}
-            if had:
-                columns["item_ids"] = pa.array([sorted({*a, *b}) for a, b in zip(columns["item_ids"].to_pylist(), batch.column(4).to_pylist(), strict=True)], pa.list_(pa.string()))
-                rank = lambda n, item, at: (-n, at, item or "")
-                old_best = zip(*[batch.column(k).to_pylist() for k in (5, 6, 7)], strict=True)
-                new_best = zip(*[columns[c].to_pylist() for c in ("longest_words", "longest_item", "longest_at")], strict=True)
-                longer = [rank(*a) <= rank(*b) for a, b in zip(old_best, new_best, strict=True)]
-                for name, old in (("longest_words", 5), ("longest_item", 6), ("longest_at", 7)):
-                    columns[name] = pa.array([b if k else a for a, b, k in zip(columns[name].to_pylist(), batch.column(old).to_pylist(), longer, strict=True)], columns[name].type)
-            full = pa.schema([schema.field("id"), ("text", pa.string()), *[schema.field(c) for c in schema.names[1:]]])
-            yield pa.RecordBatch.from_arrays([columns["id"], batch.column(1).cast(pa.string()), *[columns[c] for c in schema.names[1:]]], schema=full)
-
-    return run
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``hit_spans``, which may overlap and come in any order, as the spans that they cover."""
+    for batch in batches:
+        lists = []
+        for spans in batch.column("hit_spans"):
+            pairs = spans.values.to_numpy(zero_copy_only=False).reshape(-1, 2)
+            pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+            reach = np.maximum.accumulate(pairs[:, 1]) if len(pairs) else pairs[:, 1]
+            new = np.append(True, pairs[1:, 0] > reach[:-1]) if len(pairs) else np.zeros(0, bool)
+            lists.append(np.stack([pairs[new, 0], reach[np.append(new[1:], True)] if len(pairs) else reach], 1).reshape(-1).astype(np.int32))
+        at = batch.schema.get_field_index("hit_spans")
+        yield batch.set_column(at, "hit_spans", pa.array(lists, pa.list_(pa.int32())))
 
 
 def _arrow_type(df: DataFrame, col: str) -> pa.DataType:
