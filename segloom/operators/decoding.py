@@ -7,6 +7,7 @@ are made.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from segloom.functions.vectors import argmax, dot, normalized, sigmoid, softmax
 from segloom.operators.grid import IGNORE
 from segloom.operators.policies import KEYS
 from segloom.plans.scratch import stored
-from segloom.plans.sequences import differs, islands, window
+from segloom.plans.sequences import differs, islands, join_sequences, window
 
 #: Frames of a block of a long track.
 BLOCK = 4096
@@ -345,7 +346,8 @@ def grid_search(rows: DataFrame, reference: DataFrame, sizes: Sequence[int] = (1
     hits = boundary_hits(ref, est, (0.5, 3.0), own_keys).groupBy(*own_keys).agg(*[F.max(F.when(F.col("window") == x, F.col("f"))).alias(name) for x, name in ((0.5, "f05"), (3.0, "f30"))])
     cells = stored(contingency(ref, est, ends, own_keys), "grid_cells")
     counts = segments.groupBy(*own_keys).agg(F.count("*").cast("double").alias("segments"))
-    scores = hits.join(pair_scores(cells, own_keys).select(*own_keys, "pairwise_f"), own_keys, "left").join(entropy_scores(cells, own_keys).select(*own_keys, "nce_f"), own_keys, "left").join(counts, own_keys).fillna(0.0, ["pairwise_f", "nce_f"])
+    parts = [(pair_scores(cells, own_keys).select(*own_keys, "pairwise_f"), "left"), (entropy_scores(cells, own_keys).select(*own_keys, "nce_f"), "left"), (counts, "inner")]
+    scores = reduce(lambda a, b: join_sequences(a, b[0], own_keys, b[1]), parts, hits).fillna(0.0, ["pairwise_f", "nce_f"])
     metrics = ["f05", "f30", "pairwise_f", "nce_f", "segments"]
     aggs = [f(m).alias(f"{m}_{n}") for m in metrics for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"))]
     means = scores.groupBy("setting").agg(F.count("*").alias("num_tracks"), *aggs)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from segloom.operators.grid import IGNORE, adjust_timeline
 from segloom.operators.policies import KEYS
 from segloom.plans.scratch import stored
-from segloom.plans.sequences import nearest, window
+from segloom.plans.sequences import join_sequences, nearest, window
 
 Segments = list[tuple[float, float, str]]
 
@@ -22,7 +22,7 @@ Segments = list[tuple[float, float, str]]
 def adjust_pair(reference: DataFrame, estimate: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both timelines from 0 to the later of the two ends, and that duration. Tracks without one of them are left out."""
     last = lambda df: df.groupBy(*keys).agg(F.max_by("end_time", "idx").alias("_end"))
-    ends = last(reference).join(last(estimate).withColumnRenamed("_end", "_other"), list(keys)).select(*keys, F.greatest("_end", "_other").alias("duration"))
+    ends = join_sequences(last(reference), last(estimate).withColumnRenamed("_end", "_other"), keys).select(*keys, F.greatest("_end", "_other").alias("duration"))
     return adjust_timeline(reference, ends, keys), adjust_timeline(estimate, ends, keys), ends
 
 
@@ -59,7 +59,7 @@ def boundary_hits(reference: DataFrame, estimate: DataFrame, sizes: Sequence[flo
         rows = timeline.groupBy(*keys).agg(times.alias(name))
         return rows.withColumn(name, F.slice(name, F.lit(2), F.greatest(F.size(name) - 2, F.lit(0)))) if trim else rows
 
-    both = lists(reference, "_r").join(lists(estimate, "_e"), list(keys))
+    both = join_sequences(lists(reference, "_r"), lists(estimate, "_e"), keys)
 
     def hits(size: Column) -> Column:  # as count_hits: a walk along both lists, over a step for each of their times
         def step(at: Column, _: Column) -> Column:
@@ -85,7 +85,7 @@ def boundary_deviation(reference: DataFrame, estimate: DataFrame, keys: Sequence
     """Medians of the distance to the nearest boundary of the other side, each way; null where a side has none."""
     r, e = boundaries(reference, keys, trim), boundaries(estimate, keys, trim)
     way = lambda a, b, name: nearest(a, b, keys).groupBy(*keys).agg(F.median("distance").alias(name))
-    return way(r, e, "ref_to_est").join(way(e, r, "est_to_ref"), list(keys), "full_outer")
+    return join_sequences(way(r, e, "ref_to_est"), way(e, r, "est_to_ref"), keys, "full_outer")
 
 
 def _label_steps(timeline: DataFrame, keys: Sequence[str], step: float, name: str) -> DataFrame:
@@ -110,7 +110,7 @@ def contingency(reference: DataFrame, estimate: DataFrame, durations: DataFrame,
     runs = both.select(*keys, "_k", F.last("ref", True).over(upto).alias("ref"), F.last("est", True).over(upto).alias("est"), F.lead("_k").over(w).alias("_next"))
     points = F.floor(F.round(F.col("duration") / F.lit(step), 6)).cast("long")
     n = F.least(F.coalesce("_next", "_points"), "_points") - F.least("_k", "_points")
-    counted = runs.join(durations.select(*keys, points.alias("_points")), list(keys)).withColumn("n", n).where("n > 0")
+    counted = join_sequences(runs, durations.select(*keys, points.alias("_points")), keys).withColumn("n", n).where("n > 0")
     return counted.groupBy(*keys, "ref", "est").agg(F.sum("n").alias("n"))
 
 
@@ -201,7 +201,7 @@ def evaluate(reference: DataFrame, estimate: DataFrame, keys: Sequence[str] = KE
     wide = hits.groupBy(*keys).agg(*[F.max(F.when(F.col("window") == s, F.col(m))).alias(f"{m}_{s:g}".replace(".", "_")) for s in (0.5, 3.0) for m in ("precision", "recall", "f")])
     cells = stored(contingency(ref, est, ends, keys), "evaluated_cells")
     parts = [wide, boundary_deviation(ref, est, keys, trim), pair_scores(cells, keys), entropy_scores(cells, keys), adjusted_information(cells, keys)]
-    return reduce(lambda a, b: a.join(b, list(keys), "left"), parts)
+    return reduce(lambda a, b: join_sequences(a, b, keys, "left"), parts)
 
 
 def evaluate_predictions(references: DataFrame, predictions: DataFrame, tracks: DataFrame, keys: Sequence[str] = KEYS, trim: bool = True) -> DataFrame:

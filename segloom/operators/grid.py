@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from segloom.functions.labels import SILENCE_LIKE, label_base
 from segloom.functions.vectors import vector_mean
 from segloom.operators.policies import KEYS
-from segloom.plans.sequences import asof, differs, nearest, overlap_sweep, window
+from segloom.plans.sequences import asof, differs, join_sequences, nearest, overlap_sweep, window
 
 IGNORE = -100
 T_MIN, T_MAX = "__T_MIN", "__T_MAX"
@@ -128,7 +128,7 @@ def adjust_timeline(sections: DataFrame, tracks: DataFrame, keys: Sequence[str]
     """Sections cut to [0, duration], those outside dropped, and what is missing at either end filled with T_MIN and
     T_MAX. A duration that is not positive raises; tracks without sections have no rows."""
     d = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.raise_error(F.lit("duration must be positive")).cast("double"))
-    inside = sections.select(*keys, "idx", "start_time", "end_time", "label").join(tracks.select(*keys, "duration"), list(keys)).withColumn("duration", d)
+    inside = join_sequences(sections.select(*keys, "idx", "start_time", "end_time", "label"), tracks.select(*keys, "duration"), keys).withColumn("duration", d)
     inside = inside.where((F.col("end_time") > 0) & (F.col("start_time") < F.col("duration")))
     cut = inside.withColumns({"start_time": F.greatest("start_time", F.lit(0.0)), "end_time": F.least("end_time", "duration")})
     # the first and the last section of a track bring the missing ends along, so that the sections are read once

@@ -14,6 +14,13 @@ def window(keys: Sequence[str], *order: str | Column) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
+def join_sequences(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on the sequence's key that is never broadcast. Both sides have rows for every sequence, and Spark takes one that
+    was stored for as small as its files, which run lengths make many times smaller than its rows: broadcast, it would go
+    through the driver whole."""
+    return left.join(right.hint("merge"), list(keys), how)
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: str, changed: Column, name: str = "island") -> DataFrame:
     """Adds the number of the run that each row is in: 0 for the first, one more wherever ``changed`` holds (null: holds)."""
     w = window(keys, order)

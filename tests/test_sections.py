@@ -539,3 +539,15 @@ def test_grid_search(spark):
             assert r[f"{m}_mean"] == pytest.approx(np.mean([y[m] for y in scores])) and r[f"{m}_std"] == pytest.approx(np.std([y[m] for y in scores]), abs=1e-9)
     assert len({r.segments_mean for k, r in got.items() if k[:4] == (1, "mean", "viterbi", 0.6)}) > 2
     assert [r.f30_mean for r in D.top_settings(found, 3).collect()] == pytest.approx(sorted((r.f30_mean for r in got.values()), reverse=True)[:3])
+
+
+def test_stored_sequences_are_not_broadcast(spark):
+    """Small files may hold many rows: joins on a sequence's key are shuffled, whatever the files' size."""
+    from segloom.plans.scratch import stored
+
+    s = made(spark, "a", "b", "a").withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(2000))))
+    keys = ["track_id", "setting"]
+    ref, est, ends = (stored(x, "sequences") for x in E.adjust_pair(s, s, keys))
+    for df in (*E.adjust_pair(s, s, keys), E.boundary_hits(ref, est, (0.5, 3.0), keys), E.boundary_deviation(ref, est, keys), E.contingency(ref, est, ends, keys)):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert E.boundary_hits(ref, est, (0.5,), keys).where("f = 1").count() == 2001
