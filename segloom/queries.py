@@ -1052,13 +1052,13 @@ def _(spark, d):
 def _(spark, d):
     from segloom.sources.annotations import file_identity, pair_annotation_sets
     from segloom.sources.manifests import file_listing
-    from segloom.sources.stores import write_files
+    from segloom.sources.stores import FOLDERS, write_files
 
     docs = W.table(spark, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), "doc_id", F.coalesce("text", F.lit("")).alias("a"))
     changed = F.when(F.col("doc_id") % 7 == 0, F.replace("a", F.lit("e"), F.lit("i"))).when(F.col("doc_id") % 5 == 0, F.concat("a", F.lit("."))).otherwise(F.col("a"))
     original, revised = scratch_path(spark, "original"), scratch_path(spark, "revised")
-    write_files(docs.select("name", F.col("a").alias("value")), original)
-    write_files(docs.where("doc_id % 11 <> 0").select("name", changed.alias("value")), revised)
+    write_files(docs.select("name", F.col("a").alias("value")), original, FOLDERS)
+    write_files(docs.where("doc_id % 11 <> 0").select("name", changed.alias("value")), revised, FOLDERS)
     return file_identity(spark, pair_annotation_sets(file_listing(spark, original), file_listing(spark, revised)), original, revised)
 
 
@@ -1095,10 +1095,10 @@ def _(spark, d):
 
 def _written(spark: SparkSession, tracks: DataFrame, end: str, start: str = "") -> str:
     """A folder with a small file for each track."""
-    from segloom.sources.stores import write_files
+    from segloom.sources.stores import FOLDERS, write_files
 
     folder = scratch_path(spark, "files")
-    write_files(tracks.select(F.concat(F.lit(start), F.col("track_id").cast("string"), F.lit(end)).alias("name"), F.lit("x").alias("value")), folder)
+    write_files(tracks.select(F.concat(F.lit(start), F.col("track_id").cast("string"), F.lit(end)).alias("name"), F.lit("x").alias("value")), folder, FOLDERS)
     return folder
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator, Sequence
 from urllib.parse import quote
 
@@ -12,6 +13,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Sub-folders that files are dealt to by a checksum of their names.
+FOLDERS = 256
+
 
 def write_features(rows: DataFrame, path: str, partition_by: Sequence[str] = ("encoder", "dataset"), order: Sequence[str] = ("track_id", "idx"), tracks: DataFrame | None = None) -> str:
     """Frames, beats or label vectors, one row each; rows of a track stand together and in order in their file.
@@ -53,19 +57,25 @@ def read_features(spark: SparkSession, path: str, track: str = "track_id", **wan
     return rows.join(last, same, "left_semi").drop("run")
 
 
-def write_files(rows: DataFrame, folder: str) -> int:
+def write_files(rows: DataFrame, folder: str, folders: int = 0) -> int:
     """One file for each row (name, value) of different names, and how many there are. A file is written beside its place and
-    then moved there, so that a repeated task leaves whole files only."""
+    then moved there, so that a repeated task leaves whole files only. ``folders``: into how many sub-folders they are dealt, so
+    that several tasks can list them; none unless given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         fs.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = f"{root}/.{uuid.uuid4().hex}"
+                place = f"{root}/{zlib.crc32(name.encode()) % folders:04x}" if folders else root
+                if place not in made:
+                    fs.create_dir(place, recursive=True)
+                    made.add(place)
+                part = f"{place}/.{uuid.uuid4().hex}"
                 with fs.open_output_stream(part) as out:
                     out.write((value or "").encode())
-                fs.move(part, f"{root}/{quote(name, safe=' ')}")
+                fs.move(part, f"{place}/{quote(name, safe=' ')}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     return rows.select("name", F.col("value").cast("string")).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
