@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from segloom.sources.manifests import file_listing, opened
+
 #: Nested annotation files; values are kept as JSON text, as they are strings or objects.
 JAMS_DDL = "annotations array<struct<namespace string, data array<struct<time double, duration double, value string, confidence double>>>>, file_metadata struct<duration double>"
 
@@ -82,19 +88,43 @@ def pair_annotation_sets(original: DataFrame, revised: DataFrame) -> DataFrame:
     """(stem, original_path, revised_path, side) of two listings; side is both, original_only or revised_only."""
     a, b = annotation_files(original).withColumnRenamed("path", "original_path"), annotation_files(revised).withColumnRenamed("path", "revised_path")
     side = F.when(F.col("revised_path").isNull(), "original_only").when(F.col("original_path").isNull(), "revised_only").otherwise("both")
-    return a.join(b, "stem", "full_outer").withColumn("side", side)
+    return a.join(b.hint("merge"), "stem", "full_outer").withColumn("side", side)
 
 
 def file_identity(spark: SparkSession, pairs: DataFrame, original: str, revised: str) -> DataFrame:
-    """Of each pair whether sizes and SHA-256 of the contents are the same; hashes are made where files are read."""
-    files = lambda folder: spark.read.format("binaryFile").load(folder).select("path", "length", "content")
-    return content_identity(pairs, files(original), files(revised))
+    """Of each pair whether sizes and SHA-256 of the contents are the same; hashes are made where files are read, a piece of
+    a file at a time."""
+
+    def files(folder: str) -> DataFrame:
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fs, _, start = opened(folder)
+            for batch in batches:
+                paths, sizes, hashes = batch.column(0).to_pylist(), [], []
+                for path in paths:
+                    size, digest = 0, hashlib.sha256()
+                    with fs.open_input_stream(path[len(start) :]) as data:
+                        while piece := data.read(1 << 20):
+                            size += len(piece)
+                            digest.update(piece)
+                    sizes.append(size)
+                    hashes.append(digest.hexdigest())
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string())], names=["path", "length", "sha"])
+
+        return file_listing(spark, folder).select("path").mapInArrow(digests, "path string, length long, sha string")
+
+    return _identity(pairs, files(original), files(revised))
 
 
 def content_identity(pairs: DataFrame, original: DataFrame, revised: DataFrame) -> DataFrame:
     """S8 of contents (path, length, content) that are read already."""
-    hashed = lambda files, name: files.select(F.col("path").alias(f"{name}_path"), F.col("length").alias(f"{name}_size"), F.sha2("content", 256).alias(f"{name}_sha"))
-    both = pairs.where("side = 'both'").join(hashed(original, "original"), "original_path").join(hashed(revised, "revised"), "revised_path")
+    hashed = lambda files: files.select("path", "length", F.sha2("content", 256).alias("sha"))
+    return _identity(pairs, hashed(original), hashed(revised))
+
+
+def _identity(pairs: DataFrame, original: DataFrame, revised: DataFrame) -> DataFrame:
+    hashed = lambda files, name: files.select(F.col("path").alias(f"{name}_path"), F.col("length").alias(f"{name}_size"), F.col("sha").alias(f"{name}_sha"))
+    # a listing is estimated at a row, so without the hint it would be broadcast
+    both = pairs.where("side = 'both'").join(hashed(original, "original").hint("merge"), "original_path").join(hashed(revised, "revised").hint("merge"), "revised_path")
     return both.select("stem", (F.col("original_size") == F.col("revised_size")).alias("same_size"), (F.col("original_sha") == F.col("revised_sha")).alias("same_sha256"))
 
 

@@ -551,3 +551,28 @@ def test_stored_sequences_are_not_broadcast(spark):
     for df in (*E.adjust_pair(s, s, keys), E.boundary_hits(ref, est, (0.5, 3.0), keys), E.boundary_deviation(ref, est, keys), E.contingency(ref, est, ends, keys)):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
     assert E.boundary_hits(ref, est, (0.5,), keys).where("f = 1").count() == 2001
+
+
+def test_listing_of_folders(spark, tmp_path):
+    """Files in sub-folders and empty files are listed, in tasks; the driver's file index holds none of them."""
+    from segloom.sources import annotations as A
+    from segloom.sources import manifests as M
+    from segloom.sources import stores as S
+
+    rows = spark.createDataFrame([(f"{i} %2.txt", "x" * (i % 3)) for i in range(40)], "name string, value string")
+    assert S.write_files(rows, f"{tmp_path}/a", 8) == 40
+    assert S.write_files(rows.withColumn("value", F.when(F.col("name") == "3 %2.txt", "y").otherwise(F.col("value"))), f"{tmp_path}/b") == 40
+    (tmp_path / "a/.hidden").write_text("z")
+    (tmp_path / "a/c.wav").write_text("")
+    assert 1 < len([x for x in (tmp_path / "a").iterdir() if x.is_dir()]) <= 8
+    listing = M.file_listing(spark, f"{tmp_path}/a", "*.txt")
+    assert sorted(r.stem for r in listing.collect()) == sorted(f"{i} %252" for i in range(40))
+    assert [r.path for r in M.file_listing(spark, f"{tmp_path}/a", "*.wav").collect()] == [f"file:{tmp_path}/a/c.wav"]
+    assert "FileScan" not in listing._jdf.queryExecution().executedPlan().toString()
+    pairs = A.pair_annotation_sets(listing, M.file_listing(spark, f"file://{tmp_path}/b"))
+    same = A.file_identity(spark, pairs, f"{tmp_path}/a", f"file://{tmp_path}/b")
+    tracks = (M.pair_files(listing, listing, "d"), M.pair_prefixed(listing, listing, "d", ""))
+    assert not any("Broadcast" in x._jdf.queryExecution().executedPlan().toString() for x in (pairs, same, *tracks))
+    assert [x.count() for x in tracks] == [40, 40]
+    found = same.collect()
+    assert len(found) == 40 and [(r.stem, r.same_size) for r in found if not r.same_sha256] == [("3 %252", False)]
