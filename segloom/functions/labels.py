@@ -321,9 +321,9 @@ def hash_embedding(col: Column | str, dim: int = 16) -> Column:
     """The SHA-256 bytes of a string, repeated to ``dim`` numbers between -1 and 1, of length 1."""
     if dim <= 0:
         raise ValueError("dim must be positive")
-    digest = F.sha2(_c(col), 256)
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
-    return unit(raw)
+    numbers = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double") / 127.5 - 1)
+    # as elements of arrays the digest and the numbers are made once, not once for each use
+    return F.transform(F.transform(F.array(F.sha2(_c(col), 256)), numbers), unit)[0]
 
 
 def unit(vector: Column) -> Column:

@@ -378,7 +378,8 @@ def _(spark, d):
 
 @query("v03_encode_labels", f"WITH v AS (SELECT DISTINCT label FROM raw_labels) SELECT label, {_READ} AS text_label, 'Music structure label: ' || {_READ} AS prompt FROM v")
 def _(spark, d):
-    v = W.raw_labels(spark, d).select("label").distinct().withColumn("dataset", F.lit("parts"))
+    # as the result of an aggregate, as conditions on a grouping column are evaluated before it, on each part
+    v = W.raw_labels(spark, d).groupBy("label").agg(F.max("label").alias("_label")).select(F.col("_label").alias("label"), F.lit("parts").alias("dataset"))
     return O.encode_labels(v, ["dataset"], "generic", mode="compact").where(F.size("vec") == 16).select("label", "text_label", "prompt")
 
 

@@ -26,3 +26,12 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(ORACLES) <= set(QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_labels_are_encoded_once(spark, sf):
+    """v03 hashes different labels: nothing of the encoding stands below the aggregate that finds them."""
+    import re
+
+    plan = QUERIES["v03_encode_labels"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan.split("Aggregate")[0] and "sha2" not in plan.split("Aggregate")[1]
+    assert len(re.findall("sha2", plan)) == 1
