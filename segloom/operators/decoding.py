@@ -24,6 +24,8 @@ from segloom.plans.sequences import differs, islands, join_sequences, window
 
 #: Frames of a block of a long track.
 BLOCK = 4096
+#: Blocks to a file, numbers that a kernel gets at a time, and blocks up to which what is known of each is broadcast.
+FILE_BLOCKS, CELLS, FEW = 16, 1_000_000, 500_000
 INTS = ArrayType(IntegerType())
 
 
@@ -104,11 +106,20 @@ def _between(prior: pd.Series, weight: Sequence[float], eps: Sequence[float]) ->
 
 
 def _by_labels(flat: pd.Series, n: pd.Series) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    """Rows with the same number of labels, and their scores as matrices."""
+    """Rows with the same number of labels, and their scores as matrices; ``CELLS`` numbers at a time, as kernels pad and repeat
+    what they get."""
     scores = [np.asarray(x, float).reshape(c, -1) for x, c in zip(flat, n.tolist(), strict=True)]
     for k in sorted({x.shape[1] for x in scores}):
-        at = [i for i, x in enumerate(scores) if x.shape[1] == k]
-        yield at, [scores[i] for i in at]
+        at, cells = [], 0
+        for i, x in enumerate(scores):
+            if x.shape[1] != k:
+                continue
+            if at and cells + x.size > CELLS:
+                yield at, [scores[j] for j in at]
+                at, cells = [], 0
+            at.append(i)
+            cells += x.size
+        yield at, [scores[j] for j in at]
 
 
 @F.pandas_udf(INTS)
@@ -141,13 +152,16 @@ def decode_viterbi(rows: DataFrame, keys: Sequence[str] = KEYS, penalty: float =
     check(penalty, weight, eps)
     number = [F.lit(float(x)) for x in (penalty, weight, eps)]
     nothing, no_goal = F.lit(None).cast("array<double>"), F.lit(None).cast("int")
-    last = rows.agg(F.max("frame_idx")).first()[0]
+    last, count = rows.agg(F.max("frame_idx"), F.count("*")).first()
     if last is None or last < block:
         packed = _packed(rows, keys, boundary)
         labels = packed.withColumn("_path", _paths("_flat", "_n", "_prior", *number, nothing, no_goal))
         return _unpacked(labels, rows, keys)
     every = [*keys, "_block"]
-    packed = stored(_packed(rows.withColumn("_block", F.floor(F.col("frame_idx") / block)), every, boundary).withColumn("_ends", F.lead("_block").over(window(keys, "_block")).isNull()), "blocks")
+    # a task reads files up to a size, and Python gets what it reads at once: so a file holds few blocks, however many there are
+    files = max(rows.sparkSession.sparkContext.defaultParallelism, -(-count // (block * FILE_BLOCKS)))
+    few = F.broadcast if count // block <= FEW else lambda df: df  # joined where the blocks are read
+    packed = stored(_packed(rows.withColumn("_block", F.floor(F.col("frame_idx") / block)).repartition(files, *every), every, boundary), "blocks")
 
     @F.pandas_udf("array<double>")
     def matrices(flat: pd.Series, n: pd.Series, prior: pd.Series) -> pd.Series:
@@ -167,10 +181,10 @@ def decode_viterbi(rows: DataFrame, keys: Sequence[str] = KEYS, penalty: float =
             at = np.zeros(k) if at is None else at
             starts.append(at)
             at = (at[:, None] + np.asarray(flat, float).reshape(k, k)).max(0)
-        return track[every].assign(_start=pd.Series([x.tolist() for x in starts], index=track.index, dtype=object))
+        return track[every].assign(_start=pd.Series([x.tolist() for x in starts], index=track.index, dtype=object), _ends=np.arange(len(track)) == len(track) - 1)
 
-    starts = packed.select(*every, matrices("_flat", "_n", "_prior").alias("_matrix")).groupBy(*keys).applyInPandas(entering, f"{kinds}, _start array<double>")
-    begun = stored(packed.join(starts, _same(packed, starts, every)).select(packed["*"], "_start"), "blocks_begun")
+    starts = stored(packed.select(*every, matrices("_flat", "_n", "_prior").alias("_matrix")).groupBy(*keys).applyInPandas(entering, f"{kinds}, _start array<double>, _ends boolean"), "blocks_begun")
+    begun = packed.join(few(starts), _same(packed, starts, every)).select(packed["*"], "_start", "_ends")
 
     @F.pandas_udf("array<int>")
     def befores(flat: pd.Series, n: pd.Series, prior: pd.Series, start: pd.Series, ends: pd.Series) -> pd.Series:
@@ -193,7 +207,8 @@ def decode_viterbi(rows: DataFrame, keys: Sequence[str] = KEYS, penalty: float =
         return track[every].assign(_goal=pd.array(goals, "Int32"))
 
     goals = begun.select(*every, befores("_flat", "_n", "_prior", "_start", "_ends").alias("_firsts")).groupBy(*keys).applyInPandas(following, f"{kinds}, _goal int")
-    whole = begun.join(goals, _same(begun, goals, every)).select(begun["*"], "_goal")
+    goals = stored(goals, "blocks_goals")
+    whole = begun.join(few(goals), _same(begun, goals, every)).select(begun["*"], "_goal")
     return _unpacked(whole.withColumn("_path", _paths("_flat", "_n", "_prior", *number, "_start", "_goal")), rows, keys)
 
 

@@ -576,3 +576,18 @@ def test_listing_of_folders(spark, tmp_path):
     assert [x.count() for x in tracks] == [40, 40]
     found = same.collect()
     assert len(found) == 40 and [(r.stem, r.same_size) for r in found if not r.same_sha256] == [("3 %252", False)]
+
+
+def test_blocks_reach_python_a_few_at_a_time(spark, monkeypatch):
+    """Kernels get a bounded part of a batch, and files of blocks hold few of them."""
+    import pandas as pd
+
+    flat, n = pd.Series([np.zeros(4096 * 3) for _ in range(300)]), pd.Series([4096] * 300)
+    parts = list(D._by_labels(flat, n))
+    assert max(sum(x.size for x in scores) for _, scores in parts) <= 1_000_000 and sorted(i for at, _ in parts for i in at) == list(range(300))
+    seen = []
+    monkeypatch.setattr(D, "stored", lambda df, name, f=D.stored: seen.append((name, f(df, name))) or seen[-1][1])
+    rows = spark.range(6000).select((F.col("id") % 1).alias("track_id"), F.col("id").cast("int").alias("frame_idx"), F.array(*[F.lit(0.0)] * 3).alias("scores"))
+    assert D.decode_viterbi(rows, penalty=1.0, block=10).count() == 6000
+    sizes = seen[0][1].groupBy(F.input_file_name()).count().collect()
+    assert seen[0][0] == "blocks" and len(sizes) >= 30 and max(r["count"] for r in sizes) < 60
