@@ -188,8 +188,8 @@ def _(spark, d):
 
 
 def _annotators(spark, d):
-    a = W.sections_a(spark, d).withColumn("annotation_idx", F.lit(0))
-    return a.unionByName(W.sections_nf(spark, d).withColumn("annotation_idx", F.lit(1))).unionByName(W.sections_num(spark, d).withColumn("annotation_idx", F.lit(2)))
+    labels = F.array("label", F.expr(W.FUNCTIONS), F.expr(W.NUMBERED))  # sections_a, sections_nf, sections_num
+    return W.sections_a(spark, d).select("*", F.posexplode(labels).alias("annotation_idx", "_label")).withColumn("label", F.col("_label")).drop("_label")
 
 
 @query("p10_richest_annotation", """WITH u AS (SELECT *, 0 AS a FROM sections_a UNION ALL SELECT *, 1 FROM sections_nf UNION ALL SELECT *, 2 FROM sections_num), c AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY track_id, a ORDER BY idx) = label THEN 0 ELSE 1 END AS ch FROM u),
