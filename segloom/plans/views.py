@@ -6,15 +6,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of events that a task gets, some sections each.
+TASK_ROWS = 100_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their time in seconds of 2024."""
+    """Events with their time in seconds of 2024, dealt by track to as many tasks as their number asks for: all windows and joins
+    of a track keep that partitioning, so what a task sorts doesn't grow with the table."""
     rows = table(spark, sf_dir, "events")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
     at = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return rows.select("event_id", F.col("user_id").alias("track_id"), (at / 1e6).alias("start_time"), "event_type", "value")
+    return rows.select("event_id", F.col("user_id").alias("track_id"), (at / 1e6).alias("start_time"), "event_type", "value").repartition(tasks, "track_id")
 
 
 def _sections(rows: DataFrame) -> DataFrame:
@@ -36,12 +42,17 @@ def sections_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections_a(spark, sf_dir).where("event_id % 4 <> 0")
 
 
+#: Labels of sections_num and sections_nf.
+NUMBERED = "CASE WHEN event_id % 2 = 0 THEN concat(label, CAST(event_id % 3 AS STRING)) ELSE label END"
+FUNCTIONS = "CASE label WHEN 'error' THEN 'no_function' WHEN 'signup' THEN 'silence' ELSE label END"
+
+
 def sections_num(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections_a(spark, sf_dir).withColumn("label", F.expr("CASE WHEN event_id % 2 = 0 THEN concat(label, CAST(event_id % 3 AS STRING)) ELSE label END"))
+    return sections_a(spark, sf_dir).withColumn("label", F.expr(NUMBERED))
 
 
 def sections_nf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sections_a(spark, sf_dir).withColumn("label", F.expr("CASE label WHEN 'error' THEN 'no_function' WHEN 'signup' THEN 'silence' ELSE label END"))
+    return sections_a(spark, sf_dir).withColumn("label", F.expr(FUNCTIONS))
 
 
 def sections_lower(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,13 @@ def test_labels_are_encoded_once(spark, sf):
     plan = QUERIES["v03_encode_labels"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2" in plan.split("Aggregate")[0] and "sha2" not in plan.split("Aggregate")[1]
     assert len(re.findall("sha2", plan)) == 1
+
+
+def test_events_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """More events make more tasks, not larger ones, and windows of tracks keep them; p10 makes one pass over them."""
+    from segloom.plans import views as W
+
+    monkeypatch.setattr(W, "TASK_ROWS", 100)
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert W.sections_num(spark, sf).rdd.getNumPartitions() == -(-n // 100) > 4
+    assert QUERIES["p10_richest_annotation"](spark, sf)._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
