@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.plans.scratch import scratch_path
+from segloom.plans.scratch import scratch_path, stored
 
 #: The white space of the text contracts: space and the controls 0x09 to 0x0D.
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -22,14 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: it cuts the lineage, survives lost executors,
-    is computed once, and its size is known to the optimizer when it picks a join."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def only_ids(df: DataFrame, ids: DataFrame, id_col: str, most: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose id is in ``ids`` (a stored one-column table): the ids are broadcast if at most ``most``, else shuffled."""
     return df.join(F.broadcast(ids) if ids.count() <= most else ids, id_col, "left_semi")

@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether an execution's shuffle files are removed when it ends (Spark 4.1; older ones don't know it).
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or a fresh local one where it is unset (local mode only)."""
@@ -26,7 +29,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: computed once, and not lost with an executor."""
+    """``df`` written as Parquet to the shared folder and read back: it cuts the lineage, is computed once, is not lost with an
+    executor, and its size is known to the optimizer when it picks a join. The shuffle files of the write go with it: they would
+    lie on disk until the driver happens to collect garbage."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -517,6 +517,36 @@ def slow_spans(texts):
     return out
 
 
+def test_repeated_spans_leave_no_shuffle_files(spark, monkeypatch):
+    import time
+
+    from segloom.llm import repeated_spans
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(every.size()) if (name := every.apply(i).getName()).startswith("shuffle_")}
+
+    steps, stored = [], repeated_spans.stored
+
+    def watched(df, name):
+        before = files()
+        out = stored(df, name)
+        steps.append(name)
+        until = time.time() + 10  # they are removed in the background
+        while files() - before and time.time() < until:
+            time.sleep(0.05)
+        assert not files() - before, name
+        return out
+
+    monkeypatch.setattr(repeated_spans, "stored", watched)
+    texts = sample(5, 40, vocabulary=10_000, size=200)
+    docs = docs_of(spark, [*texts, *texts])
+    out = repeated_spans.drop_repeated_spans(docs)
+    assert steps == ["repeated_anchors", "repeated_runs", "later_runs"]
+    assert out.where("n_removed > 0").count() > 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_sentence_runs_against_all_runs(spark):
     from segloom.llm.repeated_spans import drop_repeated_spans
 
