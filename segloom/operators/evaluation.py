@@ -11,19 +11,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.operators.grid import IGNORE, adjust_timeline
+from segloom.operators.grid import IGNORE, fit_timeline
 from segloom.operators.policies import KEYS
 from segloom.plans.scratch import stored
-from segloom.plans.sequences import join_sequences, nearest, window
+from segloom.plans.sequences import dealt, join_sequences, window
 
 Segments = list[tuple[float, float, str]]
 
 
 def adjust_pair(reference: DataFrame, estimate: DataFrame, keys: Sequence[str] = KEYS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Both timelines from 0 to the later of the two ends, and that duration. Tracks without one of them are left out."""
-    last = lambda df: df.groupBy(*keys).agg(F.max_by("end_time", "idx").alias("_end"))
-    ends = join_sequences(last(reference), last(estimate).withColumnRenamed("_end", "_other"), keys).select(*keys, F.greatest("_end", "_other").alias("duration"))
-    return adjust_timeline(reference, ends, keys), adjust_timeline(estimate, ends, keys), ends
+    """Both timelines from 0 to the later of the two ends, and that duration. Tracks without one of them are left out.
+
+    Each timeline is made once: both go through one window for the duration and are stored, so that no task of what reads them
+    repeats their sorts."""
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_side"), "idx", "start_time", "end_time", "label")
+    both = side(reference, 0).unionByName(side(estimate, 1)).where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    own, of = Window.partitionBy(*keys), lambda n, c: F.when(F.col("_side") == n, F.col(c))
+    last = [F.max_by(of(n, "end_time"), of(n, "idx")).over(own) for n in (0, 1)]
+    both = both.withColumns({"duration": F.greatest(*last), "_both": F.min("_side").over(own) < F.max("_side").over(own)})
+    both = dealt(stored(both.where("_both").drop("_both"), "adjusted_pair"), keys)
+
+    def fitted(df: DataFrame, n: int) -> DataFrame:
+        kept = [F.col(c).cast(df.schema[c].dataType).alias(c) if c in ("idx", "label") else F.col(c) for c in ("idx", "start_time", "end_time", "label")]
+        return fit_timeline(both.where(F.col("_side") == n).select(*keys, *kept, "duration"), keys)
+
+    return fitted(reference, 0), fitted(estimate, 1), both.groupBy(*keys).agg(F.first("duration").alias("duration"))
 
 
 def boundaries(timeline: DataFrame, keys: Sequence[str] = KEYS, trim: bool = True) -> DataFrame:
@@ -82,10 +94,18 @@ def f_measure(p: Column, r: Column) -> Column:
 
 
 def boundary_deviation(reference: DataFrame, estimate: DataFrame, keys: Sequence[str] = KEYS, trim: bool = True) -> DataFrame:
-    """Medians of the distance to the nearest boundary of the other side, each way; null where a side has none."""
-    r, e = boundaries(reference, keys, trim), boundaries(estimate, keys, trim)
-    way = lambda a, b, name: nearest(a, b, keys).groupBy(*keys).agg(F.median("distance").alias(name))
-    return join_sequences(way(r, e, "ref_to_est"), way(e, r, "est_to_ref"), keys, "full_outer")
+    """Medians of the distance to the nearest boundary of the other side, each way; null where a side has none.
+
+    Both sides' boundaries go through one sort in time and one against it, each carrying the other side's last along."""
+    side = lambda df, n: df.select(*keys, F.lit(n).alias("_side"), "start_time", "end_time")
+    times = boundaries(side(reference, 0).unionByName(side(estimate, 1)), [*keys, "_side"], trim)
+    of = lambda n: F.when(F.col("_side") == n, F.col("time"))
+    # of equal times each is in one of the two directions after the other
+    ways = [window(keys, *order).rowsBetween(Window.unboundedPreceding, 0) for order in (("time", "_side"), (F.desc("time"), F.desc("_side")))]
+    before, after = (F.when(F.col("_side") == 0, F.last(of(1), True).over(w)).otherwise(F.last(of(0), True).over(w)) for w in ways)
+    gaps = times.withColumns({"_before": before, "_after": after}).withColumn("_gap", F.least(F.col("time") - F.col("_before"), F.col("_after") - F.col("time")))
+    way = lambda n, name: F.median(F.when(F.col("_side") == n, F.col("_gap"))).alias(name)
+    return gaps.groupBy(*keys).agg(way(0, "ref_to_est"), way(1, "est_to_ref"))
 
 
 def _label_steps(timeline: DataFrame, keys: Sequence[str], step: float, name: str) -> DataFrame:

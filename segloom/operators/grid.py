@@ -127,14 +127,19 @@ def assign_overlap(intervals: DataFrame, sections: DataFrame, keys: Sequence[str
 def adjust_timeline(sections: DataFrame, tracks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Sections cut to [0, duration], those outside dropped, and what is missing at either end filled with T_MIN and
     T_MAX. A duration that is not positive raises; tracks without sections have no rows."""
+    return fit_timeline(join_sequences(sections.select(*keys, "idx", "start_time", "end_time", "label"), tracks.select(*keys, "duration"), keys), keys)
+
+
+def fit_timeline(timed: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``adjust_timeline`` of sections that have their track's ``duration`` as a column."""
     d = F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.raise_error(F.lit("duration must be positive")).cast("double"))
-    inside = join_sequences(sections.select(*keys, "idx", "start_time", "end_time", "label"), tracks.select(*keys, "duration"), keys).withColumn("duration", d)
+    inside = timed.withColumn("duration", d)
     inside = inside.where((F.col("end_time") > 0) & (F.col("start_time") < F.col("duration")))
     cut = inside.withColumns({"start_time": F.greatest("start_time", F.lit(0.0)), "end_time": F.least("end_time", "duration")})
     # the first and the last section of a track bring the missing ends along, so that the sections are read once
     own = Window.partitionBy(*keys)
     cut = cut.withColumns({"_lo": F.min("start_time").over(own), "_hi": F.max("end_time").over(own), "_first": F.min("idx").over(own), "_last": F.max("idx").over(own)})
-    row = lambda idx, start, end, label: F.struct(idx.cast(dict(sections.dtypes)["idx"]).alias("idx"), start.alias("start_time"), end.alias("end_time"), label.alias("label"))
+    row = lambda idx, start, end, label: F.struct(idx.cast(dict(timed.dtypes)["idx"]).alias("idx"), start.alias("start_time"), end.alias("end_time"), label.alias("label"))
     head = F.when((F.col("idx") == F.col("_first")) & (F.col("_lo") > 0), row(F.col("_first") - 1, F.lit(0.0), F.col("_lo"), F.lit(T_MIN)))
     tail = F.when((F.col("idx") == F.col("_last")) & (F.col("_hi") < F.col("duration")), row(F.col("_last") + 1, F.col("_hi"), F.col("duration"), F.lit(T_MAX)))
     every = F.array_compact(F.array(head, row(F.col("idx"), F.col("start_time"), F.col("end_time"), F.col("label")), tail))

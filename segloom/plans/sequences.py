@@ -10,6 +10,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task gets where a table is dealt by sequence.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, keys: Sequence[str], each: int = TASK_ROWS) -> DataFrame:
+    """``df`` by sequence in as many tasks as its number of rows asks for: windows and joins of a sequence keep that partitioning,
+    so what a task sorts doesn't grow with the table."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each))
+    return df.repartition(tasks, *keys)
+
+
 def window(keys: Sequence[str], *order: str | Column) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 

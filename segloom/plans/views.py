@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-#: Rows of events that a task gets, some sections each.
-TASK_ROWS = 100_000
+from segloom.plans.sequences import TASK_ROWS, dealt
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their time in seconds of 2024, dealt by track to as many tasks as their number asks for: all windows and joins
-    of a track keep that partitioning, so what a task sorts doesn't grow with the table."""
+    """Events with their time in seconds of 2024, dealt by track."""
     rows = table(spark, sf_dir, "events")
-    tasks = max(spark.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
     at = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
-    return rows.select("event_id", F.col("user_id").alias("track_id"), (at / 1e6).alias("start_time"), "event_type", "value").repartition(tasks, "track_id")
+    return dealt(rows.select("event_id", F.col("user_id").alias("track_id"), (at / 1e6).alias("start_time"), "event_type", "value"), ["track_id"], TASK_ROWS)
 
 
 def _sections(rows: DataFrame) -> DataFrame:

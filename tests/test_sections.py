@@ -553,6 +553,48 @@ def test_stored_sequences_are_not_broadcast(spark):
     assert E.boundary_hits(ref, est, (0.5,), keys).where("f = 1").count() == 2001
 
 
+def test_pairs_of_timelines(spark):
+    """Tracks without one of the timelines and null keys have no rows, whatever their ends; a duration that is not positive raises."""
+    rows = lambda *r: spark.createDataFrame([(k, i, s, e, x, None) for k, i, s, e, x in r], SECTION)
+    left = rows(("t", 0, 1.0, 2.0, "a"), ("t", 1, 2.0, 6.0, "b"), ("only", 0, -2.0, -1.0, "a"), (None, 0, 0.0, 1.0, "a"), ("u", 7, 0.0, 3.0, "c"))
+    right = rows(("t", 3, -1.0, 4.0, "c"), ("alone", 0, -2.0, -1.0, "a"), (None, 0, 0.0, 1.0, "a"), ("u", 1, 0.0, None, "d"), ("u", 0, 0.0, 5.0, "e"))
+    ref, est, ends = E.adjust_pair(left, right.withColumn("idx", F.col("idx").cast("long")))
+    assert {r.track_id: r.duration for r in ends.collect()} == {"t": 6.0, "u": 3.0}
+    assert listed(ref.where("track_id = 't'")) == [(0.0, 1.0, T.T_MIN), (1.0, 2.0, "a"), (2.0, 6.0, "b")]
+    assert listed(est.where("track_id = 't'")) == [(0.0, 4.0, "c"), (4.0, 6.0, T.T_MAX)]
+    assert listed(ref.where("track_id = 'u'")) == [(0.0, 3.0, "c")] and listed(est.where("track_id = 'u'")) == [(0.0, 3.0, "e")]
+    assert {r.track_id for r in ref.union(est).collect()} == {"t", "u"}
+    assert dict(ref.dtypes)["idx"] == "int" and dict(est.dtypes)["idx"] == "bigint"
+    with pytest.raises(Exception, match="positive"):
+        E.adjust_pair(rows(("t", 0, 0.0, 2.0, "a"), ("t", 1, 2.0, -1.0, "b")), rows(("t", 0, -3.0, -2.0, "a")))[0].collect()
+
+
+def test_boundary_deviation_against_all_pairs(spark, seed=3):
+    """Each boundary's nearest of the other side, with equal times, and where one side or both have none."""
+    rng = random.Random(seed)
+    sides = [{f"t{k}": sorted(rng.sample(range(30), rng.choice([1, 2, 3, 9, 15]))) for k in range(40)} for _ in range(2)]
+    df = [spark.createDataFrame([(k, i, float(s), float(e), "x", None) for k, v in side.items() for i, (s, e) in enumerate(zip(v, [*v[1:], v[-1] + 1], strict=True))], SECTION) for side in sides]
+    for trim in (True, False):
+        got = {r.track_id: (r.ref_to_est, r.est_to_ref) for r in E.boundary_deviation(*df, trim=trim).collect()}
+        for k in sides[0]:
+            r, e = ([*side[k], side[k][-1] + 1] for side in sides)
+            r, e = (r[1:-1], e[1:-1]) if trim else (r, e)
+            way = lambda a, b: float(np.median([min(abs(x - y) for y in b) for x in a])) if a and b else None
+            assert (k in got) == bool(r or e) and got.get(k, (None, None)) == (way(r, e), way(e, r))
+
+
+@pytest.mark.parametrize(("name", "most"), [("e04_boundary_deviation", 7)])
+def test_few_sorts_in_a_task(spark, sf, monkeypatch, name, most):
+    """A task holds a page of memory at least for each of its sorts, so that both timelines are made once, in a step of their own."""
+    from segloom.queries import QUERIES
+
+    sorts, stored = [], E.stored
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Sort [")
+    monkeypatch.setattr(E, "stored", lambda df, name: sorts.append(count(df)) or stored(df, name))
+    sorts.append(count(QUERIES[name](spark, sf)))
+    assert len(sorts) == 2 and max(sorts) <= most
+
+
 def test_listing_of_folders(spark, tmp_path):
     """Files in sub-folders and empty files are listed, in tasks; the driver's file index holds none of them."""
     from segloom.sources import annotations as A
