@@ -135,12 +135,12 @@ def contingency(reference: DataFrame, estimate: DataFrame, durations: DataFrame,
 
 
 def _margins(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each cell with its row and column totals, each of which counts once in ``ref_one`` and ``est_one``."""
+    """Each cell with its row and column totals, each of which counts once in ``ref_one`` and ``est_one``. Totals come after the
+    numbers, whose sort they share."""
     by = lambda *c: Window.partitionBy(*keys, *c)
-    return cells.withColumns({
-        "a": F.sum("n").over(by("ref")), "b": F.sum("n").over(by("est")), "total": F.sum("n").over(by()),
-        "ref_one": F.row_number().over(by("ref").orderBy("est")) == 1, "est_one": F.row_number().over(by("est").orderBy("ref")) == 1,
-    })
+    rows = cells.withColumn("ref_one", F.row_number().over(by("ref").orderBy("est")) == 1).withColumn("a", F.sum("n").over(by("ref")))
+    both = rows.withColumn("est_one", F.row_number().over(by("est").orderBy("ref")) == 1).withColumn("b", F.sum("n").over(by("est")))
+    return both.withColumn("total", F.sum("n").over(by()))
 
 
 def pair_scores(cells: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
