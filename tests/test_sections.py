@@ -583,7 +583,7 @@ def test_boundary_deviation_against_all_pairs(spark, seed=3):
             assert (k in got) == bool(r or e) and got.get(k, (None, None)) == (way(r, e), way(e, r))
 
 
-@pytest.mark.parametrize(("name", "most"), [("e04_boundary_deviation", 7), ("e06_pair_scores", 11)])
+@pytest.mark.parametrize(("name", "most"), [("e04_boundary_deviation", 7), ("e06_pair_scores", 11), ("e07_entropy_scores", 11)])
 def test_few_sorts_in_a_task(spark, sf, monkeypatch, name, most):
     """A task holds a page of memory at least for each of its sorts, so that both timelines are made once, in a step of their own."""
     from segloom.queries import QUERIES
