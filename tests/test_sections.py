@@ -595,6 +595,18 @@ def test_few_sorts_in_a_task(spark, sf, monkeypatch, name, most):
     assert len(sorts) == 2 and max(sorts) <= most
 
 
+def test_pairs_are_dealt_by_their_number(spark, sf, monkeypatch):
+    """More sections make more tasks of e07, not larger ones, up to its result."""
+    from segloom.plans.sequences import dealt
+    from segloom.queries import QUERIES
+
+    given = []
+    for each in (100, 200):
+        monkeypatch.setattr(E, "dealt", lambda df, keys, each=each: given.append(df.count()) or dealt(df, keys, each))
+        tasks = QUERIES["e07_entropy_scores"](spark, sf).rdd.getNumPartitions()
+        assert tasks == -(-given[-1] // each) > 4
+
+
 def test_listing_of_folders(spark, tmp_path):
     """Files in sub-folders and empty files are listed, in tasks; the driver's file index holds none of them."""
     from segloom.sources import annotations as A
